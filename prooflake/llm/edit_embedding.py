@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import connected_components, cut
 
 SEED = 10
-PERIOD = 2048
+PERIOD = 512
 SLOTS = 128
 #: Characters hashed at a sampled place.
 REACH = 6
