@@ -36,7 +36,7 @@ REACH = 150
 GRAM = 16
 HOT_FAMILY = 100_000
 #: Contexts merged in a task before they are sent, and contexts ordered at once.
-MERGE, ORDER = 40_000, 20_000
+MERGE, ORDER = 20_000, 20_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 
@@ -45,7 +45,7 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Powers of the hash's base, of its inverse, and a value for each byte."""
     have = _tables.__dict__.get("have")
     if have is None or len(have[0]) < n:
-        size = max(n, 1 << 22)
+        size = max(n, 1 << 20)
         up = np.cumprod(np.full(size, _BASE, np.uint64))
         down = np.cumprod(np.full(size, pow(_BASE, -1, 1 << 64), np.uint64))
         have = (up, down, np.random.default_rng(8).integers(1, 1 << 63, 256, np.uint64) * 2 + 1)
@@ -153,7 +153,7 @@ def _united(spans: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(spans[new, 0].tolist(), reach[np.concatenate((new[1:], [True]))].tolist(), strict=True))
 
 
-def _texts(rows: Iterator, take: int = 4 << 20) -> Iterator[tuple[list[bytes], list[tuple]]]:
+def _texts(rows: Iterator, take: int = 1 << 20) -> Iterator[tuple[list[bytes], list[tuple]]]:
     """Unpacked texts and the other columns of rows whose first column is a compressed text, a few MB at a time."""
     import zstandard
 
@@ -338,7 +338,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_l
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), *_keys(text), F.octet_length(text).cast("long").alias("n_bytes"), *[F.col(c).alias(f"extra_{c}") for c in extra])
-    texts = cut(distinct_texts(docs, text_col))
+    texts = cut(distinct_texts(docs, text_col)).where("k1 is not null")  # alike in both joins, so that one exchange serves them
     found = spans(texts, min_len, reach, hot_family).groupBy("k1").agg(F.collect_list(F.struct("k2", "start", "stop")).alias("spans"))
     copies = rows.groupBy("k1", "k2").agg(F.count("*").alias("copies"))
 
