@@ -34,7 +34,7 @@ MIN_LEN = 200
 #: Places searched for a trigger at the head of a string.
 REACH = 150
 GRAM = 16
-HOT_FAMILY = 100_000
+HOT_FAMILY = 500_000
 #: Contexts merged in a task before they are sent, and contexts ordered at once.
 MERGE, ORDER = 20_000, 20_000
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -264,6 +264,9 @@ def spans(texts: DataFrame, min_len: int = MIN_LEN, reach: int | None = None, ho
                         continue
                     group[-1] = group[-1][:5] + (group[-1][5] + row[5],)
                     continue
+            elif group and group[-1][:5] == row[:5]:  # an equal context from another task
+                group[-1] = group[-1][:5] + (group[-1][5] + row[5],)
+                continue
             group.append(row)
         if group:
             yield _resolved(group, min_len, reach)
@@ -325,10 +328,22 @@ def _resolved(group: list[tuple], min_len: int, reach: int):
             a = np.flatnonzero(hit[:, j])
             for run in np.split(a, np.flatnonzero(np.diff(a) > 1) + 1):
                 add(members[open_[j]], int(run[-1]), int(run[0]))
-    table = np.concatenate(out) if out else np.zeros((0, 4), np.int64)
+    table = _merged(np.concatenate(out)) if out else np.zeros((0, 4), np.int64)
     return pa.RecordBatch.from_arrays([pa.array(table[:, 0]), pa.array(table[:, 1]), pa.array(table[:, 2].astype(np.int32)), pa.array(table[:, 3].astype(np.int32))], ["k1", "k2", "start", "stop"])
 
 
+def _merged(table: np.ndarray) -> np.ndarray:
+    """Rows (k1, k2, start, stop) with those of one text united where they overlap or touch."""
+    table = table[np.lexsort((table[:, 2], table[:, 1], table[:, 0]))]
+    text = np.cumsum(np.concatenate(([0], (table[1:, :2] != table[:-1, :2]).any(axis=1)))).astype(np.int64)
+    shift = text * (int(table[:, 3].max()) + 1)
+    reach = np.maximum.accumulate(table[:, 3] + shift)
+    new = np.concatenate(([True], table[1:, 2] + shift[1:] > reach[:-1]))
+    out = table[new]
+    out[:, 3] = (reach - shift)[np.concatenate((new[1:], [True]))]
+    return out
+
+
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = MIN_LEN, reach: int | None = None, hot_family: int = HOT_FAMILY, with_text: bool = False, extra: tuple[str, ...] = ()) -> DataFrame:
     """Per row of docs: id, n_bytes, n_removed, n_spans, kept_sha256, the `extra` columns and, if asked for, kept: the
     remaining bytes as a string, without the rest of characters that a cut has split.
