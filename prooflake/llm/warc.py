@@ -34,12 +34,15 @@ SCHEMA = "archive string, kind string, start long, stop long, member long, reaso
 
 def base32_sha1(c: Column) -> Column:
     """Upper-case base32 of a binary column's SHA-1: 5 hex digits are 4 base32 digits."""
-    digest = F.sha1(c)
-    out = []
-    for g in range(8):
-        five = F.conv(F.substring(digest, 1 + 5 * g, 5), 16, 10).cast("int")
-        out += [F.substr(F.lit(ALPHABET), F.shiftright(five, s).bitwiseAND(31) + 1, F.lit(1)) for s in (15, 10, 5, 0)]
-    return F.concat(*out)
+
+    def spelled(digest: Column) -> Column:
+        out = []
+        for g in range(8):
+            five = F.conv(F.substring(digest, 1 + 5 * g, 5), 16, 10).cast("int")
+            out += [F.substr(F.lit(ALPHABET), F.shiftright(five, s).bitwiseAND(31) + 1, F.lit(1)) for s in (15, 10, 5, 0)]
+        return F.concat(*out)
+
+    return F.transform(F.array(F.sha1(c)), spelled)[0]  # bound once: 32 digits, one digest
 
 
 def typed(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
