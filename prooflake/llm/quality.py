@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import operator
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import islice
@@ -46,7 +47,7 @@ def measure(text: bytes | None) -> list[int]:
     w = max(1, len(words))
     share = lambda drop: math.log1p(200 * (n - len(b.translate(None, drop))) / n)
     lines = [x for x in b.split(b"\n") if x]
-    seen = set(words)
+    seen = Counter(words)
     echo = sum(map(operator.eq, words, islice(words, 1, None)))
     pairs = len(set(zip(words, islice(words, 1, None), strict=False)))
     values = (
@@ -61,7 +62,7 @@ def measure(text: bytes | None) -> list[int]:
         math.log1p(len(seen)) - math.log1p(w),
         math.log1p(200 * echo / w),
         math.log1p(20 * (1 - (pairs + 1) / w)),
-        math.log1p(100 * max(map(words.count, islice(seen, 8)), default=0) / w) / 4,
+        math.log1p(100 * max(seen.values(), default=0) / w) / 4,
         math.log1p(20 * (1 - len(set(lines)) / max(1, len(lines)))),
         math.log1p(n / max(1, len(lines))) / 4,
     )
