@@ -5,12 +5,14 @@ slots; multinomial draws spread them over output shards. Slot k of a source take
 blocks, where perm is a keyed Feistel permutation of the source's block numbers for that pass, so that no block is taken
 twice before all are taken once. Slots and documents meet by (source, block).
 
-Streams need no global order: documents are dealt to `buckets` per source by a hash, running sums are made inside
-buckets, and the few sums of buckets are added up, so that a source with a third of all rows is spread like any other.
+Streams need no global order: documents are dealt to `buckets` per source by a hash of their content, running sums are made
+inside buckets, and the few sums of buckets are added up, so that a source with a third of all rows is spread like any
+other. Nothing depends on how the input is partitioned.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -66,7 +68,9 @@ def permuted(k: np.ndarray, n: int, key: list[int]) -> np.ndarray:
 
 
 def sized(docs: DataFrame, with_text: bool = False) -> DataFrame:
-    """docs with uid and size (words); the text is dropped, or kept compressed as z. Checkpointed, so that uid stays."""
+    """docs with uid, place (a hash of doc_id, source and text, which orders documents) and size (words); the text is
+    dropped, or kept compressed as z. Checkpointed, so that uid stays."""
+    docs = docs.withColumn("place", F.xxhash64("doc_id", "source", F.col("text").cast("string")))
     rest = [c for c in docs.columns if c != "text"]
     kinds = docs.select(*rest).schema
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds)
@@ -89,10 +93,11 @@ def sized(docs: DataFrame, with_text: bool = False) -> DataFrame:
 
 
 def plan(sizes: DataFrame, share: float = 1.0, pattern: tuple = PATTERN, cap: int = CAP, block: int = BLOCK, seed: int = SEED, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
-    """From (uid, source, size): the sources (source, source_size, target) and (uid, start, words, times): which words of
+    """From (uid, place, source, size): the sources (source, source_size, target) and (uid, start, words, times): which words of
     a document, counted from its first, are in the mix how often. The table of sources is made on the driver."""
     spark = sizes.sparkSession
-    total = {r["source"]: r["size"] for r in sizes.groupBy("source").agg(F.sum("size").alias("size")).collect()}
+    sums = sizes.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
+    total = {r["source"]: r["size"] for r in sums}
     target = targets(total, share, pattern, cap)
     rows = []
     for i, (s, t) in enumerate(target.items()):
@@ -126,11 +131,11 @@ def plan(sizes: DataFrame, share: float = 1.0, pattern: tuple = PATTERN, cap: in
     slots = drawn.where("n > 0").repartition("src", "shard").mapInPandas(take, "src int, shard long, block long")
     times = slots.groupBy("src", "block").agg(F.count("*").alias("times"))
 
-    buckets = max(1, sizes.rdd.getNumPartitions()) * 4
+    buckets = max(1, math.isqrt(sum(r["n"] for r in sums)))
     own = sizes.where("size > 0").join(table.select("src", F.col("source").alias("_s")), F.col("source").eqNullSafe(F.col("_s")))
-    own = own.select("uid", "src", "size", F.pmod(F.xxhash64("uid"), F.lit(buckets)).alias("bucket"))
+    own = own.select("uid", "place", "src", "size", F.pmod("place", F.lit(buckets)).alias("bucket"))
     offset = own.groupBy("src", "bucket").agg(F.sum("size").alias("all")).withColumn("offset", F.sum("all").over(W.partitionBy("src").orderBy("bucket")) - F.col("all"))
-    run = F.sum("size").over(W.partitionBy("src", "bucket").orderBy("uid")) - F.col("size")
+    run = F.sum("size").over(W.partitionBy("src", "bucket").orderBy("place", "uid")) - F.col("size")
     placed = own.withColumn("run", run).join(offset.select("src", "bucket", "offset"), ["src", "bucket"]).select("uid", "src", "size", (F.col("run") + F.col("offset")).alias("at"))
     parts = placed.select("uid", "src", "size", "at", F.explode(F.sequence(F.expr(f"at div {block}"), F.expr(f"(at + size - 1) div {block}"))).alias("block"))
     inside = parts.withColumn("start", F.greatest(F.lit(0), F.col("block") * block - F.col("at"))).withColumn("stop", F.least("size", (F.col("block") + 1) * block - F.col("at")))
@@ -152,11 +157,12 @@ def taken(docs: DataFrame, **options) -> DataFrame:
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents, with the columns of docs: a row for each pass that takes words of a document, its text the
     words taken in that pass. A pass that takes all words keeps the text as it is; n_chars, if there, is set anew."""
-    base = sized(docs, with_text=True)
-    _, used = plan(base.select("uid", F.col("source").cast("string").alias("source"), "size"), **options)
-    runs = used.groupBy("uid").agg(F.collect_list(F.struct("start", "words", "times")).alias("runs"))
     names = docs.columns
     rest = [c for c in names if c != "text"]
+    own = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)]  # so that no name clashes
+    base = sized(docs.select("text", "doc_id", F.col("source").cast("string").alias("source"), *own), with_text=True)
+    _, used = plan(base.select("uid", "place", "source", "size"), **options)
+    runs = used.groupBy("uid").agg(F.collect_list(F.struct("start", "words", "times")).alias("runs"))
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema} | {"text": "string"}
 
     def cut_out(rows: Iterator) -> Iterator:
@@ -178,7 +184,7 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
                 cols["n_chars"] = pa.array(map(len, texts), pa.int64()).cast(cols["n_chars"].type)
             yield pa.RecordBatch.from_arrays([cols[c] for c in names], names)
 
-    return base.join(runs, "uid").select("z", "size", "runs", *rest).mapInArrow(cut_out, ", ".join(f"`{c}` {kinds[c]}" for c in names))
+    return base.join(runs, "uid").select("z", "size", "runs", *[f"c{i}" for i in range(len(rest))]).mapInArrow(cut_out, ", ".join(f"`{c}` {kinds[c]}" for c in names))
 
 
 def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -111,6 +111,10 @@ def test_mixing(docs, rows, none):
     assert mixing.taken(none).count() == 0
     out = mixing.mixed(docs, block=8)
     assert out.columns == docs.columns and sum(len((r.text or "").encode().split()) for r in out.collect()) == sum(r.taken for r in got)
+    clash = docs.selectExpr("*", "1 as size", "2 as uid", "3 as z", "4 as runs", "5 as place", "6 as c0")
+    assert mixing.mixed(clash, block=8).columns == clash.columns and mixing.mixed(clash, block=8).count() == out.count()
+    moved = mixing.taken(docs.repartition(7), block=8).collect()
+    assert sorted(map(str, moved)) == sorted(map(str, got))
     assert sorted(mixing.permuted(np.arange(1000), 1000, [1]).tolist()) == list(range(1000))
     assert mixing.targets({"a": 10, "b": 100, None: 0}) == {"a": 30.0, "b": 80.0, None: 0.0}
 
@@ -203,6 +207,7 @@ def test_quality(spark, docs, rows, none):
     got = quality.classify(spark.createDataFrame(train, DOCS), labels).collect()
     held = [r for r in got if r.held_out]
     assert held and all(r.predicted == int(r.doc_id % 4 > 0) and 0 <= r.score <= 1 for r in held)
+    assert quality.measure(b"a b c a")[-3] == round(quality.UNIT * np.log1p(50) / 4) and quality.measure(b" ")[-3] == 0
     assert quality.classify(docs, labels).count() == len(rows) and quality.classify(none, labels).count() == 0
     assert {r.score for r in quality.classify(docs, labels.limit(0)).collect()} == {0.5}
     assert quality.keep_good(docs, labels).columns == docs.columns
