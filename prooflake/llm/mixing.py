@@ -28,6 +28,8 @@ CAP = 3
 SEED = 3
 #: Words of a block, and slots of an output shard, about.
 BLOCK, SHARD = 128, 1 << 20
+#: Sources up to which their table is broadcast; a longer one is joined by a shuffle.
+SOURCES = 100_000
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -105,6 +107,8 @@ def plan(sizes: DataFrame, share: float = 1.0, pattern: tuple = PATTERN, cap: in
         slots = min(round(t * blocks / total[s]), cap * blocks) if blocks else 0
         rows.append((i, s, total[s], t, blocks, slots))
     table = spark.createDataFrame(rows, "src int, source string, source_size long, target double, blocks long, slots long")
+    if len(rows) <= SOURCES:
+        table = F.broadcast(table)
     shards = max(1, -(-sum(r[5] for r in rows) // shard))
 
     def draw(batch: Iterator) -> Iterator:
@@ -136,10 +140,10 @@ def plan(sizes: DataFrame, share: float = 1.0, pattern: tuple = PATTERN, cap: in
     own = own.select("uid", "place", "src", "size", F.pmod("place", F.lit(buckets)).alias("bucket"))
     offset = own.groupBy("src", "bucket").agg(F.sum("size").alias("all")).withColumn("offset", F.sum("all").over(W.partitionBy("src").orderBy("bucket")) - F.col("all"))
     run = F.sum("size").over(W.partitionBy("src", "bucket").orderBy("place", "uid")) - F.col("size")
-    placed = own.withColumn("run", run).join(offset.select("src", "bucket", "offset"), ["src", "bucket"]).select("uid", "src", "size", (F.col("run") + F.col("offset")).alias("at"))
+    placed = own.withColumn("run", run).join(offset.select("src", "bucket", "offset").hint("merge"), ["src", "bucket"]).select("uid", "src", "size", (F.col("run") + F.col("offset")).alias("at"))
     parts = placed.select("uid", "src", "size", "at", F.explode(F.sequence(F.expr(f"at div {block}"), F.expr(f"(at + size - 1) div {block}"))).alias("block"))
     inside = parts.withColumn("start", F.greatest(F.lit(0), F.col("block") * block - F.col("at"))).withColumn("stop", F.least("size", (F.col("block") + 1) * block - F.col("at")))
-    return table, inside.join(times, ["src", "block"]).select("uid", "start", (F.col("stop") - F.col("start")).alias("words"), "times")
+    return table, inside.join(times.hint("merge"), ["src", "block"]).select("uid", "start", (F.col("stop") - F.col("start")).alias("words"), "times")
 
 
 def taken(docs: DataFrame, **options) -> DataFrame:
