@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.formulas import predicates, renamed, swapped
 from ..functions.morph import NEGATIVE_PREFIXES, lemma, pred_key, words_of
 
 # Constants that name a single author; content words of relations with group and argument order; particles.
@@ -80,3 +81,25 @@ def strip_guards(formulas: DataFrame) -> DataFrame:
     out = f.join(loose, ["doc_id", "guard"], "left")
     new = F.when(F.col("loose"), F.regexp_replace("fol", GUARD, "forall $1. ($3)")).otherwise(F.col("fol"))
     return out.select("doc_id", "stmt_id", new.alias("fol"), F.coalesce("loose", F.lit(False)).alias("stripped"))
+
+
+def inventory(formulas: DataFrame) -> DataFrame:
+    """Predicates of each document's formulas: doc_id, pred, first_pos, statements."""
+    names = formulas.select("doc_id", "pos", F.explode(predicates(F.col("fol"))).alias("pred"))
+    return names.groupBy("doc_id", "pred").agg(F.min("pos").alias("first_pos"), F.count("*").alias("statements"))
+
+
+def known_before(formulas: DataFrame) -> DataFrame:
+    """(doc_id, pos, pred, known): whether a statement's predicate occurs before it in its document."""
+    names = formulas.select("doc_id", "pos", F.explode(predicates(F.col("fol"))).alias("pred"))
+    first = F.min("pos").over(W.partitionBy("doc_id", "pred"))
+    return names.withColumn("known", first < F.col("pos"))
+
+
+def apply_aliases(formulas: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Formulas with their document's aliases (doc_id, old, new, swap) applied, all at once; swap turns the arguments of a
+    two-place atom round before it is renamed. Documents without aliases keep their formulas."""
+    maps = aliases.groupBy("doc_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("old", "new"))).alias("names"), F.collect_list(F.when(F.col("swap"), F.col("old"))).alias("swaps")
+    )
+    return formulas.join(maps, "doc_id", "left").withColumn("fol", renamed(swapped(F.col("fol"), F.col("swaps")), F.col("names"))).drop("names", "swaps")

@@ -362,3 +362,6 @@ def theory_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = verdict.verified(props)
     rows = v.select("doc_id", F.col("stmt_id").cast("int").alias("pos"), "stmt_id", F.lit("axiom").alias("type"), "verdict", "support", "conflict")
     return verdict.reports(rows)
+
+
+from . import formulas  # noqa: E402, F401  registers its queries
