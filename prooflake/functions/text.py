@@ -33,9 +33,9 @@ def xml_escaped(text: Column) -> Column:
 
 def word_matches(word: Column, lemmas: Column) -> Column:
     """Whether a word stands among lemmas: itself, its lemma, or one with the same first four letters."""
-    base = lemma(word)
-    root = F.exists(lemmas, lambda w: (F.length(w) >= 4) & (F.left(w, F.lit(4)) == F.left(base, F.lit(4))))
-    return F.array_contains(lemmas, word) | F.array_contains(lemmas, base) | ((F.length(base) >= 4) & root)
+    root = lambda base: F.exists(lemmas, lambda w: (F.length(w) >= 4) & (F.left(w, F.lit(4)) == F.left(base, F.lit(4))))
+    match = lambda base: F.array_contains(lemmas, word) | F.array_contains(lemmas, base) | ((F.length(base) >= 4) & root(base))
+    return F.transform(F.array(lemma(word)), match)[0]
 
 
 def unfenced(text: Column) -> Column:
