@@ -364,4 +364,4 @@ def theory_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdict.reports(rows)
 
 
-from . import formulas  # noqa: E402, F401  registers its queries
+from . import chains, formulas  # noqa: E402, F401  register their queries
