@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import formulas, text
-from ..operators import relational, report, vocab
-from ..sources import corpora, extraction
+from ..operators import relational, render, report, vocab
+from ..sources import corpora, extraction, runs
 from ..sources.corpora import STATEMENTS_SQL, table
 from .catalog import query
 
@@ -145,3 +145,27 @@ def gold_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     gold = table(spark, sf_dir, "customer").selectExpr("c_custkey AS doc_id", "c_custkey % 2 AS expected")
     found = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("doc_id")).agg((F.count("*") >= 10).cast("int").alias("found"))
     return relational.confusion(report.scored(gold, found))
+
+
+@query()
+def theory_svg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.svg(_props(spark, sf_dir))
+
+
+@query(f"""WITH p AS ({_PROPS}) SELECT doc_id, count(*) AS statements, count(*) FILTER (status = 'quarantined') AS quarantined, CASE WHEN bool_or(verdict = 'contradicts') THEN 1 ELSE 0 END::BIGINT AS inconsistent_sets,
+    coalesce(any_value(f.n), 0)::BIGINT AS screener_flags FROM p LEFT JOIN (SELECT o_orderkey AS k, o_orderkey % 3 AS n FROM orders WHERE o_orderkey % 3 > 0) f ON f.k = doc_id GROUP BY doc_id""")
+def batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flags = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS doc_id", "explode(sequence(1, int(o_orderkey % 3))) AS ix").where("doc_id % 3 > 0")
+    return render.batch_summary(_props(spark, sf_dir), flags).drop("line")
+
+
+@query("""SELECT CAST(id AS BIGINT) AS doc_id, [5, 10, 15, 20][(id % 24) // 2 % 4 + 1]::INT AS depth, [0, 40, 100][(id % 24) // 8 + 1]::INT AS distractors, CAST(id % 2 AS INT) AS expected,
+    ([5, 10, 15, 20][(id % 24) // 2 % 4 + 1] + 3 + [0, 40, 100][(id % 24) // 8 + 1])::INT AS statements FROM range(96) t(id)""")
+def stress_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.stress_documents(spark).drop("text")
+
+
+@query("SELECT o_orderkey AS doc_id FROM orders WHERE o_custkey % 2 = 1 OR o_custkey IS NULL")
+def pending_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    todo = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS doc_id", "o_custkey")
+    return runs.pending(todo, table(spark, sf_dir, "orders").select("o_custkey").where("o_custkey % 2 = 0"), "o_custkey").select("doc_id")
