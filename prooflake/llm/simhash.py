@@ -228,15 +228,5 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return fp.join(classes, fp.fp == classes._fp).select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """docs with one document of each group of near-duplicates: that whose doc_id is the component's.
-
-    Documents without an id are kept, since no other document stands for them. Of repeated rows one stays.
-    """
-    firsts = components(docs, radius=radius).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
-
-
 def hexed(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
