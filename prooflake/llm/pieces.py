@@ -3,10 +3,10 @@
 BPE. A text is cut where no merge can reach: before each run of spaces, and between a letter and a mark that no piece has
 after a letter. In a unit, symbols start as characters, and an
 agenda holds the merges of neighbours that are pieces, best score first, then leftmost. With dropout each candidate
-merge, as it is taken from the agenda, is skipped for good if its bits of a keyed hash of seed, variant and unit fall below the
-rate. A unit's variant is a keyed hash of the text and of the unit's number in it, one of VARIANTS, so that a unit that
-occurs often is segmented a few ways and computed only as often. Characters without a piece become bytes, and so does the
-literal space mark, which makes decoding exact.
+merge, as it is taken from the agenda, is skipped for good at the rate, by draws of its own for each place: a keyed hash of
+seed, text, document, pass and the unit's number gives the gaps between skipped candidates. A segmentation depends only on
+the unit and its gaps, so it is kept under these, and where the first gap is beyond the unit's last candidate, under the unit.
+Characters without a piece become bytes, and so does the literal space mark, which makes decoding exact.
 
 Counts. Words are units that begin with the space mark. An Aho-Corasick automaton gives the vocabulary's matches by their
 end, longest first; dynamic programming keeps, for each end, the best score and its number of pieces. A later match
@@ -24,6 +24,7 @@ import sys
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -31,11 +32,13 @@ from pyspark.sql import functions as F
 
 from .common import batches
 
-RATE, SEED, VARIANTS = 0.1, 2, 2
+RATE, SEED = 0.1, 2
 MARK = "\u2581"
 _UNIT = re.compile(" +[^ ]*")
 #: Units that a worker keeps.
 KEPT = 1_000_000
+#: A gap that no unit reaches.
+FAR = 1 << 62
 
 
 def load(path: str) -> bytes:
@@ -54,9 +57,9 @@ def _model(data: bytes):
 class Bpe:
     """Encoder and decoder of a BPE model. rate 0: the model's own segmentation."""
 
-    def __init__(self, data: bytes, rate: float = 0.0, seed: int = SEED, variants: int = VARIANTS):
+    def __init__(self, data: bytes, rate: float = 0.0, seed: int = SEED):
         sp = _model(data)
-        self.rate, self.seed, self.variants = round(rate * (1 << 16)), seed, variants if rate else 1
+        self.rate, self.seed = rate, seed
         self.order: dict[str, float] = {}
         self.id: dict[str, int] = {}
         self.byte = [0] * 256
@@ -73,7 +76,7 @@ class Bpe:
                 self.order[own], self.id[own] = -sp.get_score(i), i
                 self.raw.append(own.encode())
         self.cuts = self._cuts()
-        self.kept = [_Units(self, v) for v in range(self.variants)]
+        self.kept, self.parts, self.skips = _Kept(self._plain), _Kept(self._part), _Kept(self._skipped)
 
     def _cuts(self) -> re.Pattern:
         """Where no merge can reach: before a run of spaces, and between a letter and a mark that follows no letter in any
@@ -83,27 +86,26 @@ class Bpe:
         letters = "".join(sorted({c for p in self.id for c in p if c.isalpha()}))
         return re.compile(f"(?<=[^ ])(?= )|(?<=[{letters}])(?=[{re.escape(''.join(sorted(marks)))}])")
 
-    def symbols(self, unit: str, variant: int = 0) -> list[str]:
+    def symbols(self, unit: str, left: int, gaps: Iterator[int]) -> tuple[list[str], int]:
+        """The unit's symbols if its candidate number `left` is skipped, and then one after each gap; and what is left of the
+        last gap."""
         n, score = len(unit), self.order
         if n == 1:
-            return [unit]
+            return [unit], left
         after, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
         agenda = [(score[unit[i : i + 2]], i, i + 1, i + 2) for i in range(n - 1) if unit[i : i + 2] in score]
         if not agenda:
-            return list(unit)
+            return list(unit), left
         heapq.heapify(agenda)
         pop, push = heapq.heappop, heapq.heappush
-        draws = None
-        if self.rate:  # candidate k of the agenda is skipped if 16 bits of the keyed hash are below the rate
-            key = f"{self.seed} {variant} {unit}".encode("utf-8", "surrogatepass")
-            draws = iter(memoryview(hashlib.shake_128(key).digest(6 * n)).cast("H"))
-        rate = self.rate
         while agenda:
             _, i, j, stop = pop(agenda)
             if end[i] != j or end[j] != stop:
                 continue
-            if draws is not None and next(draws) < rate:
+            if not left:
+                left = next(gaps)
                 continue
+            left -= 1
             end[i], end[j] = stop, -1
             after[i] = stop
             if stop < n:
@@ -121,32 +123,88 @@ class Bpe:
         while i < n:
             out.append(unit[i : end[i]])
             i = end[i]
-        return out
+        return out, left
 
-    def unit(self, unit: str, variant: int = 0) -> bytes:
-        """Ids of a unit as packed 32-bit integers."""
+    def _ids(self, symbols: list[str]) -> bytes:
         ids: list[int] = []
-        for s in self.symbols(unit, variant):
+        for s in symbols:
             own = self.id.get(s)
             ids += [own] if own is not None else [self.byte[b] for b in s.encode("utf-8", "surrogatepass")]
         return _pack(ids)
 
-    def encode(self, text: str) -> bytes:
-        """Ids of a text as packed 32-bit integers; none for the empty text."""
+    def unit(self, unit: str, gaps: Iterator[int]) -> tuple[bytes, int]:
+        """Ids of a unit without its first space, as packed 32-bit integers, and what is left of the last gap. Candidates are
+        numbered through its parts between cuts."""
+        out, left = [], next(gaps)
+        for part in self.cuts.split(" " + unit):
+            if len(part) < 64:
+                ids, n = self.parts[part]
+                if left >= n:
+                    out.append(ids)
+                    left -= n
+                    continue
+            symbols, left = self.symbols(part, left, gaps)
+            out.append(self._ids(symbols))
+        return b"".join(out), left
+
+    def _part(self, part: str) -> tuple[bytes, int]:
+        symbols, left = self.symbols(part, FAR, repeat(FAR))
+        return self._ids(symbols), FAR - left
+
+    def _plain(self, unit: str) -> tuple[bytes, int]:
+        """Ids without a skipped candidate, and the number of candidates."""
+        ids, left = self.unit(unit, repeat(FAR))
+        return ids, FAR - left
+
+    def _skipped(self, key: tuple) -> tuple[bytes, int]:
+        """Ids of (unit, gap, gap, ...), and the number of candidates after the last skipped one."""
+        ids, left = self.unit(key[0], chain(key[1:], repeat(FAR)))
+        return ids, FAR - left
+
+    def _drawn(self, h: np.ndarray) -> np.ndarray:
+        """Gaps between skipped candidates from 24 random bits each."""
+        if self.rate >= 1:
+            return np.zeros(len(h), np.int64)
+        return (np.log((h.astype(np.float64) + 1) / (1 << 24)) / math.log1p(-self.rate)).astype(np.int64)
+
+    def _gaps(self, h: int) -> Iterator[int]:
+        """The gaps of a place, whose hash is h: two from its bits, more from hashes of it."""
+        while True:
+            yield from self._drawn(np.array([h >> 40, h & 0xFFFFFF])).tolist()
+            h = int(_mixed(np.array([h], np.uint64))[0])
+
+    def encode(self, text: str, place: str = "") -> bytes:
+        """Ids of a text as packed 32-bit integers; none for the empty text. Merges are skipped by draws that belong to the seed,
+        the text and its place (a document and a pass, say)."""
         if not text:
             return b""
         units = text.split(" ")
         if "" in units:  # runs of spaces belong to what follows them
             units = [u[1:] for u in _UNIT.findall(" " + text)]
-        if self.variants == 1:
-            return b"".join(map(self.kept[0].__getitem__, units))
+        kept, skips = self.kept, self.skips
+        if not self.rate:
+            return b"".join([kept[u][0] for u in units])
         import xxhash
 
-        key = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), self.seed)
-        h = (np.arange(len(units), dtype=np.uint64) + np.uint64(key)) * np.uint64(0x9E3779B97F4A7C15)
-        turn = ((h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(40)) % np.uint64(self.variants)
-        kept = self.kept
-        return b"".join([kept[v][u] for v, u in zip(turn.tolist(), units, strict=True)])
+        key = xxhash.xxh64_intdigest(place, xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), self.seed))
+        h = _mixed(np.arange(len(units), dtype=np.uint64) + np.uint64(key))
+        gaps, after = self._drawn(h >> np.uint64(40)).tolist(), self._drawn(h & np.uint64(0xFFFFFF)).tolist()
+        out = []
+        for i, unit in enumerate(units):
+            if len(unit) >= 64:
+                out.append(self.unit(unit, self._gaps(int(h[i])))[0])
+                continue
+            ids, n = kept[unit]
+            if gaps[i] < n:
+                ids, n = skips[unit, gaps[i]]
+                if after[i] < n:
+                    more = self._gaps(int(h[i]))
+                    drawn = (unit, next(more))
+                    while (gap := next(more)) < n:
+                        drawn = (*drawn, gap)
+                        ids, n = skips[drawn]
+            out.append(ids)
+        return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
         """The text that encode() was given, whatever merges were skipped."""
@@ -160,57 +218,54 @@ def _pack(ids: list[int]) -> bytes:
     return out.tobytes()
 
 
-class _Units(dict):
-    """Segmentations of one variant, of units without their first space and of their parts between cuts, which begin with a
-    space if they head the unit. Both are emptied when they pass their share of KEPT."""
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class _Kept(dict):
+    """Segmentations by what they depend on, emptied when they pass their share of KEPT."""
 
-    def __init__(self, bpe: Bpe, variant: int):
+    def __init__(self, solve):
         super().__init__()
-        self.bpe, self.variant, self.most = bpe, variant, KEPT // bpe.variants // 2
-        self.parts: dict[str, bytes] = {}
-
-    def __missing__(self, unit: str) -> bytes:
-        parts, out = self.parts, []
-        for part in self.bpe.cuts.split(" " + unit):
-            ids = parts.get(part)
-            if ids is None:
-                ids = self.bpe.unit(part, self.variant)
-                if len(part) < 64:
-                    if len(parts) >= self.most:
-                        parts.clear()
-                    parts[part] = ids
-            out.append(ids)
-        ids = b"".join(out)
-        if len(unit) < 64:
-            if len(self) >= self.most:
-                self.clear()
-            self[unit] = ids
-        return ids
+        self.solve = solve
+
+    def __missing__(self, key):
+        out = self.solve(key)
+        if len(self) >= KEPT // 4:
+            self.clear()
+        self[key] = out
+        return out
 
 
 @lru_cache(maxsize=2)
-def _bpe(data: bytes, rate: float, seed: int, variants: int) -> Bpe:
-    return Bpe(data, rate, seed, variants)
+def _bpe(data: bytes, rate: float, seed: int) -> Bpe:
+    return Bpe(data, rate, seed)
 
 
-def encoded(docs: DataFrame, model: str, rate: float = RATE, seed: int = SEED, variants: int = VARIANTS, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def encoded(docs: DataFrame, model: str, rate: float = RATE, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Per row of docs: doc_id, n_pieces, ids_sha256 (of packed little-endian 32-bit ids), text_sha256 (of the text decoded
     from the ids) and lossless (that text is the input); with_ids adds ids.
 
-    A null or empty text has no pieces. Equal texts are segmented alike under one seed; other seeds vary them. Works row by
-    row, without a shuffle.
+    A null or empty text has no pieces. Draws of skipped merges belong to seed, text, doc_id and pass; rows of one doc_id and
+    text that follow each other in a task, as the mix writes them, are passes. Works without a shuffle.
     """
     held = docs.sparkSession.sparkContext.broadcast(load(model))
 
     def run(rows: Iterator) -> Iterator:
         import pyarrow as pa
 
-        bpe = _bpe(held.value, rate, seed, variants)
+        bpe = _bpe(held.value, rate, seed)
+        last, turn = None, 0
         for own, texts in batches(rows, 4 << 20):
             out = []
-            for t in texts:
+            for i, t in zip(own, texts, strict=True):
                 text = (t or b"").decode()
-                ids = bpe.encode(text)
+                turn = turn + 1 if (i, text) == last else 0
+                last = (i, text)
+                ids = bpe.encode(text, f"{i} {turn}")
                 back = bpe.decode(ids)
                 out.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), back == text, np.frombuffer(ids, "<i4") if with_ids else None))
             cols = list(zip(*out, strict=True))
