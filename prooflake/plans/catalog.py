@@ -64,7 +64,7 @@ def text_dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def compound_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = segment.sentences(table(spark, sf_dir, "documents").where("lang = 'en'"))
+    s = segment.sentences(table(spark, sf_dir, "documents"))
     return segment.split_statements(s.select("doc_id", F.col("ix").cast("string").alias("stmt_id"), F.col("sentence").alias("text")))
 
 
