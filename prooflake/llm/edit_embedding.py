@@ -15,6 +15,7 @@ hashes of samples use the characters themselves.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import cache
 from itertools import accumulate
@@ -132,29 +133,35 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp binary")
 
 
-def near_groups(docs: DataFrame, threshold: float = LIKE, bands: int = BANDS, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED) -> DataFrame:
+def near_groups(docs: DataFrame, threshold: float = LIKE, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED) -> DataFrame:
     """(doc_id, group_id): documents that links of likeness `threshold` or more connect, group_id the least doc_id.
 
-    Equal fingerprints are one node. Fingerprints that agree in a band are candidates: in each band's bucket the least
-    unlinked one takes those that verify, then the least of the rest does, so that a bucket of near copies costs as many
-    rows as it has members. Rows with a null doc_id keep a null group unless linked to others.
+    Equal fingerprints are one node. There are more bands than a pair of likeness `threshold` can have unequal slots, so each
+    such pair agrees in a band. In a band's bucket each is compared with all that are not connected to it yet, and the links
+    are a spanning forest, so that a bucket of near copies gives as many rows as it has members. Rows with a null doc_id keep
+    a null group unless linked to others.
     """
     fp = cut(fingerprints(docs, id_col, text_col, seed))
     nodes = cut(fp.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    width = SLOTS // bands
+    unequal = SLOTS - math.ceil(threshold * SLOTS - 1e-9)
+    width = max(1, SLOTS // (unequal + 1))
+    bands = SLOTS // width
     keyed = nodes.select("fp", F.posexplode(F.array(*[F.substring("fp", 1 + i * width, width) for i in range(bands)])).alias("band", "part"))
 
     def verify(pdf):
         import pandas as pd
 
-        left = np.array([np.frombuffer(x, np.uint8) for x in sorted(pdf["fp"])])
+        own = sorted(pdf["fp"])
+        slots = np.array([np.frombuffer(x, np.uint8) for x in own])
+        part = np.arange(len(own))
         src, dst = [], []
-        while len(left) > 1:
-            near = (left == left[0]).mean(axis=1) >= threshold
-            for other in left[near][1:]:
-                src.append(left[0].tobytes())
-                dst.append(other.tobytes())
-            left = left[~near]
+        for i in range(len(own) - 1):
+            rest = np.flatnonzero(part[i + 1 :] != part[i]) + i + 1
+            for j in rest[(slots[rest] == slots[i]).mean(axis=1) >= threshold].tolist():
+                if part[j] != part[i]:
+                    src.append(own[i])
+                    dst.append(own[j])
+                    part[part == part[j]] = part[i]
         return pd.DataFrame({"src": src, "dst": dst})
 
     links = keyed.groupBy("band", "part").applyInPandas(verify, "src binary, dst binary")
