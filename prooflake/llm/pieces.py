@@ -1,11 +1,10 @@
 """SentencePiece vocabularies: BPE encoding with seeded merge-dropout, lossless decoding, and count-only Viterbi.
 
-BPE. A text is cut where no merge can reach: before each run of spaces, and between a letter and a mark that no piece has
-after a letter. In a unit, symbols start as characters, and an
-agenda holds the merges of neighbours that are pieces, best score first, then leftmost. With dropout each candidate
-merge, as it is taken from the agenda, is skipped for good at the rate, by draws of its own for each place: a keyed hash of
-seed, text, document, pass and the unit's number gives the gaps between skipped candidates. A segmentation depends only on
-the unit and its gaps, so it is kept under these, and where the first gap is beyond the unit's last candidate, under the unit.
+BPE. A text is cut where no merge can reach: between characters that no piece has side by side. In a unit, symbols start
+as characters, and an agenda holds the merges of neighbours that are pieces, best score first, then leftmost. Agendas of
+many units are worked off together: a round takes the best candidate of each. With dropout a candidate, as it is taken,
+is skipped for good if a keyed hash of seed, text, document, pass and the candidate's own place in the text (start, middle
+and end) falls below the rate, so each candidate of each place has a draw of its own and nothing is kept between units.
 Characters without a piece become bytes, and so does the literal space mark, which makes decoding exact.
 
 Counts. Words are units that begin with the space mark. An Aho-Corasick automaton gives the vocabulary's matches by their
@@ -20,11 +19,8 @@ import hashlib
 import heapq
 import math
 import re
-import sys
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -34,11 +30,14 @@ from .common import batches
 
 RATE, SEED = 0.1, 2
 MARK = "\u2581"
-_UNIT = re.compile(" +[^ ]*")
-#: Units that a worker keeps.
+_HEAD = re.compile("(?<=[^ ])(?= )")
+#: Characters handled at once, and widths of the tables that units of up to so many characters are worked off in.
+PART, WIDTHS = 1 << 20, (2, 3, 4, 5, 6, 8, 10, 12, 16, 24, 32, 64)
+#: The rank of no candidate.
+NEVER = np.iinfo(np.int32).max
+_TURNS = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
+#: Units that a counting worker keeps.
 KEPT = 1_000_000
-#: A gap that no unit reaches.
-FAR = 1 << 62
 
 
 def load(path: str) -> bytes:
@@ -54,15 +53,62 @@ def _model(data: bytes):
     return sentencepiece.SentencePieceProcessor(model_proto=data)
 
 
+class Pairs:
+    """Which pairs of symbols make a symbol: an open-addressed table of numpy arrays, looked up many pairs at a time."""
+
+    def __init__(self, left: np.ndarray, right: np.ndarray, rank: np.ndarray, to: np.ndarray):
+        bits = max(8, (8 * len(left)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.key = np.full(1 << bits, -1, np.int64)
+        self.rank = np.full(1 << bits, NEVER, np.int32)
+        self.to = np.zeros(1 << bits, np.int32)
+        keys, todo = self._keys(left, right), np.arange(len(left))
+        home, self.probes = self._home(keys), 0
+        while len(todo):
+            at = (home[todo] + self.probes) & self.mask
+            free = np.flatnonzero(self.key[at] < 0)
+            free = free[np.unique(at[free], return_index=True)[1]]
+            own = todo[free]
+            self.key[at[free]], self.rank[at[free]], self.to[at[free]] = keys[own], rank[own], to[own]
+            todo = np.delete(todo, free)
+            self.probes += 1
+
+    @staticmethod
+    def _keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        return left.astype(np.int64) << 32 | right
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        h = keys.astype(np.uint64)
+        return (((h ^ (h >> np.uint64(19))) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def __call__(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rank, symbol) of each pair; rank NEVER where it makes none."""
+        keys = self._keys(left, right)
+        home = self._home(keys)
+        at = home.copy()
+        found = self.key[at]
+        todo = np.flatnonzero((found != keys) & (found >= 0))
+        for probe in range(1, self.probes):
+            if not len(todo):
+                break
+            at[todo] = (home[todo] + probe) & self.mask
+            found = self.key[at[todo]]
+            todo = todo[(found != keys[todo]) & (found >= 0)]
+        return np.where(self.key[at] == keys, self.rank[at], NEVER), self.to[at]
+
+
 class Bpe:
-    """Encoder and decoder of a BPE model. rate 0: the model's own segmentation."""
+    """Encoder and decoder of a BPE model. rate 0: the model's own segmentation.
+
+    Symbols are numbers: piece ids, then characters that occur in pieces without being one, then one for all others.
+    """
 
     def __init__(self, data: bytes, rate: float = 0.0, seed: int = SEED):
         sp = _model(data)
         self.rate, self.seed = rate, seed
         self.order: dict[str, float] = {}
         self.id: dict[str, int] = {}
-        self.byte = [0] * 256
+        self.byte = np.zeros(256, np.int32)
         self.raw: list[bytes] = []
         for i in range(sp.get_piece_size()):
             piece = sp.id_to_piece(i)
@@ -75,147 +121,185 @@ class Bpe:
                 own = piece.replace(MARK, " ")
                 self.order[own], self.id[own] = -sp.get_score(i), i
                 self.raw.append(own.encode())
-        self.cuts = self._cuts()
-        self.kept, self.parts, self.skips = _Kept(self._plain), _Kept(self._part), _Kept(self._skipped)
-
-    def _cuts(self) -> re.Pattern:
-        """Where no merge can reach: before a run of spaces, and between a letter and a mark that follows no letter in any
-        piece."""
-        marks = {c for p in self.id for c in p if not c.isalnum() and c != " "} | set("\n\r\t" + MARK)
-        marks -= {b for p in self.id for a, b in zip(p, p[1:], strict=False) if a.isalpha()}
-        letters = "".join(sorted({c for p in self.id for c in p if c.isalpha()}))
-        return re.compile(f"(?<=[^ ])(?= )|(?<=[{letters}])(?=[{re.escape(''.join(sorted(marks)))}])")
-
-    def symbols(self, unit: str, left: int, gaps: Iterator[int]) -> tuple[list[str], int]:
-        """The unit's symbols if its candidate number `left` is skipped, and then one after each gap; and what is left of the
-        last gap."""
-        n, score = len(unit), self.order
-        if n == 1:
-            return [unit], left
+        ranks = {score: i for i, score in enumerate(sorted(set(self.order.values())))}
+        self.rank = {p: ranks[score] for p, score in self.order.items()}
+        chars = sorted({c for p in self.id for c in p})
+        symbol = dict(self.id)
+        for c in chars:
+            symbol.setdefault(c, len(self.raw) + len(symbol) - len(self.id))
+        self.other = len(self.raw) + len(symbol) - len(self.id)
+        self.symbol = np.full(0x110000, self.other, np.int32)
+        self.kind = np.zeros(0x110000, np.uint16)
+        points = np.array([ord(c) for c in chars])
+        self.symbol[points] = [symbol[c] for c in chars]
+        self.kind[points] = np.arange(1, len(chars) + 1)
+        # Neighbours that some piece has: elsewhere no merge can reach, and texts are cut into units.
+        near = np.array([(ord(a), ord(b)) for p in self.id for a, b in zip(p, p[1:], strict=False)])
+        self.near = np.zeros((len(chars) + 1, len(chars) + 1), bool)
+        self.near[self.kind[near[:, 0]], self.kind[near[:, 1]]] = True
+        made = [(symbol[p[:i]], symbol[p[i:]], self.rank[p], own) for p, own in self.id.items() for i in range(1, len(p)) if p[:i] in symbol and p[i:] in symbol]
+        self.pairs = Pairs(*np.array(made, np.int64).T)
+
+    def skipped(self, key: np.ndarray, start: np.ndarray, middle: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Whether the candidate that merges [start, middle) with [middle, stop) is skipped in the text of this key."""
+        h = _mixed(key + start.astype(np.uint64) * _TURNS[0] + middle.astype(np.uint64) * _TURNS[1] + stop.astype(np.uint64) * _TURNS[2])
+        return (h >> np.uint64(11)).astype(np.float64) < self.rate * (1 << 53)
+
+    def _merged(self, sym: np.ndarray, key: np.ndarray, start: np.ndarray) -> None:
+        """Work off the agendas of many units at once. Row i of sym holds a unit's symbols, and `other` from its end on, its
+        last column included; key and start are of the unit's text and of its place there. A round takes the best candidate
+        of each unit, leftmost of equals. A merged symbol stands at its start, with -1 at its further characters."""
+        n, width = sym.shape
+        own = sym.ravel()
+        flat, new = self.pairs(own, np.append(own[1:], self.other))
+        rank = flat.reshape(n, width)
+        after = np.tile(np.arange(1, width + 1, dtype=np.int32), (n, 1)).ravel()
+        before = np.tile(np.arange(-1, width - 1, dtype=np.int32), (n, 1)).ravel()
+        rows = np.arange(n)
+        while len(rows):
+            part = rank[rows]
+            j = part.argmin(axis=1)
+            live = part[np.arange(len(rows)), j] != NEVER
+            rows, j = rows[live], j[live]
+            base = rows * width
+            at = base + j
+            k = after[at]
+            stop = after[base + k]
+            some = slice(None)
+            if self.rate:
+                gone = self.skipped(key[rows], start[rows] + j, start[rows] + k, start[rows] + stop)
+                flat[at[gone]] = NEVER
+                some = ~gone
+            base, at, j, k, stop = base[some], at[some], j[some], k[some], stop[some]
+            own[at] = new[at]
+            own[base + k] = -1
+            flat[base + k] = NEVER
+            after[at] = stop
+            before[base + stop] = j
+            flat[at], new[at] = self.pairs(own[at], own[base + stop])
+            left = before[at]
+            has = left >= 0
+            base, at = base[has] + left[has], at[has]
+            flat[base], new[base] = self.pairs(own[base], own[at])
+
+    def _long(self, points: np.ndarray, sym: np.ndarray, key: np.uint64, start: int) -> None:
+        """The same for one unit too long for a row, by a heap."""
+        unit, n, rank = "".join(map(chr, points.tolist())), len(points), self.rank
         after, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-        agenda = [(score[unit[i : i + 2]], i, i + 1, i + 2) for i in range(n - 1) if unit[i : i + 2] in score]
-        if not agenda:
-            return list(unit), left
+        agenda = [(rank[unit[i : i + 2]], i, i + 1, i + 2) for i in range(n - 1) if unit[i : i + 2] in rank]
         heapq.heapify(agenda)
-        pop, push = heapq.heappop, heapq.heappush
+        key, limit, (a, b, c) = int(key), self.rate * (1 << 53), (int(x) for x in _TURNS)
+
+        def add(i: int, j: int, stop: int) -> None:
+            s = unit[i:stop]
+            if s in rank:
+                heapq.heappush(agenda, (rank[s], i, j, stop))
+
         while agenda:
-            _, i, j, stop = pop(agenda)
+            _, i, j, stop = heapq.heappop(agenda)
             if end[i] != j or end[j] != stop:
                 continue
-            if not left:
-                left = next(gaps)
+            if limit and _mixed_int(key + (start + i) * a + (start + j) * b + (start + stop) * c) >> 11 < limit:
                 continue
-            left -= 1
-            end[i], end[j] = stop, -1
-            after[i] = stop
+            end[i], end[j], after[i] = stop, -1, stop
             if stop < n:
                 before[stop] = i
-                far = end[stop]
-                s = unit[i:far]
-                if s in score:
-                    push(agenda, (score[s], i, stop, far))
-            k = before[i]
-            if k >= 0:
-                s = unit[k:stop]
-                if s in score:
-                    push(agenda, (score[s], k, i, stop))
-        out, i = [], 0
+                add(i, stop, end[stop])
+            if before[i] >= 0:
+                add(before[i], i, stop)
+        sym[:] = -1
+        i = 0
         while i < n:
-            out.append(unit[i : end[i]])
+            s = unit[i : end[i]]
+            sym[i] = self.id[s] if end[i] > i + 1 else self.symbol[points[i]]
             i = end[i]
-        return out, left
-
-    def _ids(self, symbols: list[str]) -> bytes:
-        ids: list[int] = []
-        for s in symbols:
-            own = self.id.get(s)
-            ids += [own] if own is not None else [self.byte[b] for b in s.encode("utf-8", "surrogatepass")]
-        return _pack(ids)
-
-    def unit(self, unit: str, gaps: Iterator[int]) -> tuple[bytes, int]:
-        """Ids of a unit without its first space, as packed 32-bit integers, and what is left of the last gap. Candidates are
-        numbered through its parts between cuts."""
-        out, left = [], next(gaps)
-        for part in self.cuts.split(" " + unit):
-            if len(part) < 64:
-                ids, n = self.parts[part]
-                if left >= n:
-                    out.append(ids)
-                    left -= n
-                    continue
-            symbols, left = self.symbols(part, left, gaps)
-            out.append(self._ids(symbols))
-        return b"".join(out), left
-
-    def _part(self, part: str) -> tuple[bytes, int]:
-        symbols, left = self.symbols(part, FAR, repeat(FAR))
-        return self._ids(symbols), FAR - left
-
-    def _plain(self, unit: str) -> tuple[bytes, int]:
-        """Ids without a skipped candidate, and the number of candidates."""
-        ids, left = self.unit(unit, repeat(FAR))
-        return ids, FAR - left
-
-    def _skipped(self, key: tuple) -> tuple[bytes, int]:
-        """Ids of (unit, gap, gap, ...), and the number of candidates after the last skipped one."""
-        ids, left = self.unit(key[0], chain(key[1:], repeat(FAR)))
-        return ids, FAR - left
-
-    def _drawn(self, h: np.ndarray) -> np.ndarray:
-        """Gaps between skipped candidates from 24 random bits each."""
-        if self.rate >= 1:
-            return np.zeros(len(h), np.int64)
-        return (np.log((h.astype(np.float64) + 1) / (1 << 24)) / math.log1p(-self.rate)).astype(np.int64)
-
-    def _gaps(self, h: int) -> Iterator[int]:
-        """The gaps of a place, whose hash is h: two from its bits, more from hashes of it."""
-        while True:
-            yield from self._drawn(np.array([h >> 40, h & 0xFFFFFF])).tolist()
-            h = int(_mixed(np.array([h], np.uint64))[0])
 
-    def encode(self, text: str, place: str = "") -> bytes:
-        """Ids of a text as packed 32-bit integers; none for the empty text. Merges are skipped by draws that belong to the seed,
-        the text and its place (a document and a pass, say)."""
-        if not text:
-            return b""
-        units = text.split(" ")
-        if "" in units:  # runs of spaces belong to what follows them
-            units = [u[1:] for u in _UNIT.findall(" " + text)]
-        kept, skips = self.kept, self.skips
-        if not self.rate:
-            return b"".join([kept[u][0] for u in units])
-        import xxhash
-
-        key = xxhash.xxh64_intdigest(place, xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), self.seed))
-        h = _mixed(np.arange(len(units), dtype=np.uint64) + np.uint64(key))
-        gaps, after = self._drawn(h >> np.uint64(40)).tolist(), self._drawn(h & np.uint64(0xFFFFFF)).tolist()
-        out = []
-        for i, unit in enumerate(units):
-            if len(unit) >= 64:
-                out.append(self.unit(unit, self._gaps(int(h[i])))[0])
+    def encode_all(self, texts: list[str], places: list[str]) -> list[np.ndarray]:
+        """Ids of each text; none for the empty text. Which merges are skipped belongs to the seed, the text and its place (a
+        document and a pass, say). Texts are handled a few MB at a time, a longer text in parts cut before spaces."""
+        out: list[list[np.ndarray]] = [[] for _ in texts]
+        held: list[tuple] = []
+        total = 0
+        for i, (text, place) in enumerate(zip(texts, places, strict=True)):
+            if not text:
                 continue
-            ids, n = kept[unit]
-            if gaps[i] < n:
-                ids, n = skips[unit, gaps[i]]
-                if after[i] < n:
-                    more = self._gaps(int(h[i]))
-                    drawn = (unit, next(more))
-                    while (gap := next(more)) < n:
-                        drawn = (*drawn, gap)
-                        ids, n = skips[drawn]
-            out.append(ids)
-        return b"".join(out)
+            key = _xxh(place, _xxh(text.encode("utf-8", "surrogatepass"), self.seed)) if self.rate else 0
+            for start, part in _parts(" " + text):
+                held.append((i, part, key, start))
+                total += len(part)
+                if total >= PART:
+                    self._solve(held, out)
+                    held, total = [], 0
+        self._solve(held, out)
+        return [x[0] if len(x) == 1 else np.concatenate(x) if x else np.zeros(0, np.int32) for x in out]
+
+    def _solve(self, held: list[tuple], out: list[list[np.ndarray]]) -> None:
+        if not held:
+            return
+        points = np.frombuffer("".join(h[1] for h in held).encode("utf-32-le", "surrogatepass"), np.uint32)
+        sizes = np.array([len(h[1]) for h in held])
+        first = np.cumsum(sizes) - sizes
+        sym = self.symbol[points]
+        kinds = self.kind[points]
+        cut = np.concatenate(([True], ~self.near[kinds[:-1], kinds[1:]]))
+        cut[first] = True
+        units = np.flatnonzero(cut)
+        lens = np.diff(np.append(units, len(points)))
+        units, lens = units[lens > 1], lens[lens > 1]
+        text = np.searchsorted(first, units, side="right") - 1
+        keys = np.array([h[2] for h in held], np.uint64)[text]
+        starts = units - first[text] + np.array([h[3] for h in held])[text]
+        low = 1
+        for high in WIDTHS:
+            here = np.flatnonzero((lens > low) & (lens <= high))
+            for ix in np.array_split(here, -(-len(here) * high // (1 << 20))) if len(here) else ():
+                at = units[ix][:, None] + np.arange(high + 1)
+                inside = np.arange(high + 1) < lens[ix][:, None]
+                rows = np.where(inside, sym[np.minimum(at, len(sym) - 1)], self.other)
+                self._merged(rows, keys[ix], starts[ix])
+                sym[at[inside]] = rows[inside]
+            low = high
+        for u in np.flatnonzero(lens > low).tolist():
+            here = slice(units[u], units[u] + lens[u])
+            self._long(points[here], sym[here], keys[u], int(starts[u]))
+        keep = sym >= 0
+        ids, counts = sym[keep], np.add.reduceat(keep, first)
+        bad = np.flatnonzero(ids >= len(self.raw))
+        if len(bad):  # characters without a piece become bytes
+            lost = points[keep][bad]
+            spelled = {c: self.byte[list(chr(c).encode("utf-8", "surrogatepass"))] for c in np.unique(lost).tolist()}
+            reps = np.ones(len(ids), np.int64)
+            reps[bad] = [len(spelled[c]) for c in lost.tolist()]
+            stops = np.cumsum(reps)
+            counts = np.diff(stops[np.cumsum(counts) - 1], prepend=0)
+            ids = np.repeat(ids, reps)
+            ids[np.repeat(reps > 1, reps)] = 0
+            ids[np.concatenate([np.arange(stops[b] - reps[b], stops[b]) for b in bad])] = np.concatenate([spelled[c] for c in lost.tolist()])
+        for h, own in zip(held, np.split(ids.astype("<i4"), np.cumsum(counts)[:-1]), strict=True):
+            out[h[0]].append(own)
+
+    def encode(self, text: str, place: str = "") -> bytes:
+        """Ids of one text as packed little-endian 32-bit integers."""
+        return self.encode_all([text], [place])[0].tobytes()
 
     def decode(self, ids: bytes) -> str:
         """The text that encode() was given, whatever merges were skipped."""
         return b"".join(map(self.raw.__getitem__, np.frombuffer(ids, "<i4").tolist()))[1:].decode("utf-8", "surrogatepass")
 
 
-def _pack(ids: list[int]) -> bytes:
-    out = array("i", ids)
-    if sys.byteorder != "little":
-        out.byteswap()
-    return out.tobytes()
+def _parts(text: str) -> Iterator[tuple[int, str]]:
+    """(start, part) of a text; all but the last are about PART characters long and end before a space that follows none."""
+    at = 0
+    while len(text) - at > PART and (m := _HEAD.search(text, at + PART)):
+        yield at, text[at : m.start()]
+        at = m.start()
+    yield at, text[at:]
+
+
+def _xxh(data: bytes | str, seed: int) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(data, seed)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -225,19 +309,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Kept(dict):
-    """Segmentations by what they depend on, emptied when they pass their share of KEPT."""
-
-    def __init__(self, solve):
-        super().__init__()
-        self.solve = solve
-
-    def __missing__(self, key):
-        out = self.solve(key)
-        if len(self) >= KEPT // 4:
-            self.clear()
-        self[key] = out
-        return out
+def _mixed_int(x: int) -> int:
+    return int(_mixed(np.array([x & (1 << 64) - 1], np.uint64))[0])
 
 
 @lru_cache(maxsize=2)
@@ -260,14 +333,15 @@ def encoded(docs: DataFrame, model: str, rate: float = RATE, seed: int = SEED, i
         bpe = _bpe(held.value, rate, seed)
         last, turn = None, 0
         for own, texts in batches(rows, 4 << 20):
-            out = []
-            for i, t in zip(own, texts, strict=True):
-                text = (t or b"").decode()
+            decoded, places, out = [(t or b"").decode() for t in texts], [], []
+            for i, text in zip(own, decoded, strict=True):
                 turn = turn + 1 if (i, text) == last else 0
                 last = (i, text)
-                ids = bpe.encode(text, f"{i} {turn}")
-                back = bpe.decode(ids)
-                out.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), back == text, np.frombuffer(ids, "<i4") if with_ids else None))
+                places.append(f"{i} {turn}")
+            for text, ids in zip(decoded, bpe.encode_all(decoded, places), strict=True):
+                packed = ids.tobytes()
+                back = bpe.decode(packed)
+                out.append((len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), back == text, ids if with_ids else None))
             cols = list(zip(*out, strict=True))
             kinds = (pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.list_(pa.int32()))
             arrays = [pa.array(own, pa.int64()), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]][: 6 if with_ids else 5]
