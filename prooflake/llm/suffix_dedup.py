@@ -344,15 +344,10 @@ def _merged(table: np.ndarray) -> np.ndarray:
     return out
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = MIN_LEN, reach: int | None = None, hot_family: int = HOT_FAMILY, with_text: bool = False, extra: tuple[str, ...] = ()) -> DataFrame:
-    """Per row of docs: id, n_bytes, n_removed, n_spans, kept_sha256, the `extra` columns and, if asked for, kept: the
-    remaining bytes as a string, without the rest of characters that a cut has split.
-
-    A null text is empty; texts shorter than min_len lose nothing. Matches never cross texts. Repeated rows are other
-    places, so they lose every string. Ids may be null or occur twice. An empty table gives no rows.
-    """
+def _deduped(docs: DataFrame, text_col: str, min_len: int, reach: int | None, hot_family: int, with_text: bool, carried: list[str]) -> DataFrame:
+    """n_bytes, n_removed, n_spans, kept_sha256, kept and the carried columns under the names c0, c1, ..."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), *_keys(text), F.octet_length(text).cast("long").alias("n_bytes"), *[F.col(c).alias(f"extra_{c}") for c in extra])
+    rows = docs.select(*_keys(text), F.octet_length(text).cast("long").alias("n_bytes"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carried)])
     texts = cut(distinct_texts(docs, text_col)).where("k1 is not null")  # alike in both joins, so that one exchange serves them
     found = spans(texts, min_len, reach, hot_family).groupBy("k1").agg(F.collect_list(F.struct("k2", "start", "stop")).alias("spans"))
     copies = rows.groupBy("k1", "k2").agg(F.count("*").alias("copies"))
@@ -375,22 +370,33 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_l
 
     cleaned = texts.join(found, "k1", "left").select("z", "k1", "spans").mapInArrow(remove, "k1 long, k2 long, n_removed long, n_spans long, kept_sha256 string, kept string")
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= min_len)
-    out = rows.join(cleaned.join(copies, ["k1", "k2"]), ["k1", "k2"]).select(
-        F.col("doc_id").alias(id_col),
+    return rows.join(cleaned.join(copies, ["k1", "k2"]), ["k1", "k2"]).select(
         "n_bytes",
         F.when(whole, F.col("n_bytes")).otherwise(F.col("n_removed")).alias("n_removed"),
         F.when(whole, F.lit(1).cast("long")).otherwise(F.col("n_spans")).alias("n_spans"),
         F.when(whole, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.col("kept_sha256")).alias("kept_sha256"),
-        *[F.col(f"extra_{c}").alias(c) for c in extra],
-        *[F.when(whole, F.lit("")).otherwise(F.col("kept")).alias("kept")][: int(with_text)],
+        F.when(whole, F.lit("")).otherwise(F.col("kept")).alias("kept"),
+        *[f"c{i}" for i in range(len(carried))],
     )
-    return out
 
 
-def removed(docs: DataFrame, **options) -> DataFrame:
-    """docs with repeated strings cut out of their texts, and n_chars, if there, set anew."""
-    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    out = dedup(docs, with_text=True, extra=rest, **options).withColumn("text", F.col("kept"))
-    if "n_chars" in rest:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = MIN_LEN, reach: int | None = None, hot_family: int = HOT_FAMILY, with_text: bool = False) -> DataFrame:
+    """Per row of docs: id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept: the remaining bytes as a string,
+    without the rest of characters that a cut has split.
+
+    A null text is empty; texts shorter than min_len lose nothing. Matches never cross texts. Repeated rows are other
+    places, so they lose every string. Ids may be null or occur twice; further columns are left out. An empty table gives no
+    rows.
+    """
+    out = _deduped(docs, text_col, min_len, reach, hot_family, with_text, [id_col])
+    return out.select(F.col("c0").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"][: int(with_text)])
+
+
+def removed(docs: DataFrame, min_len: int = MIN_LEN, reach: int | None = None, hot_family: int = HOT_FAMILY) -> DataFrame:
+    """docs with repeated strings cut out of their texts, and n_chars, if there, set anew. Columns may have any names."""
+    carried = [c for c in docs.columns if c != "text"]
+    out = _deduped(docs, "text", min_len, reach, hot_family, True, carried)
+    named = {c: F.col(f"c{i}") for i, c in enumerate(carried)} | {"text": F.col("kept")}
+    if "n_chars" in named:
+        named["n_chars"] = F.length("kept").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[named[c].alias(c) for c in docs.columns])
