@@ -1,9 +1,12 @@
 """Mixing sources to target weights.
 
-Each source's documents are one stream of words, cut into blocks of fixed length. A source's share of the mix is a number of
-slots; multinomial draws spread them over output shards. Slot k of a source takes block perm(k mod blocks) of pass k div
-blocks, where perm is a keyed Feistel permutation of the source's block numbers for that pass, so that no block is taken
-twice before all are taken once. Slots and documents meet by (source, block).
+Each source's documents are one stream of words, cut into blocks of fixed length. The mix is a row of output shards with a
+fixed number of slots. Each shard draws its count of every source from a multinomial over what the sources still owe to
+their targets, so that totals are met without being dealt out beforehand. A source's slots are numbered through the shards;
+slot k takes block perm(k mod blocks) of pass k div blocks, where perm is a keyed Feistel permutation of the source's block
+numbers for that pass, so that no block is taken twice before all are taken once. Inside a shard a permutation of its own
+gives each slot its position. Slots and blocks meet by (source, block): packed() gives the shards' blocks, taken() and
+mixed() what each document has in them.
 
 Streams need no global order: documents are dealt to `buckets` per source by a hash of their content, running sums are made
 inside buckets, and the few sums of buckets are added up, so that a source with a third of all rows is spread like any
@@ -26,8 +29,8 @@ from .common import cut
 PATTERN = (5, 2, 1)
 CAP = 3
 SEED = 3
-#: Words of a block, and slots of an output shard, about.
-BLOCK, SHARD = 128, 1 << 20
+#: Words of a block, and slots of an output shard.
+BLOCK, SHARD = 128, 1 << 16
 #: Sources up to which their table is broadcast; a longer one is joined by a shuffle.
 SOURCES = 100_000
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -94,9 +97,26 @@ def sized(docs: DataFrame, with_text: bool = False) -> DataFrame:
     return cut(out.withColumn("uid", F.monotonically_increasing_id()))
 
 
-def plan(sizes: DataFrame, share: float = 1.0, pattern: tuple = PATTERN, cap: int = CAP, block: int = BLOCK, seed: int = SEED, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
-    """From (uid, place, source, size): the sources (source, source_size, target) and (uid, start, words, times): which words of
-    a document, counted from its first, are in the mix how often. The table of sources is made on the driver."""
+def draws(owed: np.ndarray, shard: int, seed: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(shard number, count of each source) of output shards of `shard` slots, the last one shorter. A shard draws from a
+    multinomial whose weights are the slots that sources still owe; what passes a source's due is drawn again for the others."""
+    left = owed.astype(np.int64).copy()
+    for s in range(-(-int(left.sum()) // shard)):
+        rng, count = np.random.default_rng([seed, s]), np.zeros(len(left), np.int64)
+        todo = min(shard, int(left.sum()))
+        while todo:
+            open_ = left - count
+            got = np.minimum(rng.multinomial(todo, open_ / open_.sum()), open_)
+            count += got
+            todo -= int(got.sum())
+        left -= count
+        yield s, count
+
+
+def plan(sizes: DataFrame, share: float = 1.0, pattern: tuple = PATTERN, cap: int = CAP, block: int = BLOCK, seed: int = SEED, shard: int = SHARD) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """From (uid, place, source, size): the sources (src, source, source_size, target), the slots of the output shards (shard,
+    position, src, block, pass), and which words of a document, counted from its first, lie in which block (uid, src, block,
+    start, words). The table of sources is made on the driver; it has a row for each source."""
     spark = sizes.sparkSession
     sums = sizes.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
     total = {r["source"]: r["size"] for r in sums}
@@ -106,34 +126,35 @@ def plan(sizes: DataFrame, share: float = 1.0, pattern: tuple = PATTERN, cap: in
         blocks = -(-total[s] // block)
         slots = min(round(t * blocks / total[s]), cap * blocks) if blocks else 0
         rows.append((i, s, total[s], t, blocks, slots))
-    table = spark.createDataFrame(rows, "src int, source string, source_size long, target double, blocks long, slots long")
+    table = spark.createDataFrame([r[:4] for r in rows], "src int, source string, source_size long, target double")
     if len(rows) <= SOURCES:
         table = F.broadcast(table)
-    shards = max(1, -(-sum(r[5] for r in rows) // shard))
+    blocks, owed = np.array([r[4] for r in rows], np.int64), np.array([r[5] for r in rows], np.int64)
 
     def draw(batch: Iterator) -> Iterator:
         import pandas as pd
 
-        for pdf in batch:
-            for r in pdf.itertuples():
-                n = np.random.default_rng([seed, r.src]).multinomial(r.slots, np.full(shards, 1 / shards))
-                yield pd.DataFrame({"src": r.src, "shard": np.arange(shards), "first": np.cumsum(n) - n, "n": n, "blocks": r.blocks})
+        for _ in batch:
+            first = np.zeros(len(owed), np.int64)
+            for s, count in draws(owed, shard, seed):
+                own = np.flatnonzero(count)
+                yield pd.DataFrame({"src": own, "shard": s, "size": count.sum(), "base": (np.cumsum(count) - count)[own], "first": first[own], "n": count[own], "blocks": blocks[own]})
+                first += count
 
     def take(batch: Iterator) -> Iterator:
         import pandas as pd
 
         for pdf in batch:
             for r in pdf.itertuples():
-                for at in range(r.first, r.first + r.n, 1 << 18):
-                    k = np.arange(at, min(at + (1 << 18), r.first + r.n))
-                    turn = k // r.blocks
-                    for e in np.unique(turn):
-                        x = permuted(k[turn == e] % r.blocks, r.blocks, [seed, r.src, int(e)])
-                        yield pd.DataFrame({"src": r.src, "shard": r.shard, "block": x})
-
-    drawn = table.where("slots > 0").select("src", "slots", "blocks").mapInPandas(draw, "src int, shard long, first long, n long, blocks long")
-    slots = drawn.where("n > 0").repartition("src", "shard").mapInPandas(take, "src int, shard long, block long")
-    times = slots.groupBy("src", "block").agg(F.count("*").alias("times"))
+                for at in range(0, r.n, 1 << 18):
+                    j = np.arange(at, min(at + (1 << 18), r.n))
+                    turn, own = (r.first + j) // r.blocks, (r.first + j) % r.blocks
+                    for e in np.unique(turn).tolist():
+                        own[turn == e] = permuted(own[turn == e], r.blocks, [seed, r.src, e])
+                    yield pd.DataFrame({"shard": r.shard, "position": permuted(r.base + j, r.size, [seed, 1 << 40, r.shard]), "src": r.src, "block": own, "pass": turn})
+
+    drawn = spark.range(1, numPartitions=1).mapInPandas(draw, "src int, shard long, size long, base long, first long, n long, blocks long")
+    slots = drawn.repartition("src", "shard").mapInPandas(take, "shard long, position long, src int, block long, pass long")
 
     buckets = max(1, math.isqrt(sum(r["n"] for r in sums)))
     own = sizes.where("size > 0").join(table.select("src", F.col("source").alias("_s")), F.col("source").eqNullSafe(F.col("_s")))
@@ -143,7 +164,41 @@ def plan(sizes: DataFrame, share: float = 1.0, pattern: tuple = PATTERN, cap: in
     placed = own.withColumn("run", run).join(offset.select("src", "bucket", "offset").hint("merge"), ["src", "bucket"]).select("uid", "src", "size", (F.col("run") + F.col("offset")).alias("at"))
     parts = placed.select("uid", "src", "size", "at", F.explode(F.sequence(F.expr(f"at div {block}"), F.expr(f"(at + size - 1) div {block}"))).alias("block"))
     inside = parts.withColumn("start", F.greatest(F.lit(0), F.col("block") * block - F.col("at"))).withColumn("stop", F.least("size", (F.col("block") + 1) * block - F.col("at")))
-    return table, inside.join(times.hint("merge"), ["src", "block"]).select("uid", "start", (F.col("stop") - F.col("start")).alias("words"), "times")
+    return table, slots, inside.select("uid", "src", "block", "start", (F.col("stop") - F.col("start")).alias("words"))
+
+
+def _used(slots: DataFrame, inside: DataFrame) -> DataFrame:
+    """(uid, start, words, times): how often the words of a document's blocks are in the mix."""
+    times = slots.groupBy("src", "block").agg(F.count("*").alias("times"))
+    return inside.join(times.hint("merge"), ["src", "block"]).select("uid", "start", "words", "times")
+
+
+def packed(docs: DataFrame, **options) -> DataFrame:
+    """The blocks of the output shards: (shard, position, source, block, pass, n_words, text), text being the block's words,
+    joined by spaces. Positions of a shard are 0, 1, ...; all blocks but a source's last have the block's full length.
+
+    A null text has no words; an empty table gives no rows."""
+    base = sized(docs.select("text", "doc_id", F.col("source").cast("string").alias("source")), with_text=True)
+    table, slots, inside = plan(base.select("uid", "place", "source", "size"), **options)
+    runs = inside.groupBy("uid").agg(F.collect_list(F.struct("src", "block", "start", "words")).alias("runs"))
+
+    def cut_out(rows: Iterator) -> Iterator:
+        import pyarrow as pa
+        import zstandard
+
+        d = zstandard.ZstdDecompressor()
+        for b in rows:
+            for uid, place, z, own in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                words = d.decompress(z).split()
+                parts = [b" ".join(words[r["start"] : r["start"] + r["words"]]) for r in own]
+                cols = [[r["src"] for r in own], [r["block"] for r in own], [(place, uid, r["words"], t.decode()) for r, t in zip(own, parts, strict=True)]]
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array([dict(zip(("place", "uid", "words", "text"), x, strict=True)) for x in cols[2]], pa.struct([("place", pa.int64()), ("uid", pa.int64()), ("words", pa.int64()), ("text", pa.string())]))], ["src", "block", "part"])
+
+    parts = base.join(runs, "uid").select("uid", "place", "z", "runs").mapInArrow(cut_out, "src int, block long, part struct<place: bigint, uid: bigint, words: bigint, text: string>")
+    whole = parts.groupBy("src", "block").agg(F.sort_array(F.collect_list("part")).alias("parts"))  # a block holds at most its words' number of parts
+    text = F.concat_ws(" ", F.transform("parts", lambda p: p["text"]))
+    whole = whole.select("src", "block", F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + p["words"]).alias("n_words"), text.alias("text"))
+    return slots.join(whole, ["src", "block"]).join(table.select("src", "source"), "src").select("shard", "position", "source", "block", "pass", "n_words", "text")
 
 
 def taken(docs: DataFrame, **options) -> DataFrame:
@@ -152,7 +207,8 @@ def taken(docs: DataFrame, **options) -> DataFrame:
     A null text has no words; a null source is a source of its own; repeated rows are documents of their own. No document
     gives more than `cap` times its size. An empty table gives no rows."""
     sizes = sized(docs.select("doc_id", F.col("source").cast("string").alias("source"), "text"))
-    table, used = plan(sizes, **options)
+    table, slots, inside = plan(sizes, **options)
+    used = _used(slots, inside)
     sums = used.groupBy("uid").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     rows = sizes.join(sums, "uid", "left").join(table.select(F.col("source").alias("_s"), "source_size", "target"), F.col("source").eqNullSafe(F.col("_s")))
     return rows.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
@@ -165,8 +221,8 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     rest = [c for c in names if c != "text"]
     own = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)]  # so that no name clashes
     base = sized(docs.select("text", "doc_id", F.col("source").cast("string").alias("source"), *own), with_text=True)
-    _, used = plan(base.select("uid", "place", "source", "size"), **options)
-    runs = used.groupBy("uid").agg(F.collect_list(F.struct("start", "words", "times")).alias("runs"))
+    _, slots, inside = plan(base.select("uid", "place", "source", "size"), **options)
+    runs = _used(slots, inside).groupBy("uid").agg(F.collect_list(F.struct("start", "words", "times")).alias("runs"))
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema} | {"text": "string"}
 
     def cut_out(rows: Iterator) -> Iterator:
