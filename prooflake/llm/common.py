@@ -72,6 +72,29 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+#: A key is hot if it has more than one in so many of all rows; fewer than so many keys can be.
+HOT_SHARE = 1000
+
+
+def hot_join(rows: DataFrame, table: DataFrame, key: str, n: str = "n", hot_share: int = HOT_SHARE) -> DataFrame:
+    """rows joined with a table that has one row for each key, with the key's number of rows in column n, which goes.
+
+    Rows of hot keys take the table's columns from a broadcast of fewer than hot_share rows and are spread over all tasks;
+    the others meet their keys in a shuffle. Rows without a key of the table go.
+    """
+    table = cut(table)
+    total = table.agg(F.sum(n)).first()[0] or 0
+    names = [c for c in table.columns if c not in (key, n)]
+    hot = F.col(n) * hot_share > total
+    few = F.broadcast(table.where(hot).select(F.col(key).alias("_hot"), *[F.col(c).alias(f"_hot_{c}") for c in names]))
+    many = table.where(~hot).select(F.col(key).alias("_own"), F.lit(0).alias("_spread_own"), *[F.col(c).alias(f"_own_{c}") for c in names])
+    met = rows.join(few, rows[key] == F.col("_hot"), "left")
+    met = met.withColumn("_spread", F.when(F.col("_hot").isNotNull(), 1 + F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 20)).cast("int")).otherwise(0))
+    met = met.join(many, (F.col(key) == F.col("_own")) & (F.col("_spread") == F.col("_spread_own")), "left")
+    met = met.where(F.col("_hot").isNotNull() | F.col("_own").isNotNull())
+    return met.select(*rows.columns, *[F.coalesce(f"_hot_{c}", f"_own_{c}").alias(c) for c in names])
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 100) -> DataFrame:
     """(node, component) for every node of an edge; component is the least node that can be reached.
 

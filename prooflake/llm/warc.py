@@ -1,16 +1,19 @@
 """WARC archives: a writer in DataFrame functions and a salvage reader.
 
-The writer makes one record per page, with revisit records for payloads that an earlier page has. A record's end is the
-text sink's line separator, so that files are plain WARC, compressed as a whole; Spark writes them to any file system.
+The writer makes one record per page, with revisit records for payloads that an earlier page has, and a gzip member per
+record. Spark's text sink writes the members to any file system: its line separator is the zero byte that a member ends in
+(the high byte of a length below 16 MiB; a longer record is followed by an empty member). Rows of the sink hold members of
+about a MB, and files a bounded number of rows.
 
 The reader takes files as bytes. It checks each gzip member, version line, header, length, record end and digest. After a
 failed check it searches for the next valid member or version line, goes on from there, and logs the bytes in between as a
-quarantined gap. What a broken member still gives before its fault is read too.
+quarantined gap. What a broken member still gives before its fault is read too, and its gap begins after that.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import uuid
@@ -20,7 +23,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import hot_join, shared_dir
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
@@ -50,12 +53,14 @@ def typed(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 
     Of rows with equal payloads of min_bytes or more, those with the least page_id are responses and the others revisit
     it; shorter payloads, and payloads of which no row has a page_id, are all responses. A null html is the empty payload.
-    Only ids and digests meet by payload; html moves once, by page_id.
+    Only ids and digests meet by payload, those of very frequent payloads without a shuffle to one task; html moves once, by
+    page_id.
     """
     body = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     small = pages.select(F.col("page_id").cast("long").alias("_id"), base32_sha1(body).alias("_digest"), F.octet_length(body).cast("long").alias("_bytes"))
-    first = small.groupBy("_digest").agg(F.min("_id").alias("_first"))
-    known = small.distinct().join(first, "_digest")
+    small = small.distinct()
+    first = small.groupBy("_digest").agg(F.min("_id").alias("_first"), F.count("*").alias("n"))
+    known = hot_join(small, first, "_digest")
     revisit = (F.col("_bytes") >= min_bytes) & (F.coalesce(F.col("_id"), F.col("_first") + 1) != F.col("_first"))
     known = known.select("_id", "_digest", "_bytes", F.coalesce(revisit, F.lit(False)).alias("_revisit"), "_first")
     full = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
@@ -95,9 +100,33 @@ def records(pages: DataFrame, min_bytes: int = 0, date: str = "2026-01-01T00:00:
     return t.select(F.concat(head, block).alias("value"))
 
 
-def write(pages: DataFrame, path: str, min_bytes: int = 0, per_file: int = 2000) -> None:
-    """Archives of at most per_file records, gzipped, into a folder that Spark can write."""
-    records(pages, min_bytes).write.option("lineSep", _END.decode()).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+def write(pages: DataFrame, path: str, min_bytes: int = 0, per_row: int = 1 << 20, per_file: int = 64) -> None:
+    """Archives of at most per_file rows of members, into a folder that Spark can write. A row is filled up to per_row bytes,
+    so that files stay near the product unless single records are larger."""
+
+    def packed(rows: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        held: list[bytes] = []
+        size = 0
+        for b in rows:
+            for value in b.column(0):
+                held.append(member(value.as_py()))
+                size += len(held[-1])
+                if size >= per_row:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], ["value"])
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], ["value"])
+
+    rows = records(pages, min_bytes).select(F.concat(F.col("value").cast("binary"), F.lit(_END))).mapInArrow(packed, "value binary")
+    rows.select(F.col("value").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", per_file).text(path)
+
+
+def member(record: bytes) -> bytes:
+    """A gzip member that ends in a zero byte, with an empty one behind it where its length needs that."""
+    out = gzip.compress(record, 6, mtime=0)
+    return out if out[-1] == 0 else out + gzip.compress(b"", 6, mtime=0)
 
 
 # --- salvage reader ------------------------------------------------------------------------------------------------
@@ -108,13 +137,16 @@ def salvage(data: bytes) -> Iterator[dict]:
     has that member's own offset; a gap has a reason instead of headers and payload."""
     at = 0
     while at < len(data):
+        read = 0
         if data.startswith(_MEMBER, at):
             content, used, fault = _inflate(data, at)
             if not fault:
                 yield from _plain(content, at)
                 at += used
                 continue
-            yield from (x for x in _plain(content, at) if x["kind"] == "record")
+            whole = [x for x in _plain(content, at) if x["kind"] == "record"]
+            yield from whole
+            read = _reached(data, at, whole[-1]["stop"]) if whole else 0
         elif _VERSION.match(data, at):
             record = _record(data, at)
             if "reason" not in record:
@@ -124,8 +156,8 @@ def salvage(data: bytes) -> Iterator[dict]:
             fault = record["reason"]
         else:
             fault = "no member or version line"
-        after = _resume(data, at + 1)
-        yield _gap(at, after, -1, fault)
+        after = _resume(data, at + max(1, read))
+        yield _gap(at + read, after, -1, fault)
         at = after
 
 
@@ -161,6 +193,18 @@ def _inflate(data: bytes, at: int) -> tuple[bytes, int, str]:
         return b"".join(out), 0, f"member: {e}"
 
 
+def _reached(data: bytes, at: int, content: int) -> int:
+    """Bytes of a member that its first `content` bytes of content take, to the next multiple of 64."""
+    d, got, i = zlib.decompressobj(31), 0, at
+    try:
+        while got < content and i < len(data):
+            got += len(d.decompress(data[i : i + 64]))
+            i += 64
+    except zlib.error:
+        pass
+    return min(i, len(data)) - at
+
+
 def _drip(data: bytes, at: int, have: int) -> list[bytes]:
     """The rest of a broken member's content, byte by byte as far as it goes."""
     d, out, got = zlib.decompressobj(31), [], 0
@@ -193,20 +237,21 @@ def _resume(data: bytes, at: int) -> int:
 
 def _record(data: bytes, at: int) -> dict:
     """The record at a version line, or {"reason": ...}."""
-    version = _VERSION.match(data, at)
-    end = data.find(_END, version.end() - 2)
-    if end < 0 or end - at > 1 << 20:
-        return {"reason": "header has no end"}
+    end = _VERSION.match(data, at).end()
     headers = {}
-    for line in data[version.end() : end].split(b"\r\n"):
-        name, colon, value = line.partition(b":")
+    while not data.startswith(b"\r\n", end):
+        stop = data.find(b"\r\n", end)
+        if stop < 0:
+            return {"reason": "header has no end"}
+        name, colon, value = data[end:stop].partition(b":")
         if not colon or not name.strip():
             return {"reason": "header line has no name"}
         headers[name.strip().decode("utf-8", "replace").lower()] = value.strip().decode("utf-8", "replace")
+        end = stop + 2
     length = headers.get("content-length", "")
     if not re.fullmatch(r"\d{1,18}", length):
         return {"reason": "no length"}
-    start = end + 4
+    start = end + 2
     stop = start + int(length)
     if stop > len(data):
         return {"reason": "record ends early"}
@@ -229,7 +274,7 @@ def sha1_base32(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
+def read(spark: SparkSession, path: str, with_payload: bool = True, glob: str = "part-*") -> DataFrame:
     """Records and gaps of all archives in a folder, one row each (SCHEMA). An archive is read by one task; the writer
     bounds its size. Without payloads their column is null."""
 
@@ -253,7 +298,7 @@ def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in out], k) for n, k in zip(names, kinds, strict=True)], names)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content").mapInArrow(run, SCHEMA)
+    return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content").mapInArrow(run, SCHEMA)
 
 
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
