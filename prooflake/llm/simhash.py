@@ -5,9 +5,12 @@ or less and gives each its connected component.
 
 How links are found. Equal fingerprints are one node, so groups of copies cost one row. A routing tree of vantage points,
 grown on the driver from a bounded sample, splits the fingerprints into shards: each goes home to one shard, and queries
-go along to every shard that its ball of `radius` overlaps, by the triangle bounds |d(x, v) - mu| <= radius. Inside a
-shard a second tree prunes alike down to small leaves, which are compared in blocks. A shard returns a spanning forest of
-its links, not its pairs, so that a dense group of near copies gives as many rows as it has members.
+go along to every shard that its ball of `radius` overlaps, by the triangle bounds |d(x, v) - mu| <= radius. A ball
+overlaps more and more shards as a tree gets deeper, so the routing tree keeps one depth at every size (about 3.6 copies of
+a fingerprint), and a shard that would grow beyond `per_shard` is dealt to cells by radius + 1 blocks of bits, of which near
+fingerprints have one in common. Inside a cell a second tree prunes alike down to small leaves, which are compared in
+blocks. A cell returns a spanning forest of its links, not its pairs, so that a dense group of near copies gives as many
+rows as it has members.
 """
 
 from __future__ import annotations
@@ -19,15 +22,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, connected_components, cut, signed
+from .common import batches, connected_components, cut, hot_join, signed
 
 SEED = 42
 WORDS = 3
 RADIUS = 3
 #: Fingerprints that the driver sees, to choose vantage points.
 SAMPLE = 4096
-#: Home fingerprints of a shard, about; the depth of the routing tree follows from it.
-PER_SHARD = 32768
+#: Depth of the routing tree, and fingerprints of a cell, about.
+DEPTH, PER_SHARD = 4, 32768
 LEAF = 256
 
 
@@ -189,9 +192,10 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def fingerprint_links(fps: DataFrame, radius: int = RADIUS, sample: int = SAMPLE, per_shard: int = PER_SHARD) -> DataFrame:
     """(src, dst) edges that connect what pairs of distinct fingerprints within `radius` connect. fps: column fp."""
     n = fps.count()
-    depth = min(16, max(4, math.ceil(math.log2(max(1, n / per_shard)))))
+    width = 64 // (radius + 1)
+    bits = min(width, max(0, math.ceil(math.log2(max(1, n / per_shard))) - DEPTH))
     seen = [r[0] for r in fps.orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()]
-    tree = grow(np.array(seen, np.int64).view(np.uint64), depth)
+    tree = grow(np.array(seen, np.int64).view(np.uint64), DEPTH)
 
     def send(rows: Iterator) -> Iterator:
         import pyarrow as pa
@@ -199,7 +203,10 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS, sample: int = SAMPLE
         for b in rows:
             x = b.column(0).to_numpy(zero_copy_only=False)
             shard, ix, home = route(tree, x.view(np.uint64), radius)
-            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(x[ix], pa.int64()), pa.array(home)], ["shard", "fp", "home"])
+            for block in range(radius + 1 if bits else 1):
+                part = (x[ix].view(np.uint64) >> np.uint64(block * width)) & np.uint64((1 << bits) - 1)
+                cell = (shard * (radius + 1) + block << bits) + part.astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(x[ix], pa.int64()), pa.array(home)], ["cell", "fp", "home"])
 
     def solve(pdf):
         import pandas as pd
@@ -209,7 +216,7 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS, sample: int = SAMPLE
         a, b = links(x[home], x[~home], radius)
         return pd.DataFrame({"src": a.view(np.int64), "dst": b.view(np.int64)})
 
-    return fps.select("fp").mapInArrow(send, "shard int, fp long, home boolean").groupBy("shard").applyInPandas(solve, "src long, dst long")
+    return fps.select("fp").mapInArrow(send, "cell long, fp long, home boolean").groupBy("cell").applyInPandas(solve, "src long, dst long")
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -219,13 +226,13 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links; a component of only such rows has a null component_id. Repeated rows stay. An empty table gives no rows.
     """
     fp = cut(fingerprints(docs, id_col, text_col))
-    nodes = cut(fp.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    nodes = cut(fp.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     parts = connected_components(fingerprint_links(nodes, radius))
     named = parts.join(nodes, parts.node == nodes.fp).select("fp", "component", "least")
     name = named.groupBy("component").agg(F.min("least").alias("component_id"))
     linked = named.join(name, "component").select(F.col("fp").alias("_fp"), "component_id")
-    classes = nodes.join(linked, nodes.fp == linked._fp, "left").select(F.col("fp").alias("_fp"), F.coalesce("component_id", "least").alias("component_id"))
-    return fp.join(classes, fp.fp == classes._fp).select("doc_id", "fp", "component_id")
+    classes = nodes.join(linked, nodes.fp == linked._fp, "left").select("fp", "n", F.coalesce("component_id", "least").alias("component_id"))
+    return hot_join(fp, classes, "fp").select("doc_id", "fp", "component_id")
 
 
 def hexed(fp):

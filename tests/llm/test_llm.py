@@ -158,6 +158,20 @@ def test_vantage_point_links():
     assert home.sum() == len(fps) and all((g == w).all() for g, w in zip(got, want, strict=True))
 
 
+def test_cells_of_shards(spark):
+    """Shards dealt to cells by blocks of bits lose no pair."""
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 1 << 62, 400, np.uint64)
+    fps = np.unique(np.concatenate([base, *[base[:150] ^ (np.uint64(1) << rng.integers(0, 62, 150, np.uint64)) ^ (np.uint64(1) << rng.integers(0, 62, 150, np.uint64)) for _ in range(8)]]))
+    near = np.argwhere(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 3)
+    want = dict(zip(*(x.tolist() for x in simhash.forest(fps[near[:, 0]], fps[near[:, 1]])), strict=True))
+    df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    for per in (4, 32, 1 << 15):
+        got = simhash.fingerprint_links(df, per_shard=per).collect()
+        a, b = (np.array([r[i] for r in got], np.int64).view(np.uint64) for i in (0, 1))
+        assert dict(zip(*(x.tolist() for x in simhash.forest(a, b)), strict=True)) == want
+
+
 def test_top_k(spark):
     rng = random.Random(3)
     vs = [(i, [rng.uniform(-1, 1) for _ in range(8)]) for i in range(120)] + [(200 + i, [0.5] * 8) for i in range(60)] + [(300, None), (320, [None] * 8), (340, [float("nan")] * 8), (None, [0.1] * 8), (0, None)]
@@ -172,6 +186,16 @@ def test_top_k(spark):
     assert voronoi_knn.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_top_k_large_numbers_and_repeated_rows(spark):
+    vs = [(0, [2.0**50, 1.0]), (1, [2.0**50, 3.0]), (2, [2.0**50, 2.0]), (3, [-(2.0**70), 1.0]), (4, [1e-3, 1.0]), (4, [1e-3, 1.0])]
+    got = [tuple(r) for r in voronoi_knn.top_k(spark.createDataFrame(vs, "vec_id long, embedding array<double>"), k=4).orderBy("query_id", "rank").collect()]
+    top = (1 << 63) - 1
+    assert got == [(0, 1, 1, top), (0, 2, 2, top), (0, 3, 4, 64 * 64), (0, 4, 4, 64 * 64)]
+    near = [(0, [2.0**24, 1.0]), (1, [2.0**24, 3.0]), (2, [2.0**24, 2.0])]
+    got = [tuple(r) for r in voronoi_knn.top_k(spark.createDataFrame(near, "vec_id long, embedding array<double>")).orderBy("rank").collect()]
+    assert got == [(0, 1, 1, (1 << 60) + 3 * 4096), (0, 2, 2, (1 << 60) + 2 * 4096)]
+
+
 def test_url_filter(spark):
     rules = [("block", "com", "/en/"), ("allow", "example.com", "/en/7")]
     link = '<LINK href="{}" rel="canonical">'
