@@ -24,8 +24,9 @@ SAMPLE, PIVOTS, QUERIES, DATA = 2048, 256, 2048, 65536
 
 
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE) -> DataFrame:
-    """(vec_id, v binary of little-endian longs): floor(scale * x), x as double. Rows with a null id or vector, or with a
-    null or non-finite component, or one beyond 2**53, are left out; of equal rows one stays."""
+    """(vec_id, v, m): floor(scale * x), x as double, as little-endian doubles, which hold it exactly, and the number of equal
+    rows. Rows with a null id or vector, or with a null or non-finite component, are left out, and those whose product with
+    the scale is not finite."""
 
     def run(rows: Iterator) -> Iterator:
         import pyarrow as pa
@@ -36,35 +37,39 @@ def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
                 if i is None or x is None or None in x:
                     continue
                 v = np.floor(np.array(x, float) * scale)
-                if np.isfinite(v).all() and (np.abs(v) < 1 << 53).all():
+                if np.isfinite(v).all():
                     ids.append(i)
-                    out.append(v.astype("<i8").tobytes())
+                    out.append((v + 0.0).astype("<f8").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["vec_id", "v"])
 
-    return vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("x")).mapInArrow(run, "vec_id long, v binary").distinct()
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("x")).mapInArrow(run, "vec_id long, v binary")
+    return rows.groupBy("vec_id", "v").agg(F.count("*").alias("m"))
 
 
 def _matrix(rows, width: int) -> np.ndarray:
     """Vectors as rows; shorter ones end in zeros."""
     if all(len(r) == 8 * width for r in rows):
-        return np.frombuffer(b"".join(rows), "<i8").reshape(-1, width)
-    return np.frombuffer(b"".join(r.ljust(8 * width, b"\0") for r in rows), "<i8").reshape(-1, width)
+        return np.frombuffer(b"".join(rows), "<f8").reshape(-1, width)
+    return np.frombuffer(b"".join(r.ljust(8 * width, b"\0") for r in rows), "<f8").reshape(-1, width)
 
 
 def _scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Inner products, exact: in doubles where no sum can pass 2**53."""
+    """Inner products, exact: in doubles where no sum can pass 2**53, else in Python's integers, which are cut to the ends of
+    a long (all but its least value, which stands for no score)."""
     if not q.size or not x.size:
         return np.zeros((len(q), len(x)), np.int64)
     if float(np.abs(q).max()) * float(np.abs(x).max()) * q.shape[1] < 1 << 53:
-        return (q.astype(float) @ x.astype(float).T).astype(np.int64)
-    return q @ x.T
+        return (q @ x.T).astype(np.int64)
+    top = np.iinfo(np.int64).max
+    whole = np.frompyfunc(int, 1, 1)
+    return np.clip(np.dot(whole(q), whole(x).T), -top, top).astype(np.int64)
 
 
-def best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, vec_id, score) of each query's k best of x, ties to the smaller id, its own id left out."""
+def best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, vec_id, score, row of x) of each query's k best of x, ties to the smaller id, its own id left out."""
     order = np.argsort(ids, kind="stable")
     ids, x = ids[order], x[order]
-    rows, cols, values = [], [], []
+    rows, cols, values, places = [], [], [], []
     for i in range(0, len(q), 256):
         s = _scores(q[i : i + 256], x)
         own = q_ids[i : i + 256, None] == ids[None, :]
@@ -83,9 +88,10 @@ def best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: in
         rows.append(r[keep] + i)
         cols.append(ids[c[keep]])
         values.append(v[keep])
+        places.append(order[c[keep]])
     if not rows:
-        return (np.zeros(0, np.int64),) * 3
-    return np.concatenate(rows), np.concatenate(cols), np.concatenate(values)
+        return (np.zeros(0, np.int64),) * 4
+    return np.concatenate(rows), np.concatenate(cols), np.concatenate(values), np.concatenate(places)
 
 
 def top_k(vectors: DataFrame, every: int = 20, k: int = TOP, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE) -> DataFrame:
@@ -93,13 +99,14 @@ def top_k(vectors: DataFrame, every: int = 20, k: int = TOP, id_col: str = "vec_
     id, ties to the smaller id.
 
     Vectors of unlike length are compared as if the shorter ended in zeros. Of equal vectors only the k + 1 smallest ids
-    can be among anybody's best, so no more of them move. An empty table gives no rows.
+    can be among anybody's best, so no more of them move. Equal rows are candidates of their own, and one query. A score
+    beyond a long is cut to its end. An empty table gives no rows.
     """
     data = cut(quantised(vectors, id_col, vector_col, scale))
-    queries = data.where(F.col("vec_id") % every == 0)
+    queries = data.where(F.col("vec_id") % every == 0).select("vec_id", "v")
     n, nq, longest = data.agg(F.count("*"), F.count(F.when(F.col("vec_id") % every == 0, 1)), F.max(F.octet_length("v"))).first()
     width = max(1, (longest or 0) // 8)
-    few = data.withColumn("nth", F.row_number().over(W.partitionBy("v").orderBy("vec_id"))).where(F.col("nth") <= k + 1).drop("nth")
+    few = data.withColumn("nth", F.row_number().over(W.partitionBy("v").orderBy("vec_id"))).where(F.col("nth") <= k + 1).select("vec_id", "v", "m")
     sample = few.orderBy(F.xxhash64("v"), "vec_id").limit(SAMPLE).collect()
     sample_ids = np.array([r["vec_id"] for r in sample], np.int64)
     sample_x = _matrix([bytes(r["v"]) for r in sample], width)
@@ -123,7 +130,7 @@ def top_k(vectors: DataFrame, every: int = 20, k: int = TOP, id_col: str = "vec_
             ids, x = np.array(b.column(0).to_pylist(), np.int64), _matrix(b.column(1).to_pylist(), width)
             near, far = cell(x)
             kth = np.full(len(ids), -np.inf)
-            r, _, v = best(ids, x, sample_ids, sample_x, k)
+            r, _, v, _ = best(ids, x, sample_ids, sample_x, k)
             has = np.bincount(r, minlength=len(ids)) >= k
             lowest = np.full(len(ids), np.inf)
             np.minimum.at(lowest, r, v.astype(float))
@@ -150,7 +157,7 @@ def top_k(vectors: DataFrame, every: int = 20, k: int = TOP, id_col: str = "vec_
     slack = lambda bound: bound + 1e-6 + 1e-9 * np.abs(bound)
     size = np.sqrt((pivots**2).sum(axis=1))
     #: Data cells that can hold a best vector of some query of a query cell.
-    open_ = {c: {j for j, r in cells.items() if slack(pivots[c] @ pivots[j] + g["radius"] * size[j] + (size[c] + g["radius"]) * r) >= g["kth"]} for c, g in groups.items()}
+    open_ = {c: {j for j, r in cells.items() if not (slack(pivots[c] @ pivots[j] + g["radius"] * size[j] + (size[c] + g["radius"]) * r) < g["kth"])} for c, g in groups.items()}
 
     def send_queries(rows: Iterator) -> Iterator:
         import pyarrow as pa
@@ -162,7 +169,7 @@ def top_k(vectors: DataFrame, every: int = 20, k: int = TOP, id_col: str = "vec_
             near, _ = cell(_matrix(b.column(1).to_pylist(), width))
             block = np.array([_spread(int(i)) % blocks[int(c)] for i, c in zip(ids, near, strict=True)], np.int32)
             for s in range(salts):
-                yield pa.RecordBatch.from_arrays([pa.array(near.astype(np.int32)), pa.array(block), pa.array(np.full(len(ids), s, np.int32)), b.column(0), b.column(1)], ["cell", "block", "salt", "vec_id", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(near.astype(np.int32)), pa.array(block), pa.array(np.full(len(ids), s, np.int32)), b.column(0), b.column(1), pa.array(np.ones(len(ids), np.int64))], ["cell", "block", "salt", "vec_id", "v", "m"])
 
     def send_data(rows: Iterator) -> Iterator:
         import pyarrow as pa
@@ -175,25 +182,26 @@ def top_k(vectors: DataFrame, every: int = 20, k: int = TOP, id_col: str = "vec_
             norm = np.sqrt((x.astype(float) ** 2).sum(axis=1))
             salt = np.array([_spread(i) % salts for i in b.column(0).to_pylist()], np.int32)
             for c, g in groups.items():
-                near_enough = slack(x @ pivots[c] + g["radius"] * norm) >= g["kth"]
+                near_enough = ~(slack(x @ pivots[c] + g["radius"] * norm) < g["kth"])
                 ix = np.flatnonzero(near_enough & np.isin(near, list(open_[c])))
                 for block in range(blocks[c] if len(ix) else 0):
                     part = b.take(pa.array(ix))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ix), c, np.int32)), pa.array(np.full(len(ix), block, np.int32)), pa.array(salt[ix]), part.column(0), part.column(1)], ["cell", "block", "salt", "vec_id", "v"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ix), c, np.int32)), pa.array(np.full(len(ix), block, np.int32)), pa.array(salt[ix]), part.column(0), part.column(1), part.column(2)], ["cell", "block", "salt", "vec_id", "v", "m"])
 
     def solve(left, right):
         import pandas as pd
 
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0, np.int64)})
+            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0, np.int64), "m": np.zeros(0, np.int64)})
         q_ids = left["vec_id"].to_numpy(np.int64)
         vs = list(left["v"])
-        r, ids, v = best(q_ids, _matrix(vs, width), right["vec_id"].to_numpy(np.int64), _matrix(list(right["v"]), width), k)
-        return pd.DataFrame({"query_id": q_ids[r], "vec_id": ids, "score": v})
+        r, ids, v, at = best(q_ids, _matrix(vs, width), right["vec_id"].to_numpy(np.int64), _matrix(list(right["v"]), width), k)
+        return pd.DataFrame({"query_id": q_ids[r], "vec_id": ids, "score": v, "m": right["m"].to_numpy(np.int64)[at]})
 
-    shape = "cell int, block int, salt int, vec_id long, v binary"
+    shape = "cell int, block int, salt int, vec_id long, v binary, m long"
     keys = ["cell", "block", "salt"]
-    found = queries.mapInArrow(send_queries, shape).groupBy(*keys).cogroup(few.mapInArrow(send_data, shape).groupBy(*keys)).applyInPandas(solve, "query_id long, vec_id long, score long")
+    found = queries.mapInArrow(send_queries, shape).groupBy(*keys).cogroup(few.mapInArrow(send_data, shape).groupBy(*keys)).applyInPandas(solve, "query_id long, vec_id long, score long, m long")
+    found = found.withColumn("m", F.explode(F.sequence(F.lit(1).cast("long"), F.least("m", F.lit(k).cast("long")))))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
