@@ -28,10 +28,12 @@ from pyspark.sql import functions as F
 from .common import connected_components, cut
 
 SEED = 10
-PERIOD = 512
+PERIOD = 2048
 SLOTS = 128
 #: Characters hashed at a sampled place.
 REACH = 6
+#: Bytes of text in a range of ids, about.
+RANGE = 32 << 20
 #: Where a state holds its step.
 PERIOD_AT = 256
 BANDS = 16
@@ -178,14 +180,15 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     The edited text has its last floor(n/3) code points replaced by the first as many of the next document. Next means by
     descending id, nulls last, equal ids by a hash of the text; after the last comes the first. Texts are dealt once, by
-    ranges of ids; the first document of each range also goes to the range before it, so one task never sees more than its
-    range. A null text is empty. A single document is its own next. An empty table gives no rows.
+    ranges of ids, of RANGE bytes about; the first document of each range also goes to the range before it, so one task never
+    sees more than its range. A null text is empty. A single document is its own next. An empty table gives no rows.
     """
     spark = docs.sparkSession
     low = -(1 << 63)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(low)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = np.array(sorted({int(x) for x in rows.select("id").approxQuantile("id", [i / n for i in range(1, n)], 0.002)}) if n > 1 else [], np.int64)
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE))
+    cuts = np.array(sorted({int(x) for x in rows.select("id").approxQuantile("id", [i / n for i in range(1, n)], min(0.002, 0.25 / n))}) if n > 1 else [], np.int64)
     tops = _tops(rows, cuts)
     beyond: dict[int, list[int]] = {}
     for k, (bucket, _) in enumerate(tops):
@@ -250,7 +253,7 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], NAMES)
 
     dealt = rows.select("id", F.xxhash64("text").alias("tie"), "text").mapInArrow(deal, "bucket int, guest boolean, id long, tie long, z binary")
-    ordered = dealt.repartition("bucket").sortWithinPartitions("bucket", "guest", F.desc("id"), "tie")
+    ordered = dealt.repartition(n, "bucket").sortWithinPartitions("bucket", "guest", F.desc("id"), "tie")
     return ordered.mapInArrow(run, SCHEMA).withColumnRenamed("doc_id", id_col)
 
 
