@@ -14,9 +14,11 @@ Every byte covered by a `min_len`-byte string that also starts anywhere else goe
    are compared here, so hashes of step 2 only filter.
 4. Spans are united per text and cut out.
 
-Texts are handled once per distinct text; of a text that occurs twice, all strings repeat. A family of more than
-`hot_family` triggers isn't gathered in one task: its strings are sent one by one by 128-bit hashes, which are streamed
-in sorted order.
+Texts are handled once per distinct text; of a text that occurs twice, all strings repeat. A family with more than `family`
+triggers is split: the strings of the nearer and of the farther half of starts left of the trigger become families of their
+own, each by the hash of the longer window that all its strings share, and so on while families are too large, down to
+single strings. Those need no order: a 128-bit hash that occurs twice is a repeat. So no task sees more than `family`
+triggers of one family, whatever its size.
 """
 
 from __future__ import annotations
@@ -28,13 +30,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, signed
+from .common import cut, hot_join
 
 MIN_LEN = 200
 #: Places searched for a trigger at the head of a string.
 REACH = 150
 GRAM = 16
-HOT_FAMILY = 500_000
+#: Triggers of a family that is ordered in one task.
+FAMILY = 20_000
 #: Contexts merged in a task before they are sent, and contexts ordered at once.
 MERGE, ORDER = 20_000, 20_000
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -58,17 +61,30 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def triggers(buf: np.ndarray, ends: np.ndarray, min_len: int, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of texts that stand one after another in buf and end at `ends`: for each trigger its place, the first and last
-    start of the strings it stands for, and the hash of the bytes that all of them have after it."""
+class Windows:
+    """Rolling hashes of any windows of a buffer, from sums of its prefixes."""
+
+    def __init__(self, buf: np.ndarray):
+        up, self.down, value = _tables(len(buf) + 1)
+        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value[buf] * up[: len(buf)])))
+
+    def __call__(self, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        return _mix((self.sums[stops] - self.sums[starts]) * self.down[starts])
+
+    def shared(self, t: np.ndarray, low: np.ndarray, width: np.ndarray, min_len: int) -> np.ndarray:
+        """For triggers at t: the hash of what the strings that start low .. low + width - 1 bytes left of them share."""
+        return _mix(self(t - low, t - low - width + 1 + min_len) + (width * 1000 + low).astype(np.uint64))
+
+
+def triggers(buf: np.ndarray, ends: np.ndarray, min_len: int, reach: int, windows: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts that stand one after another in buf and end at `ends`: for each trigger its place, and the first and last
+    start of the strings it stands for."""
     n = len(buf)
     none = np.zeros(0, np.int64)
     if n < min_len:
-        return none, none, none, np.zeros(0, np.uint64)
-    up, down, value = _tables(n + 1)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value[buf] * up[:n])))
+        return none, none, none
     gram = min(GRAM, min_len - reach + 1)
-    h = _mix((sums[gram:] - sums[:-gram]) * down[: n - gram + 1])
+    h = windows(slice(0, n - gram + 1), slice(gram, n + 1))
     key = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
     width = -(-len(key) // reach) * reach
     rows = np.full(width + reach, _MASK, np.uint64)
@@ -85,14 +101,11 @@ def triggers(buf: np.ndarray, ends: np.ndarray, min_len: int, reach: int) -> tup
     valid = np.arange(last) + min_len <= ends[owner[:last]]
     place = np.flatnonzero(valid)
     if not len(place):
-        return none, none, none, np.zeros(0, np.uint64)
+        return none, none, none
     t = at[place]
     new = np.concatenate(([True], (t[1:] != t[:-1]) | (place[1:] != place[:-1] + 1)))
     lo, hi = place[new], place[np.concatenate((new[1:], [True]))]
-    t = t[new]
-    core = min_len - reach + 1
-    family = _mix(_mix((sums[t + core] - sums[t]) * down[t]) + np.uint64(core))
-    return t, lo, hi, family
+    return t[new], lo, hi
 
 
 def _packed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -201,77 +214,106 @@ def _key2(z: bytes) -> int:
     return int.from_bytes(z[:8], "little", signed=True)
 
 
-def spans(texts: DataFrame, min_len: int = MIN_LEN, reach: int | None = None, hot_family: int = HOT_FAMILY) -> DataFrame:
+def _read(rows: Iterator, min_len: int, reach: int) -> Iterator[tuple]:
+    """Of each few MB of (z, k1, ...): the bytes, their window hashes, the triggers' places, first and last starts and texts,
+    the texts' starts, and the rows' further columns (k1, k2, ...)."""
+    for texts_, rest in _texts(_unkeyed(rows)):
+        buf, ends = _packed(texts_)
+        windows = Windows(buf)
+        t, first, last = triggers(buf, ends, min_len, reach, windows)
+        yield buf, windows, t, first, last, np.searchsorted(ends, t, side="right"), np.concatenate(([0], ends[:-1])), rest
+
+
+def _items(t, first, last, own, base, rest) -> np.ndarray:
+    """Rows (text, trigger, low, width, first start, last start) of the strings that `rest` asks for, as places in the buffer."""
+    size = [len(r[2]) for r in rest]
+    o = np.repeat(np.arange(len(rest)), size)
+    p, low, width = (np.fromiter((x[c] for r in rest for x in r[2]), np.int64, sum(size)) for c in ("t", "low", "width"))
+    p += base[o]
+    i = np.searchsorted(t, p)
+    a, b = np.maximum(first[i], p - low - width + 1), np.minimum(last[i], p - low)
+    return np.column_stack((o, p, low, width, a, b))[a <= b]
+
+
+def spans(texts: DataFrame, min_len: int = MIN_LEN, reach: int | None = None, family: int = FAMILY) -> DataFrame:
     """(k1, k2, start, stop): byte intervals of the distinct texts whose strings occur twice or more among them."""
     reach = reach or max(1, min_len * 3 // 4)
 
     def scan(rows: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for texts_, rest in _texts(_unkeyed(rows)):
-            buf, ends = _packed(texts_)
-            t, _, _, family = triggers(buf, ends, min_len, reach)
-            own = np.searchsorted(ends, t, side="right")
-            base = np.concatenate(([0], ends[:-1]))
+        for _, windows, t, _, _, own, base, rest in _read(rows, min_len, reach):
+            f = windows.shared(t, np.zeros(len(t), np.int64), np.full(len(t), reach), min_len)
             k1 = np.array([r[0] for r in rest], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(family.view(np.int64)), pa.array(k1[own]), pa.array((t - base[own]).astype(np.int32))], ["f", "k1", "t"])
+            yield pa.RecordBatch.from_arrays([pa.array(f.view(np.int64)), pa.array(k1[own]), pa.array((t - base[own]).astype(np.int32))], ["f", "k1", "t"])
 
-    found = texts.select("z", "k1").mapInArrow(scan, "f long, k1 long, t int")
-    families = found.groupBy("f").agg(F.count("*").alias("n")).where("n > 1").select("f", (F.col("n") > hot_family).alias("hot"))
-    some = found.join(families, "f").groupBy("k1").agg(F.collect_list(F.struct("t", "hot")).alias("at"))
+    def halve(rows: Iterator) -> Iterator:
+        """Families of the halves of what is asked for; single strings by a 128-bit hash."""
+        import pyarrow as pa
+
+        for buf, windows, t, first, last, own, base, rest in _read(rows, min_len, reach):
+            for r in rest:
+                r[2][:] = [y for x in r[2] for y in ({"t": x["t"], "low": x["low"], "width": x["width"] - x["width"] // 2}, {"t": x["t"], "low": x["low"] + x["width"] - x["width"] // 2, "width": x["width"] // 2})]
+            got = _items(t, first, last, own, base, rest)
+            keys = windows.shared(got[:, 1], got[:, 2], got[:, 3], min_len).astype("<u8").tobytes()
+            whole = buf.tobytes()
+            f = [hashlib.blake2b(whole[a : a + min_len], digest_size=16).digest() if w == 1 else keys[8 * i : 8 * i + 8] for i, (w, a) in enumerate(got[:, [3, 4]].tolist())]
+            text = got[:, 0]
+            cols = [pa.array(f, pa.binary()), pa.array([rest[o][0] for o in text.tolist()], pa.int64()), pa.array([rest[o][1] for o in text.tolist()], pa.int64())]
+            cols += [pa.array((got[:, 1] - base[text]).astype(np.int32)), pa.array(got[:, 2].astype(np.int32)), pa.array(got[:, 3].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(cols, ["f", "k1", "k2", "t", "low", "width"])
 
     def contexts(rows: Iterator) -> Iterator:
         merged: dict[tuple, list] = {}
-        for texts_, rest in _texts(_unkeyed(rows)):
-            buf, ends = _packed(texts_)
-            whole = buf.tobytes()
-            t, lo, hi, family = triggers(buf, ends, min_len, reach)
-            base = np.concatenate(([0], ends[:-1]))
-            own = np.searchsorted(ends, t, side="right")
-            wanted = [{x["t"]: x["hot"] for x in r[2]} for r in rest]
-            for p, a, b, f, o in zip(t.tolist(), lo.tolist(), hi.tolist(), family.view(np.int64).tolist(), own.tolist(), strict=True):
-                start = int(base[o])
-                hot = wanted[o].get(p - start)
-                if hot is None:
-                    continue
-                member = (rest[o][0], rest[o][1], p - start)
-                if hot:
-                    for s in range(a, b + 1):
-                        digest = hashlib.blake2b(whole[s : s + min_len], digest_size=16).digest()
-                        merged.setdefault((int.from_bytes(digest[:8], "little", signed=True), digest, p - s, 0, b""), []).append(member)
-                else:
-                    context = whole[a : b + min_len]
-                    merged.setdefault((f, hashlib.blake2b(context + bytes([p - a & 255]), digest_size=16).digest(), p - a, b - a, context), []).append(member)
+        for buf, windows, t, first, last, own, base, rest in _read(rows, min_len, reach):
+            got = _items(t, first, last, own, base, rest)
+            whole, f = buf.tobytes(), windows.shared(got[:, 1], got[:, 2], got[:, 3], min_len).view(np.int64)
+            for (o, p, _, _, a, b), key in zip(got.tolist(), f.tolist(), strict=True):
+                context = whole[a : b + min_len]
+                digest = hashlib.blake2b(context + bytes([p - a & 255]), digest_size=16).digest()
+                merged.setdefault((key, digest, p - a, b - a, context), []).append((rest[o][0], rest[o][1], p - int(base[o])))
             if len(merged) >= MERGE:
                 yield _sent(merged)
                 merged = {}
         if merged:
             yield _sent(merged)
 
-    joined = texts.join(some, "k1").select("z", "k1", "at")
-    sent = joined.mapInArrow(contexts, "f long, c binary, lead int, width int, context binary, members binary")
-
     def resolve(rows: Iterator) -> Iterator:
         group: list[tuple] = []
         for row in _sorted_rows(rows):
             if group and row[0] != group[-1][0] and len(group) >= ORDER:
                 yield _resolved(group, min_len, reach)
                 group = []
-            if not row[4]:  # a string of a hot family: only its first row is held
-                if group and not group[-1][4] and group[-1][1] == row[1]:
-                    if len(group[-1][5]) > 24:
-                        yield _resolved([row[:5] + (row[5] * 2,)], min_len, reach)
-                        continue
-                    group[-1] = group[-1][:5] + (group[-1][5] + row[5],)
-                    continue
-            elif group and group[-1][:5] == row[:5]:  # an equal context from another task
+            if group and group[-1][:5] == row[:5]:  # an equal context from another task
                 group[-1] = group[-1][:5] + (group[-1][5] + row[5],)
                 continue
             group.append(row)
         if group:
             yield _resolved(group, min_len, reach)
 
-    return sent.repartition("f").sortWithinPartitions("f", "c").mapInArrow(resolve, "k1 long, k2 long, start int, stop int")
+    def asked(items: DataFrame, run, shape: str) -> DataFrame:
+        of = items.groupBy("k1").agg(F.collect_list(F.struct("t", "low", "width")).alias("at"))
+        return texts.join(of, "k1").select("z", "k1", "at").mapInArrow(run, shape)
+
+    send = (contexts, "f long, c binary, lead int, width int, context binary, members binary")
+    found = texts.select("z", "k1").mapInArrow(scan, "f long, k1 long, t int")
+    families = cut(found.groupBy("f").agg(F.count("*").alias("n")).where("n > 1").select("f", "n", (F.col("n") > family).alias("large")))
+    items = hot_join(found, families, "f").select("k1", "t", F.lit(0).alias("low"), F.lit(reach).alias("width"), "large")
+    single = None
+    if families.where("large").isEmpty():
+        sent = asked(items, *send)
+    else:
+        items = cut(items)
+        sent = asked(items.where("not large"), *send)
+        while not items.where("large").isEmpty():
+            parts = cut(asked(items.where("large"), halve, "f binary, k1 long, k2 long, t int, low int, width int"))
+            counts = parts.groupBy("f").agg(F.count("*").alias("n")).where("n > 1").select("f", "n", (F.col("n") > family).alias("many"))
+            items = cut(hot_join(parts, counts, "f").withColumn("large", F.col("many") & (F.col("width") > 1)))
+            ones = items.where("width = 1").select("k1", "k2", (F.col("t") - F.col("low")).alias("start"), (F.col("t") - F.col("low") + min_len).alias("stop"))
+            single = ones if single is None else single.union(ones)
+            sent = sent.union(asked(items.where("width > 1 and not large"), *send))
+    out = sent.repartition("f").sortWithinPartitions("f", "c").mapInArrow(resolve, "k1 long, k2 long, start int, stop int")
+    return out if single is None else out.union(single)
 
 
 def _unkeyed(rows: Iterator) -> Iterator:
@@ -344,12 +386,12 @@ def _merged(table: np.ndarray) -> np.ndarray:
     return out
 
 
-def _deduped(docs: DataFrame, text_col: str, min_len: int, reach: int | None, hot_family: int, with_text: bool, carried: list[str]) -> DataFrame:
+def _deduped(docs: DataFrame, text_col: str, min_len: int, reach: int | None, family: int, with_text: bool, carried: list[str]) -> DataFrame:
     """n_bytes, n_removed, n_spans, kept_sha256, kept and the carried columns under the names c0, c1, ..."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(*_keys(text), F.octet_length(text).cast("long").alias("n_bytes"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carried)])
     texts = cut(distinct_texts(docs, text_col)).where("k1 is not null")  # alike in both joins, so that one exchange serves them
-    found = spans(texts, min_len, reach, hot_family).groupBy("k1").agg(F.collect_list(F.struct("k2", "start", "stop")).alias("spans"))
+    found = spans(texts, min_len, reach, family).groupBy("k1").agg(F.collect_list(F.struct("k2", "start", "stop")).alias("spans"))
     copies = rows.groupBy("k1", "k2").agg(F.count("*").alias("copies"))
 
     def remove(batch: Iterator) -> Iterator:
@@ -380,7 +422,7 @@ def _deduped(docs: DataFrame, text_col: str, min_len: int, reach: int | None, ho
     )
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = MIN_LEN, reach: int | None = None, hot_family: int = HOT_FAMILY, with_text: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = MIN_LEN, reach: int | None = None, family: int = FAMILY, with_text: bool = False) -> DataFrame:
     """Per row of docs: id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept: the remaining bytes as a string,
     without the rest of characters that a cut has split.
 
@@ -388,14 +430,14 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_l
     places, so they lose every string. Ids may be null or occur twice; further columns are left out. An empty table gives no
     rows.
     """
-    out = _deduped(docs, text_col, min_len, reach, hot_family, with_text, [id_col])
+    out = _deduped(docs, text_col, min_len, reach, family, with_text, [id_col])
     return out.select(F.col("c0").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"][: int(with_text)])
 
 
-def removed(docs: DataFrame, min_len: int = MIN_LEN, reach: int | None = None, hot_family: int = HOT_FAMILY) -> DataFrame:
+def removed(docs: DataFrame, min_len: int = MIN_LEN, reach: int | None = None, family: int = FAMILY) -> DataFrame:
     """docs with repeated strings cut out of their texts, and n_chars, if there, set anew. Columns may have any names."""
     carried = [c for c in docs.columns if c != "text"]
-    out = _deduped(docs, "text", min_len, reach, hot_family, True, carried)
+    out = _deduped(docs, "text", min_len, reach, family, True, carried)
     named = {c: F.col(f"c{i}") for i, c in enumerate(carried)} | {"text": F.col("kept")}
     if "n_chars" in named:
         named["n_chars"] = F.length("kept").cast(docs.schema["n_chars"].dataType)

@@ -206,7 +206,7 @@ def test_url_filter(spark):
     assert got[5] == ("", "", None, "allow") and got[6] == ("", "", None, "allow")
 
 
-@pytest.mark.parametrize("min_len,hot", [(20, 100_000), (20, 1), (50, 100_000)])
+@pytest.mark.parametrize("min_len,hot", [(20, 100_000), (20, 1), (20, 3), (50, 100_000)])
 def test_suffix_dedup(docs, rows, none, min_len, hot):
     texts = [(r[1] or "").encode() for r in rows]
     seen = {}
@@ -218,7 +218,7 @@ def test_suffix_dedup(docs, rows, none, min_len, hot):
         for i, p in places if len(places) > 1 else ():
             gone[i][p : p + min_len] = b"\1" * min_len
     want = sorted((r[0] if r[0] is not None else -1, len(t), sum(g), sum(1 for k in range(len(g)) if g[k] and not (k and g[k - 1])), hashlib.sha256(bytes(c for c, x in zip(t, g, strict=True) if not x)).hexdigest()) for r, t, g in zip(rows, texts, gone, strict=True))
-    got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup(docs, min_len=min_len, hot_family=hot).collect())
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup(docs, min_len=min_len, family=hot).collect())
     assert got == want
     if hot > 1 and min_len == 20:
         assert suffix_dedup.dedup(none).count() == 0 and suffix_dedup.removed(docs).columns == docs.columns
