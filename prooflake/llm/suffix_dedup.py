@@ -14,11 +14,11 @@ Every byte covered by a `min_len`-byte string that also starts anywhere else goe
    are compared here, so hashes of step 2 only filter.
 4. Spans are united per text and cut out.
 
-Texts are handled once per distinct text; of a text that occurs twice, all strings repeat. A family with more than `family`
-triggers is split: the strings of the nearer and of the farther half of starts left of the trigger become families of their
-own, each by the hash of the longer window that all its strings share, and so on while families are too large, down to
-single strings. Those need no order: a 128-bit hash that occurs twice is a repeat. So no task sees more than `family`
-triggers of one family, whatever its size.
+Texts are handled once per distinct text; of a text that occurs twice, all strings repeat. The contexts of a family with
+more than `family` triggers are merged first: of a context that occurs twice all strings repeat, and one row of it stands for
+all. Are there still more than `family` contexts, the family is split: the strings of the nearer and of the farther half of
+starts left of the trigger become families of their own, each by the hash of the longer window that all its strings share,
+and so on, down to single strings, which are one context. So no task orders more than `family` contexts of one family.
 """
 
 from __future__ import annotations
@@ -36,8 +36,8 @@ MIN_LEN = 200
 #: Places searched for a trigger at the head of a string.
 REACH = 150
 GRAM = 16
-#: Triggers of a family that is ordered in one task.
-FAMILY = 20_000
+#: Contexts of a family that is ordered in one task.
+FAMILY = 50_000
 #: Contexts merged in a task before they are sent, and contexts ordered at once.
 MERGE, ORDER = 20_000, 20_000
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -71,9 +71,9 @@ class Windows:
     def __call__(self, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
         return _mix((self.sums[stops] - self.sums[starts]) * self.down[starts])
 
-    def shared(self, t: np.ndarray, low: np.ndarray, width: np.ndarray, min_len: int) -> np.ndarray:
-        """For triggers at t: the hash of what the strings that start low .. low + width - 1 bytes left of them share."""
-        return _mix(self(t - low, t - low - width + 1 + min_len) + (width * 1000 + low).astype(np.uint64))
+    def shared(self, t: np.ndarray, reach: int, min_len: int) -> np.ndarray:
+        """For triggers at t: the hash of what all strings that start 0 .. reach - 1 bytes left of them have after them."""
+        return self(t, t + min_len - reach + 1)
 
 
 def triggers(buf: np.ndarray, ends: np.ndarray, min_len: int, reach: int, windows: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -224,17 +224,6 @@ def _read(rows: Iterator, min_len: int, reach: int) -> Iterator[tuple]:
         yield buf, windows, t, first, last, np.searchsorted(ends, t, side="right"), np.concatenate(([0], ends[:-1])), rest
 
 
-def _items(t, first, last, own, base, rest) -> np.ndarray:
-    """Rows (text, trigger, low, width, first start, last start) of the strings that `rest` asks for, as places in the buffer."""
-    size = [len(r[2]) for r in rest]
-    o = np.repeat(np.arange(len(rest)), size)
-    p, low, width = (np.fromiter((x[c] for r in rest for x in r[2]), np.int64, sum(size)) for c in ("t", "low", "width"))
-    p += base[o]
-    i = np.searchsorted(t, p)
-    a, b = np.maximum(first[i], p - low - width + 1), np.minimum(last[i], p - low)
-    return np.column_stack((o, p, low, width, a, b))[a <= b]
-
-
 def spans(texts: DataFrame, min_len: int = MIN_LEN, reach: int | None = None, family: int = FAMILY) -> DataFrame:
     """(k1, k2, start, stop): byte intervals of the distinct texts whose strings occur twice or more among them."""
     reach = reach or max(1, min_len * 3 // 4)
@@ -243,41 +232,55 @@ def spans(texts: DataFrame, min_len: int = MIN_LEN, reach: int | None = None, fa
         import pyarrow as pa
 
         for _, windows, t, _, _, own, base, rest in _read(rows, min_len, reach):
-            f = windows.shared(t, np.zeros(len(t), np.int64), np.full(len(t), reach), min_len)
+            f = windows.shared(t, reach, min_len)
             k1 = np.array([r[0] for r in rest], np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(f.view(np.int64)), pa.array(k1[own]), pa.array((t - base[own]).astype(np.int32))], ["f", "k1", "t"])
 
-    def halve(rows: Iterator) -> Iterator:
-        """Families of the halves of what is asked for; single strings by a 128-bit hash."""
-        import pyarrow as pa
-
-        for buf, windows, t, first, last, own, base, rest in _read(rows, min_len, reach):
-            for r in rest:
-                r[2][:] = [y for x in r[2] for y in ({"t": x["t"], "low": x["low"], "width": x["width"] - x["width"] // 2}, {"t": x["t"], "low": x["low"] + x["width"] - x["width"] // 2, "width": x["width"] // 2})]
-            got = _items(t, first, last, own, base, rest)
-            keys = windows.shared(got[:, 1], got[:, 2], got[:, 3], min_len).astype("<u8").tobytes()
-            whole = buf.tobytes()
-            f = [hashlib.blake2b(whole[a : a + min_len], digest_size=16).digest() if w == 1 else keys[8 * i : 8 * i + 8] for i, (w, a) in enumerate(got[:, [3, 4]].tolist())]
-            text = got[:, 0]
-            cols = [pa.array(f, pa.binary()), pa.array([rest[o][0] for o in text.tolist()], pa.int64()), pa.array([rest[o][1] for o in text.tolist()], pa.int64())]
-            cols += [pa.array((got[:, 1] - base[text]).astype(np.int32)), pa.array(got[:, 2].astype(np.int32)), pa.array(got[:, 3].astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(cols, ["f", "k1", "k2", "t", "low", "width"])
-
     def contexts(rows: Iterator) -> Iterator:
         merged: dict[tuple, list] = {}
         for buf, windows, t, first, last, own, base, rest in _read(rows, min_len, reach):
-            got = _items(t, first, last, own, base, rest)
-            whole, f = buf.tobytes(), windows.shared(got[:, 1], got[:, 2], got[:, 3], min_len).view(np.int64)
-            for (o, p, _, _, a, b), key in zip(got.tolist(), f.tolist(), strict=True):
+            size = [len(r[2]) for r in rest]
+            o = np.repeat(np.arange(len(rest)), size)
+            p = np.fromiter((x for r in rest for x in r[2]), np.int64, sum(size)) + base[o]
+            i = np.searchsorted(t, p)
+            whole, f = buf.tobytes(), windows.shared(p, reach, min_len).view(np.int64)
+            for o_, p_, a, b, key in zip(o.tolist(), p.tolist(), first[i].tolist(), last[i].tolist(), f.tolist(), strict=True):
                 context = whole[a : b + min_len]
-                digest = hashlib.blake2b(context + bytes([p - a & 255]), digest_size=16).digest()
-                merged.setdefault((key, digest, p - a, b - a, context), []).append((rest[o][0], rest[o][1], p - int(base[o])))
+                merged.setdefault((key, _digest(context, p_ - a), p_ - a, b - a, context), []).append((rest[o_][0], rest[o_][1], p_ - int(base[o_])))
             if len(merged) >= MERGE:
                 yield _sent(merged)
                 merged = {}
         if merged:
             yield _sent(merged)
 
+    def halve(rows: Iterator) -> Iterator:
+        """The contexts of the nearer and the farther half of a family's strings."""
+        import pyarrow as pa
+
+        for b in rows:
+            out = []
+            for _, _, lead, width, context, members, n, low, part in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                for lo, w in ((low, part - part // 2), (low + part - part // 2, part // 2)):
+                    far, near = min(lead, lo + w - 1), max(lead - width, lo)
+                    if far >= near:
+                        own = context[lead - far : lead - near + min_len]
+                        shared = context[lead - lo : lead - lo - w + 1 + min_len]
+                        f = hashlib.blake2b(b"%d %d " % (lo, w) + shared, digest_size=8).digest()
+                        out.append((int.from_bytes(f, "little", signed=True), _digest(own, far), far, far - near, own, members, n, lo, w))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*out, strict=True), b.columns, strict=True)], b.schema.names)
+
+    def direct(rows: Iterator) -> Iterator:
+        """The intervals of contexts that occur twice."""
+        import pyarrow as pa
+
+        for b in rows:
+            found = [np.frombuffer(m, np.int64).reshape(-1, 3) for m in b.column(2).to_pylist()]
+            n = [len(m) for m in found]
+            lead, width = (np.repeat(b.column(i).to_numpy(zero_copy_only=False), n) for i in (0, 1))
+            m = np.concatenate([np.zeros((0, 3), np.int64), *found])
+            yield pa.RecordBatch.from_arrays([pa.array(m[:, 0]), pa.array(m[:, 1]), pa.array((m[:, 2] - lead).astype(np.int32)), pa.array((m[:, 2] - lead + width + min_len).astype(np.int32))], ["k1", "k2", "start", "stop"])
+
     def resolve(rows: Iterator) -> Iterator:
         group: list[tuple] = []
         for row in _sorted_rows(rows):
@@ -285,35 +288,50 @@ def spans(texts: DataFrame, min_len: int = MIN_LEN, reach: int | None = None, fa
                 yield _resolved(group, min_len, reach)
                 group = []
             if group and group[-1][:5] == row[:5]:  # an equal context from another task
-                group[-1] = group[-1][:5] + (group[-1][5] + row[5],)
+                group[-1] = group[-1][:5] + (group[-1][5] + row[5], group[-1][6] + row[6])
                 continue
             group.append(row)
         if group:
             yield _resolved(group, min_len, reach)
 
-    def asked(items: DataFrame, run, shape: str) -> DataFrame:
-        of = items.groupBy("k1").agg(F.collect_list(F.struct("t", "low", "width")).alias("at"))
-        return texts.join(of, "k1").select("z", "k1", "at").mapInArrow(run, shape)
+    def sent(items: DataFrame) -> DataFrame:
+        of = items.groupBy("k1").agg(F.collect_list("t").alias("at"))
+        return texts.join(of, "k1").select("z", "k1", "at").mapInArrow(contexts, CONTEXT)
 
-    send = (contexts, "f long, c binary, lead int, width int, context binary, members binary")
     found = texts.select("z", "k1").mapInArrow(scan, "f long, k1 long, t int")
     families = cut(found.groupBy("f").agg(F.count("*").alias("n")).where("n > 1").select("f", "n", (F.col("n") > family).alias("large")))
-    items = hot_join(found, families, "f").select("k1", "t", F.lit(0).alias("low"), F.lit(reach).alias("width"), "large")
-    single = None
+    items = hot_join(found, families, "f").select("k1", "t", "large")
     if families.where("large").isEmpty():
-        sent = asked(items, *send)
+        ready, done = sent(items), None
     else:
         items = cut(items)
-        sent = asked(items.where("not large"), *send)
-        while not items.where("large").isEmpty():
-            parts = cut(asked(items.where("large"), halve, "f binary, k1 long, k2 long, t int, low int, width int"))
-            counts = parts.groupBy("f").agg(F.count("*").alias("n")).where("n > 1").select("f", "n", (F.col("n") > family).alias("many"))
-            items = cut(hot_join(parts, counts, "f").withColumn("large", F.col("many") & (F.col("width") > 1)))
-            ones = items.where("width = 1").select("k1", "k2", (F.col("t") - F.col("low")).alias("start"), (F.col("t") - F.col("low") + min_len).alias("stop"))
-            single = ones if single is None else single.union(ones)
-            sent = sent.union(asked(items.where("width > 1 and not large"), *send))
-    out = sent.repartition("f").sortWithinPartitions("f", "c").mapInArrow(resolve, "k1 long, k2 long, start int, stop int")
-    return out if single is None else out.union(single)
+        ready, done = sent(items.where("not large")), None
+        rows = cut(sent(items.where("large")).select("*", F.lit(0).alias("low"), F.lit(reach).alias("part")))
+        while True:
+            # Of each context that occurs twice all strings repeat; a row without members stands for them.
+            one = cut(rows.groupBy("c").agg(F.min(F.struct("f", "lead", "width", "context", "members", "low", "part")).alias("x"), F.sum("n").alias("all"), F.count("*").alias("n")))
+            twice = hot_join(rows.select("c", "lead", "width", "members"), one.where("all > 1").select("c", "n"), "c").select("lead", "width", "members").mapInArrow(direct, SPAN)
+            done = twice if done is None else done.union(twice)
+            members = F.when(F.col("all") > 1, F.lit(b"")).otherwise(F.col("x.members"))
+            one = one.select("x.f", "c", "x.lead", "x.width", "x.context", members.alias("members"), F.least("all", F.lit(2).cast("long")).alias("n"), "x.low", "x.part")
+            sizes = cut(one.groupBy("f").agg(F.count("*").alias("n")).select("f", "n", (F.col("n") > family).alias("large")))
+            split = not sizes.where("large").isEmpty()
+            marked = hot_join(one, sizes.withColumnRenamed("n", "m"), "f", "m")
+            ready = ready.union(marked.where("not large").select(*ready.columns))
+            if not split:
+                break
+            shape = CONTEXT + ", low int, part int"
+            rows = cut(marked.where("large").drop("large").mapInArrow(halve, shape))
+    out = ready.repartition("f").sortWithinPartitions("f", "c").mapInArrow(resolve, SPAN)
+    return out if done is None else out.union(done)
+
+
+CONTEXT = "f long, c binary, lead int, width int, context binary, members binary, n long"
+SPAN = "k1 long, k2 long, start int, stop int"
+
+
+def _digest(context: bytes, lead: int) -> bytes:
+    return hashlib.blake2b(context + bytes([lead & 255]), digest_size=16).digest()
 
 
 def _unkeyed(rows: Iterator) -> Iterator:
@@ -331,7 +349,8 @@ def _sent(merged: dict):
     keys = list(merged)
     members = [np.array(m, np.int64).tobytes() for m in merged.values()]
     cols = [pa.array([k[i] for k in keys], kind) for i, kind in enumerate((pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary()))]
-    return pa.RecordBatch.from_arrays([*cols, pa.array(members, pa.binary())], ["f", "c", "lead", "width", "context", "members"])
+    n = pa.array([len(m) for m in merged.values()], pa.int64())
+    return pa.RecordBatch.from_arrays([*cols, pa.array(members, pa.binary()), n], ["f", "c", "lead", "width", "context", "members", "n"])
 
 
 def _sorted_rows(rows: Iterator) -> Iterator[tuple]:
@@ -340,15 +359,16 @@ def _sorted_rows(rows: Iterator) -> Iterator[tuple]:
 
 
 def _resolved(group: list[tuple], min_len: int, reach: int):
-    """Repeated intervals of whole families. Rows of equal contexts from several tasks are one class."""
+    """Repeated intervals of whole families. Rows of equal contexts are one class; n counts their occurrences, of which only
+    those that are not done yet are members."""
     import pyarrow as pa
 
     classes: dict[tuple, list] = {}
-    for _, c, lead, width, context, members in group:
-        classes.setdefault((c, lead, width, context), []).append(members)
+    for _, c, lead, width, context, members, n in group:
+        classes.setdefault((c, lead, width, context), []).append((members, n))
     keys = list(classes)
-    members = [np.frombuffer(b"".join(m), np.int64).reshape(-1, 3) for m in classes.values()]
-    weight = np.fromiter(map(len, members), np.int64, len(members))
+    members = [np.frombuffer(b"".join(x for x, _ in m), np.int64).reshape(-1, 3) for m in classes.values()]
+    weight = np.fromiter((sum(n for _, n in m) for m in classes.values()), np.int64, len(members))
     out: list[np.ndarray] = []
 
     def add(who: np.ndarray, far: int, near: int) -> None:
@@ -357,7 +377,7 @@ def _resolved(group: list[tuple], min_len: int, reach: int):
 
     open_ = []
     for i, (_, lead, width, context) in enumerate(keys):
-        if weight[i] > 1:
+        if weight[i] > 1 and len(members[i]):
             add(members[i], lead, lead - width)
         if context:
             open_.append(i)
