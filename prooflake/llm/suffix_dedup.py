@@ -37,7 +37,7 @@ MIN_LEN = 200
 REACH = 150
 GRAM = 16
 #: Contexts of a family that is ordered in one task.
-FAMILY = 50_000
+FAMILY = 10_000
 #: Contexts merged in a task before they are sent, and contexts ordered at once.
 MERGE, ORDER = 20_000, 20_000
 _BASE = 0x9E3779B97F4A7C15 | 1
