@@ -74,7 +74,7 @@ def fidelity(formula: Column, text: Column, known: Column) -> Column:
         of_all = lambda preds: F.concat(F.transform(preds, lambda p: p["hit"] | p["known"]), F.flatten(F.transform(constants(formula), of_const)))
         lone = lambda preds: (F.size(preds) > 0) & (F.size(F.array_distinct(F.transform(preds, lambda p: p["w"]))) == 1) & F.forall(preds, lambda p: p["hit"])
         share = lambda hits: F.when(F.size(hits) > 0, F.size(F.filter(hits, lambda h: h)) / F.size(hits)).otherwise(1.0)
-        score = lambda preds: let(let(of_all(preds), share), lambda x: F.struct(F.round(x, 3).alias("coverage"), (x >= F.when(lone(preds), RELAXED).otherwise(THRESHOLD)).alias("passed")))
+        score = lambda preds: let(let(of_all(preds), share), lambda x: F.struct(F.bround(x, 3).alias("coverage"), (x >= F.when(lone(preds), RELAXED).otherwise(THRESHOLD)).alias("passed")))
         return let(found, score)
 
     stems = let(F.array_distinct(F.concat(said, F.transform(said, lemma))), lambda ws: F.concat(ws, *[_stripped(ws, p) for p in NEGATIVE_PREFIXES]))

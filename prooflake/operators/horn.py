@@ -7,6 +7,8 @@ by one on document, predicate and the argument places bound so far, so that a jo
 
 from __future__ import annotations
 
+from itertools import count
+
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
@@ -98,7 +100,7 @@ def _step(rows: DataFrame, atom: Column) -> DataFrame:
     return out.where(F.size("bound") == F.size(F.array_distinct(F.transform("bound", lambda e: e["v"]))))
 
 
-def saturate(formulas: DataFrame, stop_at_clash: bool = True, max_rounds: int = 1000) -> DataFrame:
+def saturate(formulas: DataFrame, stop_at_clash: bool = True) -> DataFrame:
     """Ground literals that the Horn part of (doc_id, stmt_id, pos, fol) gives, with the first derivation of each:
     (doc_id, neg, pred, args, lit, round, stmt_id, premises).
 
@@ -121,7 +123,7 @@ def saturate(formulas: DataFrame, stop_at_clash: bool = True, max_rounds: int =
     met = ordered.select("doc_id", F.explode(F.slice("order", 2, max(1, longest))).alias("a"))
     masks = cut(met.select("doc_id", F.col("a.pred").alias("pred"), F.size("a.args").alias("arity"), F.col("a.mask").alias("mask")).distinct())
     nothing = F.array().cast("array<struct<v:string,c:string>>")
-    for k in range(1, max_rounds):
+    for k in count(1):
         if longest == 0:
             break
         at = new.where("not neg").select("doc_id", "pred", F.size("args").alias("arity"), "args").join(starts, ["doc_id", "pred", "arity"])
@@ -146,8 +148,6 @@ def saturate(formulas: DataFrame, stop_at_clash: bool = True, max_rounds: int =
         known = cut(known.unionByName(new))
         if stop_at_clash:
             new = new.join(clashes(known), "doc_id", "left_anti")
-    else:
-        raise RuntimeError("saturation did not settle")
     return known.where(F.col("pred") != DOMAIN)
 
 
@@ -157,19 +157,18 @@ def clashes(literals: DataFrame) -> DataFrame:
     return both.groupBy("doc_id").agg(F.min(F.struct("round", "lit")).alias("x")).select("doc_id", "x.lit", "x.round")
 
 
-def refutations(literals: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def refutations(literals: DataFrame) -> DataFrame:
     """The literals of saturate() that a document's first clash rests on, both its sides included: backward reachability
     along premises. Documents without a clash give no rows."""
     literals = cut(literals)
     need = literals.join(clashes(literals).select("doc_id", "lit"), ["doc_id", "lit"], "left_semi").select("doc_id", "neg", "lit")
     need = new = cut(need)
-    for _ in range(max_rounds):
+    while True:
         below = literals.join(new, ["doc_id", "neg", "lit"], "left_semi").select("doc_id", F.lit(False).alias("neg"), F.explode("premises").alias("lit")).distinct()
         new = cut(below.join(need, ["doc_id", "neg", "lit"], "left_anti"))
         if new.isEmpty():
             return literals.join(need, ["doc_id", "neg", "lit"], "left_semi")
         need = cut(need.unionByName(new))
-    raise RuntimeError("refutation did not settle")
 
 
 def proofs(steps: DataFrame) -> DataFrame:

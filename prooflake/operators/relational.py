@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -54,7 +56,7 @@ def screener(statements: DataFrame) -> DataFrame:
     both = lambda a, b: F.flatten(F.transform(a, lambda u: F.transform(F.filter(b, lambda v: _opposed(u, v)), lambda v: F.concat(F.when(F.length(u) > F.length(v), F.concat(u, F.lit("/"), v)).otherwise(F.concat(v, F.lit("/"), u))))))
     met = met.withColumn("ant", F.array_sort(F.array_distinct(both(F.col("ca"), F.col("cb")))))
     signal = F.when((F.col("na") != F.col("nb")) & (F.col("j") >= 0.5), "shared wording with opposite polarity").when((F.size("ant") > 0) & (F.col("j") >= 0.3), F.concat(F.lit("prefix antonym pair: "), F.array_join("ant", ", ")))
-    flagged = met.select("doc_id", "ta", "tb", F.round("j", 2).alias("jaccard"), signal.alias("signal")).where("signal is not null")
+    flagged = met.select("doc_id", "ta", "tb", F.bround("j", 2).alias("jaccard"), signal.alias("signal")).where("signal is not null")
     s = statements.select("doc_id", "pos", "text")
     out = flagged.join(s.select("doc_id", F.col("pos").alias("pa"), F.col("text").alias("ta")), ["doc_id", "ta"]).join(s.select("doc_id", F.col("pos").alias("pb"), F.col("text").alias("tb")), ["doc_id", "tb"])
     return out.select("doc_id", F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"), "jaccard", "signal")
@@ -67,40 +69,42 @@ def _opposed(u: Column, v: Column) -> Column:
     return out
 
 
-def closure(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+def closure(edges: DataFrame) -> DataFrame:
     """Distinct (src, dst) pairs that paths of one edge or more connect. Semi-naive by path doubling: each round joins the
     new pairs with all pairs, both ways, and keeps what is not known; the lineage is cut with a checkpoint each round."""
     from .runtime import cut
 
     known = cut(edges.select("src", "dst").distinct())
     new = known
-    for _ in range(max_rounds):
+    while True:
         a = new.select("src", F.col("dst").alias("mid")).join(known.select(F.col("src").alias("mid"), "dst"), "mid")
         b = known.select("src", F.col("dst").alias("mid")).join(new.select(F.col("src").alias("mid"), "dst"), "mid")
         new = cut(a.unionByName(b).select("src", "dst").distinct().join(known, ["src", "dst"], "left_anti"))
         if new.isEmpty():
             return known
         known = cut(known.unionByName(new))
-    raise RuntimeError("closure did not settle")
 
 
-def saturate(facts: DataFrame, rules: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Unary Horn saturation: facts (doc_id, pred, arg, stmt_id) and rules (doc_id, body, head, stmt_id) give
-    (doc_id, pred, arg, round, stmt_id, premise): each literal once, by its least (round, rule) derivation."""
+def saturate(facts: DataFrame, rules: DataFrame) -> DataFrame:
+    """Unary Horn saturation to the fixed point: facts (doc_id, pred, arg, stmt_id) and rules (doc_id, body, head, stmt_id) give
+    (doc_id, pred, arg, round, stmt_id, premise): each literal once, by its least (round, rule) derivation.
+
+    A round writes only what it finds; the tables of every eighth round are put together."""
     from .runtime import cut
 
     known = cut(facts.groupBy("doc_id", "pred", "arg").agg(F.min("stmt_id").alias("stmt_id")).select("doc_id", "pred", "arg", F.lit(0).alias("round"), "stmt_id", F.lit(None).cast("string").alias("premise")))
     new = known
     r = rules.select("doc_id", F.col("body").alias("pred"), "head", F.col("stmt_id").alias("rule"))
-    for k in range(1, max_rounds):
+    for k in count(1):
         step = new.select("doc_id", "pred", "arg").join(r, ["doc_id", "pred"])
         step = step.groupBy("doc_id", F.col("head").alias("h"), "arg").agg(F.min(F.struct("rule", "pred")).alias("by"))
         step = step.select("doc_id", F.col("h").alias("pred"), "arg", F.lit(k).alias("round"), F.col("by.rule").alias("stmt_id"), F.col("by.pred").alias("premise"))
         new = cut(step.join(known.select("doc_id", "pred", "arg"), ["doc_id", "pred", "arg"], "left_anti"))
         if new.isEmpty():
             return known
-        known = cut(known.unionByName(new))
-    raise RuntimeError("saturation did not settle")
+        known = known.unionByName(new)
+        if k % 8 == 0:
+            known = cut(known)
 
 
 def register_facts(statements: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -160,16 +164,23 @@ def capped_pairs(items: DataFrame, cap: int = 120) -> DataFrame:
 
 def components(pairs: DataFrame) -> DataFrame:
     """(doc_id, stmt_id, cluster_id) of (doc_id, stmt_id, pred): statements that share predicates, transitively; cluster_id is
-    the least statement. Labels fall along statement-predicate edges until none changes."""
+    the least statement. Statements of a predicate hang on its least one; stars are then contracted, large and small in turn,
+    until they stand, in rounds that grow with the logarithm of a cluster's size."""
     from .runtime import cut
 
-    edges = cut(pairs.distinct())
-    label = cut(edges.groupBy("doc_id", "stmt_id").agg(F.lit(0).alias("z")).select("doc_id", "stmt_id", F.col("stmt_id").alias("cluster_id")))
-    for _ in range(200):
-        by_pred = edges.join(label, ["doc_id", "stmt_id"]).groupBy("doc_id", "pred").agg(F.min("cluster_id").alias("m"))
-        low = edges.join(by_pred, ["doc_id", "pred"]).groupBy("doc_id", "stmt_id").agg(F.min("m").alias("m"))
-        moved = cut(label.join(low, ["doc_id", "stmt_id"]).select("doc_id", "stmt_id", "m", "cluster_id"))
-        if moved.where("m < cluster_id").isEmpty():
-            return label
-        label = moved.select("doc_id", "stmt_id", F.col("m").alias("cluster_id"))
-    raise RuntimeError("components did not settle")
+    own = pairs.select("doc_id", "stmt_id", "pred").distinct()
+    hub = own.groupBy("doc_id", "pred").agg(F.min("stmt_id").alias("v"))
+    e = cut(own.join(hub, ["doc_id", "pred"]).where("stmt_id <> v").select("doc_id", F.col("stmt_id").alias("u"), "v").distinct())
+    seen = None
+    while True:
+        now = e.agg(F.count("*"), F.expr("bit_xor(xxhash64(doc_id, u, v))"), F.expr("bit_xor(xxhash64(v, doc_id, u))")).first()
+        if now == seen or not now[0]:
+            break
+        seen = now
+        both = e.unionByName(e.select("doc_id", F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("doc_id", "u").agg(F.min("v").alias("m")).select("doc_id", "u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(least, ["doc_id", "u"]).select("doc_id", F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("doc_id", "u").agg(F.min("v").alias("m"))
+        rest = large.join(low, ["doc_id", "u"]).where("v <> m").select("doc_id", F.col("v").alias("u"), F.col("m").alias("v"))
+        e = cut(rest.unionByName(low.withColumnRenamed("m", "v")).where("u <> v").distinct())
+    return own.select("doc_id", "stmt_id").distinct().join(e.withColumnRenamed("u", "stmt_id"), ["doc_id", "stmt_id"], "left").select("doc_id", "stmt_id", F.coalesce("v", "stmt_id").alias("cluster_id"))

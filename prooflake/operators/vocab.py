@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.formulas import predicates, renamed, swapped
-from ..functions.morph import NEGATIVE_PREFIXES, lemma, pred_key, words_of
+from ..functions.morph import NEGATIVE_PREFIXES, lemma, plural_strip, pred_key, words_of
 
 # Constants that name a single author; content words of relations with group and argument order; particles.
 SELF = ("i", "me", "myself", "author", "speaker", "narrator", "writer", "presenter", "oneself", "we", "us")
@@ -22,18 +22,25 @@ GUARD = r"^forall\s+(\w+)\s*\.\s*\(\s*(\w+)\s*\(\s*\1\s*\)\s*->\s*(not\s+\w+\s*\
 
 
 def first_seen(names: DataFrame) -> DataFrame:
-    """(doc_id, key, display, first_pos) of (doc_id, pos, name): a key's display is its first name's. Keys are made once per
-    distinct name."""
-    keys = names.select("name").distinct().select("name", pred_key(F.col("name")).alias("key"))
-    return names.join(keys, "name").groupBy("doc_id", "key").agg(F.min_by("name", F.struct("pos", "name")).alias("display"), F.min("pos").alias("first_pos"))
+    """(doc_id, key, display, first_pos, name) of (doc_id, pos, name): a key's display is its first name with each word's
+    plural stripped. Keys are made once per distinct name."""
+    shown = F.array_join(F.transform(words_of(F.col("name")), lambda w: F.initcap(plural_strip(w))), "")
+    keys = names.select("name").distinct().select("name", pred_key(F.col("name")).alias("key"), shown.alias("display"))
+    first = names.join(keys, "name").groupBy("doc_id", "key").agg(F.min_by(F.struct("display", "name"), F.struct("pos", "name")).alias("x"), F.min("pos").alias("first_pos"))
+    return first.select("doc_id", "key", "x.display", "first_pos", "x.name")
 
 
 def negation_map(vocab: DataFrame) -> DataFrame:
-    """(doc_id, key, base): keys that are a negative prefix before a key of three letters or more that was seen before and is
-    no negation itself. Bases are looked up by equal keys, one candidate per prefix."""
+    """(doc_id, key, base) of first_seen(): names that begin with the word not or non, or keys with a negative prefix, before a
+    key that was seen before and is no negation itself; after a prefix it has three letters or more. Bases are looked up by
+    equal keys, one candidate per way; the word comes before prefixes, these in their order."""
+    words = words_of(F.col("name"))
+    spoken = vocab.where((F.size(words) > 1) & F.get(words, F.lit(0)).isin("not", "non"))
+    spoken = spoken.select("doc_id", "key", "first_pos", F.lit(-1).alias("rank"), F.array_join(F.transform(F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), lemma), "").alias("base"))
     prefixes = F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(p).alias("prefix")) for i, p in enumerate(NEGATIVE_PREFIXES)])
     cut = vocab.select("doc_id", "key", "first_pos", F.explode(prefixes).alias("p")).where(F.expr("startswith(key, p.prefix) AND length(key) - length(p.prefix) >= 3"))
     cut = cut.select("doc_id", "key", "first_pos", "p.rank", F.expr("substr(key, length(p.prefix) + 1)").alias("base"))
+    cut = cut.unionByName(spoken)
     seen = vocab.select("doc_id", F.col("key").alias("base"), F.col("first_pos").alias("base_pos"))
     found = cut.join(seen, ["doc_id", "base"]).where("base_pos < first_pos")
     found = found.join(found.select("doc_id", F.col("key").alias("base")).distinct(), ["doc_id", "base"], "left_anti")

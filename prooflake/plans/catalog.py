@@ -47,10 +47,17 @@ def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.sentences(table(spark, sf_dir, "documents")).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("sentence")).cast("long").alias("chars"))
 
 
-@query()
+@query(r"""WITH RECURSIVE k AS (SELECT doc_id, k, trim(regexp_replace(part, '\s+', ' ', 'g')) AS text FROM (
+      SELECT doc_id, unnest(regexp_split_to_array(text, '\n\s*')) AS part, unnest(range(len(regexp_split_to_array(text, '\n\s*')))) AS k FROM documents)),
+    p AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS ix, length(text) AS n FROM k WHERE text <> ''),
+    f AS (SELECT doc_id, ix, n, ix AS first, n AS size, 0 AS chunk FROM p WHERE ix = 0
+      UNION ALL SELECT p.doc_id, p.ix, p.n, CASE WHEN f.size + p.n > 1500 THEN f.ix ELSE f.first END, CASE WHEN f.size + p.n > 1500 THEN f.n ELSE f.size END + p.n,
+        f.chunk + CASE WHEN f.size + p.n > 1500 THEN 1 ELSE 0 END FROM f JOIN p ON p.doc_id = f.doc_id AND p.ix = f.ix + 1)
+    SELECT doc_id, chunk::INT AS chunk_ix, min(first)::INT AS first, max(ix)::INT AS last FROM f GROUP BY doc_id, chunk
+    UNION ALL SELECT doc_id, 0, 0, -1 FROM (SELECT DISTINCT doc_id FROM documents) d WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.doc_id IS NOT DISTINCT FROM d.doc_id)""")
 def chunk_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("raw_text"))
-    return segment.chunks(segment.paragraphs(docs, r"\n\s*").select("doc_id", "para_ix", F.length("text").alias("n")))
+    return segment.chunks(segment.paragraphs(docs, r"\n\s*").select("doc_id", "para_ix", F.length("text").alias("n")), docs=docs)
 
 
 _KEY = "regexp_replace(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), '\\.+$', '')"
@@ -103,12 +110,11 @@ def lemma_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("word", morph.lemma(F.col("word")).alias("lemma"))
 
 
-@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'c' || p_partkey::VARCHAR || CASE WHEN p_partkey < 10 THEN '_1' ELSE '' END WHEN 1 THEN 'c' || p_partkey::VARCHAR || '1'
-    WHEN 2 THEN 'c6' || p_partkey::VARCHAR ELSE 'old_ferry' END AS key FROM (SELECT p_partkey FROM part WHERE p_partkey % 4 <> 0
-    UNION ALL SELECT p_partkey FROM part WHERE p_partkey % 4 = 0 AND p_partkey >= 10)""")
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN CASE WHEN p_partkey < 10 THEN 'x' ELSE 'c' END || p_partkey::VARCHAR WHEN 1 THEN 'c' || p_partkey::VARCHAR || '1'
+    WHEN 2 THEN 'c6' || p_partkey::VARCHAR ELSE 'old_ferry' END AS key FROM part""")
 def const_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.expr("CASE p_partkey % 4 WHEN 0 THEN concat('x', p_partkey) WHEN 1 THEN concat('c', p_partkey, '_1') WHEN 2 THEN concat('six_', p_partkey) ELSE 'Old_Ferry' END")
-    return table(spark, sf_dir, "part").where("p_partkey % 4 <> 0 or p_partkey >= 10").select("p_partkey", morph.const_key(name).alias("key"))
+    return table(spark, sf_dir, "part").select("p_partkey", morph.const_key(name).alias("key"))
 
 
 _NAMES = "SELECT o_custkey AS doc_id, o_orderkey AS pos, CASE o_orderkey % 6 WHEN 0 THEN 'Taxation' WHEN 1 THEN 'Taxes' WHEN 2 THEN 'PrimeNumber' WHEN 3 THEN 'Prime' WHEN 4 THEN 'Mortal' ELSE 'Immortal' END AS name FROM orders"
@@ -124,15 +130,24 @@ def pred_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _names(spark, sf_dir).select("pos", morph.pred_key(F.col("name")).alias("key"))
 
 
-@query(f"SELECT doc_id, key, arg_min(name, pos) AS display, min(pos) AS first_pos FROM (SELECT *, {_KEYS} AS key FROM ({_NAMES})) GROUP BY doc_id, key")
+@query(f"SELECT doc_id, key, arg_min(CASE name WHEN 'Taxes' THEN 'Tax' ELSE name END, pos) AS display, min(pos) AS first_pos FROM (SELECT *, {_KEYS} AS key FROM ({_NAMES})) GROUP BY doc_id, key")
 def vocab_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vocab.first_seen(_names(spark, sf_dir))
+    return vocab.first_seen(_names(spark, sf_dir)).drop("name")
+
+
+_DENIALS = ("Mortal", "Immortal", "NotMortal", "Prime", "NonPrimeNumber", "Unfair", "Fair", "NotTaxes", "Taxation", "Indirect", "Direct", "Irregular", "Regular", "Disloyal", "Loyal", "Nonlocal", "Local", "Unit")
+_DENIED = " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(_DENIALS))
 
 
-@query(f"""WITH v AS (SELECT doc_id, {_KEYS} AS key, min(pos) AS p FROM ({_NAMES}) GROUP BY ALL)
-    SELECT a.doc_id, a.key, b.key AS base FROM v a JOIN v b ON a.doc_id = b.doc_id AND a.key = 'im' || b.key AND b.p < a.p""")
+@query(f"""WITH n AS (SELECT o_custkey AS doc_id, min(o_orderkey) AS p, CASE (o_orderkey * 7 + o_custkey) % {len(_DENIALS)} {_DENIED} END AS name FROM orders GROUP BY ALL),
+    k AS (SELECT *, CASE name WHEN 'NotTaxes' THEN 'nottax' WHEN 'Taxation' THEN 'tax' WHEN 'NonPrimeNumber' THEN 'nonprime' ELSE lower(name) END AS key FROM n),
+    v AS (SELECT *, CASE WHEN name = 'NonPrimeNumber' THEN 'primenumb' WHEN name LIKE 'Not%' THEN substr(key, 4) END AS word FROM k),
+    w AS (SELECT doc_id, key, p, word AS base, 0 AS rank FROM v WHERE word IS NOT NULL
+      UNION ALL SELECT doc_id, key, p, substr(key, length(x) + 1), r FROM v, (VALUES ('non', 1), ('un', 2), ('im', 3), ('ir', 4), ('dis', 5), ('in', 6)) t(x, r) WHERE starts_with(key, x) AND length(key) - length(x) >= 3)
+    SELECT w.doc_id, w.key, arg_min(b.key, w.rank) AS base FROM w JOIN k b ON b.doc_id = w.doc_id AND b.key = w.base AND b.p < w.p GROUP BY ALL""")
 def negation_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vocab.negation_map(vocab.first_seen(_names(spark, sf_dir)))
+    names = table(spark, sf_dir, "orders").selectExpr("o_custkey AS doc_id", "o_orderkey AS pos", f"CASE (o_orderkey * 7 + o_custkey) % {len(_DENIALS)} {_DENIED} END AS name")
+    return vocab.negation_map(vocab.first_seen(names))
 
 
 _HEADS = "SELECT DISTINCT c_nationkey AS doc_id, CASE WHEN c_custkey % 7 = 0 THEN 'Fellow' WHEN c_custkey % 7 = 1 AND c_nationkey % 2 = 0 THEN 'FellowOfAcademy' WHEN c_custkey % 7 = 2 AND c_nationkey % 3 = 0 THEN 'FellowOfClub' ELSE 'Voter' END AS name FROM customer"
@@ -228,7 +243,7 @@ _IN = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
     p AS (SELECT a.doc_id, a.pos AS a, b.pos AS b, a.neg <> b.neg AS opp, len(list_intersect(a.c, b.c))::DOUBLE / len(list_distinct(list_concat(a.c, b.c))) AS j,
       (list_contains(a.c, 'inactive') AND list_contains(b.c, 'active')) OR (list_contains(b.c, 'inactive') AND list_contains(a.c, 'active')) AS ant
       FROM c a JOIN c b ON a.doc_id = b.doc_id AND a.pos < b.pos WHERE len(a.c) > 0 AND len(b.c) > 0)
-    SELECT doc_id, a, b, round(j, 2) AS jaccard, CASE WHEN opp AND j >= 0.5 THEN 'shared wording with opposite polarity' ELSE 'prefix antonym pair: inactive/active' END AS signal
+    SELECT doc_id, a, b, round_even(j, 2) AS jaccard, CASE WHEN opp AND j >= 0.5 THEN 'shared wording with opposite polarity' ELSE 'prefix antonym pair: inactive/active' END AS signal
     FROM p WHERE (opp AND j >= 0.5) OR (ant AND j >= 0.3)""")
 def screener_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.screener(corpora.phrases(spark, sf_dir))

@@ -67,23 +67,23 @@ def stress_documents(spark: SparkSession, per_cell: int = 4, depths: tuple[int,
     d = d.withColumn("expected", F.col("cell") % 2).withColumn("depth", F.get(F.array(*map(F.lit, depths)), F.floor(F.col("cell") / 2).cast("int") % len(depths)))
     d = d.withColumn("distractors", F.get(F.array(*map(F.lit, clutter)), F.floor(F.col("cell") / (2 * len(depths))).cast("int")))
     thing = lambda i: F.concat(F.lit("Crate"), "doc_id", F.lit("n"), i.cast("string"))
-    rung = lambda i: F.when(i > F.col("depth"), F.lit("transferable")).otherwise(F.concat(F.lit("rung"), i.cast("string")))
+    rung = lambda i: F.when(i > F.col("depth"), F.lit("insured")).otherwise(F.concat(F.lit("rung"), i.cast("string")))
 
     def rule(i):
         a, b, form = rung(i - 1), rung(i), pick(4, F.lit("rule"), i)
         return (
             F.when(form == 0, F.concat(F.lit("Every "), a, F.lit(" is a "), b, F.lit("."))).when(form == 1, F.concat(F.lit("All "), a, F.lit("s are "), b, F.lit("s.")))
-            .when(form == 2, F.concat(F.lit("Any "), a, F.lit(" is also a "), b, F.lit("."))).otherwise(F.concat(F.lit("If something is a "), a, F.lit(" then it is a "), b, F.lit(".")))
+            .when(form == 2, F.concat(F.lit("Each "), a, F.lit(" is a "), b, F.lit("."))).otherwise(F.concat(F.lit("If something is a "), a, F.lit(" then it is a "), b, F.lit(".")))
         )
 
     def distractor(i):
         a, b, form = thing(i + 2), F.concat(F.lit("rung"), pick(F.col("depth") + 1, F.lit("which"), i).cast("string")), pick(3, F.lit("other"), i)
-        said = F.when(form == 0, F.lit(" is a ")).when(form == 1, F.lit(" was booked as a ")).otherwise(F.lit(" is listed as a "))
+        said = F.when(form == 0, F.lit(" is a ")).when(form == 1, F.lit(" was packed as a ")).otherwise(F.lit(" is stored as a "))
         return F.concat(a, said, b, F.lit("."))
 
     rules = F.transform(F.sequence(F.lit(1), F.col("depth") + 1), rule)
     others = F.when(F.col("distractors") > 0, F.transform(F.sequence(F.lit(1), F.greatest("distractors", F.lit(1))), distractor)).otherwise(F.array())
-    ends = F.array(F.concat(thing(F.lit(1)), F.lit(" is a rung0.")), F.concat(thing(F.when(F.col("expected") == 1, 1).otherwise(2)), F.lit(" is not transferable.")))
+    ends = F.array(F.concat(thing(F.lit(1)), F.lit(" is a rung0.")), F.concat(thing(F.when(F.col("expected") == 1, 1).otherwise(2)), F.lit(" is not insured.")))
     drawn = F.array_sort(F.transform(F.concat(rules, ends, others), lambda s: F.struct(F.xxhash64(F.lit(seed), s).alias("h"), s.alias("s"))))
     lines = F.transform(drawn, lambda x: x["s"])
     return d.select("doc_id", "depth", "distractors", "expected", F.size(lines).alias("statements"), F.array_join(lines, "\n").alias("text"))

@@ -35,7 +35,11 @@ def test_paragraphs_and_chunks(spark):
     assert [raw[g[2] : g[3]] for g in got] == ["Ann: Hello  there.", "More.", "Bob: Bye."]
     rows = spark.createDataFrame([(1, i, n) for i, n in enumerate([50, 60, 30, 300, 20, 20])], "doc_id int, para_ix int, n int")
     spans = [(r["first"], r["last"]) for r in segment.chunks(rows, max_chars=100).orderBy("chunk_ix").collect()]
-    assert {p for a, b in spans for p in range(a, b + 1)} == set(range(6)) and spans[0] == (0, 0) and (3, 3) in spans
+    assert spans == [(0, 0), (0, 1), (1, 2), (2, 3), (3, 4), (4, 5)]
+    spans = [(r["first"], r["last"]) for r in segment.chunks(rows, max_chars=140, overlap=2).orderBy("chunk_ix").collect()]
+    assert spans == [(0, 2), (1, 3), (2, 4), (3, 5)]
+    docs = spark.createDataFrame([(1,), (2,)], "doc_id int")
+    assert [tuple(r) for r in segment.chunks(rows, docs=docs).where("doc_id = 2").collect()] == [(2, 0, 0, -1)]
 
 
 def test_screener(spark):

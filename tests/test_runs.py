@@ -54,7 +54,7 @@ def test_stress_documents(spark):
         lines = r.text.split("\n")
         assert len(lines) == r.statements == r.depth + 3 + r.distractors
         for i, line in enumerate(lines):
-            ends = re.findall(r"rung\d+|transferable", line)
+            ends = re.findall(r"rung\d+|insured", line)
             who = re.search(r"Crate\w+", line)
             f = f"forall x. ({ends[0]}(x) -> {ends[1]}(x))" if len(ends) == 2 else f"{'not ' * (' not ' in line)}{ends[0]}({who[0].lower()})"
             rows.append((r.doc_id, str(i), i, f))
