@@ -270,17 +270,6 @@ def spans(texts: DataFrame, min_len: int = MIN_LEN, reach: int | None = None, fa
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*out, strict=True), b.columns, strict=True)], b.schema.names)
 
-    def direct(rows: Iterator) -> Iterator:
-        """The intervals of contexts that occur twice."""
-        import pyarrow as pa
-
-        for b in rows:
-            found = [np.frombuffer(m, np.int64).reshape(-1, 3) for m in b.column(2).to_pylist()]
-            n = [len(m) for m in found]
-            lead, width = (np.repeat(b.column(i).to_numpy(zero_copy_only=False), n) for i in (0, 1))
-            m = np.concatenate([np.zeros((0, 3), np.int64), *found])
-            yield pa.RecordBatch.from_arrays([pa.array(m[:, 0]), pa.array(m[:, 1]), pa.array((m[:, 2] - lead).astype(np.int32)), pa.array((m[:, 2] - lead + width + min_len).astype(np.int32))], ["k1", "k2", "start", "stop"])
-
     def resolve(rows: Iterator) -> Iterator:
         group: list[tuple] = []
         for row in _sorted_rows(rows):
@@ -302,16 +291,17 @@ def spans(texts: DataFrame, min_len: int = MIN_LEN, reach: int | None = None, fa
     families = cut(found.groupBy("f").agg(F.count("*").alias("n")).where("n > 1").select("f", "n", (F.col("n") > family).alias("large")))
     items = hot_join(found, families, "f").select("k1", "t", "large")
     if families.where("large").isEmpty():
-        ready, done = sent(items), None
+        ready = sent(items)
     else:
         items = cut(items)
-        ready, done = sent(items.where("not large")), None
+        ready = sent(items.where("not large"))
         rows = cut(sent(items.where("large")).select("*", F.lit(0).alias("low"), F.lit(reach).alias("part")))
         while True:
-            # Of each context that occurs twice all strings repeat; a row without members stands for them.
+            # Of each context that occurs twice all strings repeat: its rows are families of their own. One without members
+            # stands for them in the family.
             one = cut(rows.groupBy("c").agg(F.min(F.struct("f", "lead", "width", "context", "members", "low", "part")).alias("x"), F.sum("n").alias("all"), F.count("*").alias("n")))
-            twice = hot_join(rows.select("c", "lead", "width", "members"), one.where("all > 1").select("c", "n"), "c").select("lead", "width", "members").mapInArrow(direct, SPAN)
-            done = twice if done is None else done.union(twice)
+            twice = hot_join(rows.select("c", "lead", "width", "members"), one.where("all > 1").select("c", "n"), "c")
+            ready = ready.union(twice.select(F.xxhash64("c", "members").alias("f"), "c", "lead", "width", F.lit(b"").alias("context"), "members", F.lit(2).cast("long").alias("n")))
             members = F.when(F.col("all") > 1, F.lit(b"")).otherwise(F.col("x.members"))
             one = one.select("x.f", "c", "x.lead", "x.width", "x.context", members.alias("members"), F.least("all", F.lit(2).cast("long")).alias("n"), "x.low", "x.part")
             sizes = cut(one.groupBy("f").agg(F.count("*").alias("n")).select("f", "n", (F.col("n") > family).alias("large")))
@@ -322,8 +312,7 @@ def spans(texts: DataFrame, min_len: int = MIN_LEN, reach: int | None = None, fa
                 break
             shape = CONTEXT + ", low int, part int"
             rows = cut(marked.where("large").drop("large").mapInArrow(halve, shape))
-    out = ready.repartition("f").sortWithinPartitions("f", "c").mapInArrow(resolve, SPAN)
-    return out if done is None else out.union(done)
+    return ready.repartition("f").sortWithinPartitions("f", "c").mapInArrow(resolve, SPAN)
 
 
 CONTEXT = "f long, c binary, lead int, width int, context binary, members binary, n long"
