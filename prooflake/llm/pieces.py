@@ -32,7 +32,7 @@ RATE, SEED = 0.1, 2
 MARK = "\u2581"
 _HEAD = re.compile("(?<=[^ ])(?= )")
 #: Characters handled at once, and widths of the tables that units of up to so many characters are worked off in.
-PART, WIDTHS = 1 << 20, (2, 3, 4, 5, 6, 8, 10, 12, 16, 24, 32, 64)
+PART, WIDTHS = 1 << 19, (2, 3, 4, 5, 6, 8, 10, 12, 16, 24, 32, 64)
 #: The rank of no candidate.
 NEVER = np.iinfo(np.int32).max
 _TURNS = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
@@ -252,7 +252,7 @@ class Bpe:
         low = 1
         for high in WIDTHS:
             here = np.flatnonzero((lens > low) & (lens <= high))
-            for ix in np.array_split(here, -(-len(here) * high // (1 << 20))) if len(here) else ():
+            for ix in np.array_split(here, -(-len(here) * high // PART)) if len(here) else ():
                 at = units[ix][:, None] + np.arange(high + 1)
                 inside = np.arange(high + 1) < lens[ix][:, None]
                 rows = np.where(inside, sym[np.minimum(at, len(sym) - 1)], self.other)

@@ -39,7 +39,7 @@ GRAM = 16
 #: Contexts of a family that is ordered in one task.
 FAMILY = 10_000
 #: Contexts merged in a task before they are sent, and contexts ordered at once.
-MERGE, ORDER = 20_000, 20_000
+MERGE, ORDER = 10_000, 10_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 
@@ -48,7 +48,7 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Powers of the hash's base, of its inverse, and a value for each byte."""
     have = _tables.__dict__.get("have")
     if have is None or len(have[0]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 18)
         up = np.cumprod(np.full(size, _BASE, np.uint64))
         down = np.cumprod(np.full(size, pow(_BASE, -1, 1 << 64), np.uint64))
         have = (up, down, np.random.default_rng(8).integers(1, 1 << 63, 256, np.uint64) * 2 + 1)
@@ -166,8 +166,8 @@ def _united(spans: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(spans[new, 0].tolist(), reach[np.concatenate((new[1:], [True]))].tolist(), strict=True))
 
 
-def _texts(rows: Iterator, take: int = 1 << 20) -> Iterator[tuple[list[bytes], list[tuple]]]:
-    """Unpacked texts and the other columns of rows whose first column is a compressed text, a few MB at a time."""
+def _texts(rows: Iterator, take: int = 1 << 18) -> Iterator[tuple[list[bytes], list[tuple]]]:
+    """Unpacked texts and the other columns of rows whose first column is a compressed text, some 100 KB at a time."""
     import zstandard
 
     d = zstandard.ZstdDecompressor()
