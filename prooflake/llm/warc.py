@@ -125,7 +125,7 @@ def write(pages: DataFrame, path: str, min_bytes: int = 0, per_row: int = 1 << 2
 
 def member(record: bytes) -> bytes:
     """A gzip member that ends in a zero byte, with an empty one behind it where its length needs that."""
-    out = gzip.compress(record, 6, mtime=0)
+    out = gzip.compress(record, 3, mtime=0)
     return out if out[-1] == 0 else out + gzip.compress(b"", 6, mtime=0)
 
 
