@@ -43,10 +43,7 @@ def deontic_cue(*texts: Column) -> Column:
 
 
 def _any(low: Column, cues: tuple) -> Column:
-    out = F.lit(False)
-    for c in cues:
-        out = out | low.contains(c)
-    return out
+    return F.rlike(low, F.lit("|".join(rf"\Q{c}\E" for c in cues)))
 
 
 def quarantine_shape(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .morph import words_of
+from .morph import const_key, words_of
 
 KEYWORDS = ("forall", "exists", "and", "or", "not")
 TOKEN = r"<->|->|[(),.]|[\p{L}_]\w*"
@@ -65,3 +65,15 @@ def swapped(fol: Column, preds: Column) -> Column:
     """Arguments of two-place atoms turned round for the predicates of an array<string>."""
     turn = lambda f, p: F.regexp_replace(f, F.concat(F.lit(r"\b"), p, F.lit(r"\(\s*(\w+)\s*,\s*(\w+)\s*\)")), F.concat(p, F.lit("($2, $1)")))
     return F.aggregate(F.coalesce(preds, F.array().cast("array<string>")), fol, turn)
+
+
+def canonical(fol: Column, names: Column) -> Column:
+    """Predicates replaced by a map<string,string>, constants by their keys; bound variables and spacing stay."""
+    heads = F.regexp_extract_all(fol, F.lit(r"\b(?:forall|exists)\s+([\w\s,]+?)\s*\."), F.lit(1))
+    bound = F.flatten(F.transform(heads, lambda h: F.split(h, r"\s*,\s*")))
+    parts = F.regexp_extract_all(fol, F.lit(r"(?U)\w+\s*\(|\w+|\W+"), F.lit(0))
+    pred = lambda t: F.regexp_extract(t, r"(?U)^(\w+)\s*\($", 1)
+    is_pred = lambda t: (pred(t) != "") & ~pred(t).isin(*KEYWORDS)
+    is_const = lambda t: F.rlike(t, F.lit(r"(?U)^\w+$")) & ~t.isin(*KEYWORDS) & ~F.array_contains(bound, t)
+    new = lambda t: F.when(is_pred(t), F.concat(F.coalesce(F.element_at(names, pred(t)), pred(t)), F.lit("("))).when(is_const(t), const_key(t)).otherwise(t)
+    return F.array_join(F.transform(parts, new), "")

@@ -20,14 +20,13 @@ NEGATIVE_PREFIXES = ("non", "un", "im", "ir", "dis", "in")
 
 
 def strip_once(word: Column) -> Column:
-    """One pass of the lemmatizer."""
-    repair = lambda s: F.when((F.length(s) >= 4) & s.endswith("i"), F.concat(F.substr(s, F.lit(1), F.length(s) - 1), F.lit("y"))).otherwise(s)
-    out = F.when(word.isin(*IRREGULAR), F.element_at(F.create_map(*[F.lit(x) for kv in IRREGULAR.items() for x in kv]), word))
-    for suffix, new, least in SUFFIXES:
-        stem = F.concat(F.substr(word, F.lit(1), F.length(word) - len(suffix)), F.lit(new))
-        fits = (F.length(word) >= max(least, len(suffix) + 3 - len(new))) & word.endswith(suffix)
-        out = out.when(fits, repair(stem))
-    return out.otherwise(word)
+    """One pass of the lemmatizer: an irregular form, else the first suffix rule that fits."""
+    rules = F.array(*[F.struct(F.lit(x).alias("suffix"), F.lit(new).alias("new"), F.lit(max(least, len(x) + 3 - len(new))).alias("least")) for x, new, least in SUFFIXES])
+    fits = F.slice(F.filter(rules, lambda r: (F.length(word) >= r["least"]) & F.endswith(word, r["suffix"])), 1, 1)
+    stems = F.transform(fits, lambda r: F.concat(F.left(word, F.length(word) - F.length(r["suffix"])), r["new"]))
+    repaired = F.transform(stems, lambda x: F.when((F.length(x) >= 4) & x.endswith("i"), F.concat(F.left(x, F.length(x) - 1), F.lit("y"))).otherwise(x))
+    irregular = F.element_at(F.create_map(*[F.lit(x) for kv in IRREGULAR.items() for x in kv]), word)
+    return F.coalesce(irregular, F.get(repaired, F.lit(0)), word)
 
 
 def words_of(name: Column) -> Column:

@@ -99,7 +99,8 @@ same = lambda a, b: F.pandas_udf(_same, T.BooleanType())(a, b)
 
 
 def gate(statements: DataFrame, guard_deontic: bool = False, allow_relations: bool = False) -> DataFrame:
-    """Decision on (doc_id, stmt_id, pos, type, text, rule, other): status, confidence, reason, shape, fol.
+    """Decision on (doc_id, stmt_id, pos, type, text, rule, other): status, confidence, reason, shape, fol. Where there is a
+    column original, the statement in its author's words, hedges and norms are looked for there too.
 
     rule and other are candidate formulas, null where there is none; what doesn't parse is as good as none. With
     allow_relations, candidates beyond the decidable fragment go and the one of greater arity wins. Ambiguous statements have
@@ -107,8 +108,9 @@ def gate(statements: DataFrame, guard_deontic: bool = False, allow_relations: bo
     divergence.
     """
     s = statements.withColumn("rule", valid(F.col("rule"))).withColumn("other", valid(F.col("other")))
-    guard = F.when(F.col("type").isin(*EXCLUDED), "type").when(hedge_cue(F.col("text")).isNotNull(), "hedged")
-    s = s.withColumn("guard", guard.when(deontic_cue(F.col("text")).isNotNull(), "norm") if guard_deontic else guard)
+    texts = [F.col(c) for c in ("text", "original") if c in statements.columns]
+    guard = F.when(F.col("type").isin(*EXCLUDED), "type").when(hedge_cue(*texts).isNotNull(), "hedged")
+    s = s.withColumn("guard", guard.when(deontic_cue(*texts).isNotNull(), "norm") if guard_deontic else guard)
     s = s.withColumn("none", F.col("rule").isNull() & F.col("other").isNull())
     if allow_relations:
         for c in ("rule", "other"):
@@ -133,4 +135,4 @@ def gate(statements: DataFrame, guard_deontic: bool = False, allow_relations: bo
     kept = F.when(r == "greater arity", F.when(more > 0, rule).otherwise(other)).when(r == "one faithful", F.when(a, rule).otherwise(other)).when(confidence.isNotNull(), one)
     status = F.when(confidence.isNotNull(), "accepted").when(r == "ambiguous", "ambiguous").otherwise("quarantined")
     shape = F.when(r.isin("no formula", "not faithful"), quarantine_shape(F.col("text"))).when(r == "relational role", "relational-role(∀∃)")
-    return s.select("doc_id", "stmt_id", "pos", status.alias("status"), confidence.alias("confidence"), "reason", shape.alias("shape"), kept.alias("fol"))
+    return s.select("doc_id", "stmt_id", "pos", "type", "text", status.alias("status"), confidence.alias("confidence"), "reason", shape.alias("shape"), kept.alias("fol"))

@@ -21,8 +21,9 @@ RULE_ONLY, PAIR, RELAXED = 0.8, 0.95, 0.75
 
 def gate(statements: DataFrame, guard_deontic: bool = False) -> DataFrame:
     """Rule-only admission of (doc_id, stmt_id, type, text): status, confidence, reason, shape, fol. Guards come before
-    translation, in a fixed order."""
-    hedge, norm, fol = hedge_cue(F.col("text")), deontic_cue(F.col("text")), formula(F.col("text"))
+    translation, in a fixed order, and look at a column original too where there is one."""
+    texts = [F.col(c) for c in ("text", "original") if c in statements.columns]
+    hedge, norm, fol = hedge_cue(*texts), deontic_cue(*texts), formula(F.col("text"))
     s = statements.withColumn("hedge", hedge).withColumn("norm", norm if guard_deontic else F.lit(None).cast("string"))
     s = s.withColumn("fol", F.when(~F.col("type").isin(*EXCLUDED) & F.col("hedge").isNull() & F.col("norm").isNull(), fol))
     reason = F.when(F.col("type").isin(*EXCLUDED), F.element_at(F.create_map(*[F.lit(x) for kv in EXCLUDED.items() for x in kv]), F.when(F.col("type").isin(*EXCLUDED), F.col("type"))))

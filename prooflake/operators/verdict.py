@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,27 +36,44 @@ def parsed(formulas: DataFrame) -> DataFrame:
     return formulas.select(*cols).mapInPandas(run, PARSED)
 
 
+def _by_document(frames: Iterator) -> Iterator[list]:
+    """The rows of each document, from batches in the order of doc_id; one document is held at a time."""
+    held: list = []
+    for pdf in frames:
+        for r in pdf.itertuples(index=False):
+            if held and held[0].doc_id != r.doc_id:
+                yield held
+                held = []
+            held.append(r)
+    if held:
+        yield held
+
+
+def _dealt(props: DataFrame) -> DataFrame:
+    return props.repartition("doc_id").sortWithinPartitions("doc_id", "pos")
+
+
 def verified(props: DataFrame, effort: int = 1) -> DataFrame:
     """Verdicts of accepted propositions (doc_id, stmt_id, pos, type, fol): a row each, with its cluster's number and
-    consistency. Documents share groups by a hash, so that a task runs many small ones."""
-    n = max(1, int(props.sparkSession.conf.get("spark.sql.shuffle.partitions"))) * 4
+    consistency. Tasks stream sorted rows and hold one document at a time."""
+    names = [c.split()[0] for c in VERDICTS.split(", ")]
 
-    def run(pdf):
+    def run(frames: Iterator) -> Iterator:
         import pandas as pd
 
+        frame = lambda rows: pd.DataFrame(rows, columns=names).astype({"cluster": "Int32", "consistent": "boolean"})
         out = []
-        for doc, part in pdf.sort_values(["doc_id", "pos"]).groupby("doc_id", sort=False):
-            found, groups = verify.verify(list(part[["stmt_id", "type", "fol"]].itertuples(index=False, name=None)), effort)
+        for part in _by_document(frames):
+            found, groups = verify.verify([(r.stmt_id, r.type, r.fol) for r in part], effort)
             where = {i: (k, c.consistent) for k, c in enumerate(groups) for i in c.ids}
-            for i, v in found.items():
-                k, ok = where.get(i, (None, None))
-                out.append((doc, i, v.verdict, v.support, v.conflict, v.note, k, ok))
-        frame = pd.DataFrame(out, columns=[c.split()[0] for c in VERDICTS.split(", ")])
-        return frame.astype({"cluster": "Int32", "consistent": "boolean"})
+            out += [(part[0].doc_id, i, v.verdict, v.support, v.conflict, v.note, *where.get(i, (None, None))) for i, v in found.items()]
+            if len(out) >= 2000:
+                yield frame(out)
+                out = []
+        yield frame(out)
 
     cols = [F.col("doc_id").cast("string").alias("doc_id"), F.col("stmt_id").cast("string").alias("stmt_id"), F.col("pos").cast("long").alias("pos"), "type", "fol"]
-    dealt = props.select(*cols).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(n)))
-    return dealt.groupBy("part").applyInPandas(lambda pdf: run(pdf.drop(columns="part")), VERDICTS)
+    return _dealt(props.select(*cols)).mapInPandas(run, VERDICTS)
 
 
 def duplicates(formulas: DataFrame) -> DataFrame:
@@ -96,21 +115,22 @@ def reports(props: DataFrame) -> DataFrame:
     """(doc_id, tree, dot, markdown): texts per document of verified propositions (doc_id, pos, stmt_id, type, verdict, support,
     conflict)."""
 
-    def run(pdf):
+    def text(part: list) -> tuple:
+        doc, full = part[0].doc_id, lambda x: list(x) if x is not None else []
+        rows = [(r.stmt_id, r.type, r.verdict, full(r.support), full(r.conflict)) for r in part]
+        edges = [f'  "{s}" -> "{i}";' for i, _, _, support, _ in rows for s in support]
+        edges += [f'  "{i}" -> "{c}" [style=dashed, dir=none];' for i, _, _, _, conflict in rows for c in conflict if i < c]
+        nodes = [f'  "{i}" [label="{i} {v or k}"];' for i, k, v, _, _ in rows]
+        lines = [f"# {doc}", "", "| verdict | n |", "| --- | --- |", *[f"| {k} | {n} |" for k, n in sorted(Counter(r[2] or "none" for r in rows).items())]]
+        lines += ["", "| id | type | verdict | support | conflict |", "| --- | --- | --- | --- | --- |"]
+        lines += [f"| {i} | {k} | {v or ''} | {', '.join(s)} | {', '.join(c)} |" for i, k, v, s, c in rows]
+        return doc, tree(doc, [r[:4] for r in rows]), "\n".join(["digraph theory {", *nodes, *edges, "}"]), "\n".join(lines)
+
+    def run(frames: Iterator) -> Iterator:
         import pandas as pd
 
-        out = []
-        for doc, part in pdf.sort_values(["doc_id", "pos"]).groupby("doc_id", sort=False):
-            rows = [(r.stmt_id, r.type, r.verdict, list(r.support if r.support is not None else []), list(r.conflict if r.conflict is not None else [])) for r in part.itertuples()]
-            edges = [f'  "{s}" -> "{i}";' for i, _, _, support, _ in rows for s in support]
-            edges += [f'  "{i}" -> "{c}" [style=dashed, dir=none];' for i, _, _, _, conflict in rows for c in conflict if i < c]
-            nodes = [f'  "{i}" [label="{i} {v or k}"];' for i, k, v, _, _ in rows]
-            count = part["verdict"].fillna("none").value_counts().sort_index()
-            text = [f"# {doc}", "", "| verdict | n |", "| --- | --- |", *[f"| {k} | {n} |" for k, n in count.items()], "", "| id | type | verdict | support | conflict |", "| --- | --- | --- | --- | --- |"]
-            text += [f"| {i} | {k} | {v or ''} | {', '.join(s)} | {', '.join(c)} |" for i, k, v, s, c in rows]
-            out.append((doc, tree(doc, [r[:4] for r in rows]), "\n".join(["digraph theory {", *nodes, *edges, "}"]), "\n".join(text)))
-        return pd.DataFrame(out, columns=["doc_id", "tree", "dot", "markdown"])
-
-    n = max(1, int(props.sparkSession.conf.get("spark.sql.shuffle.partitions"))) * 4
-    dealt = props.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(n)))
-    return dealt.groupBy("part").applyInPandas(run, "doc_id string, tree string, dot string, markdown string")
+        parts = _by_document(frames)
+        while some := list(islice(parts, 500)):
+            yield pd.DataFrame([text(p) for p in some], columns=["doc_id", "tree", "dot", "markdown"])
+
+    return _dealt(props.withColumn("doc_id", F.col("doc_id").cast("string"))).mapInPandas(run, "doc_id string, tree string, dot string, markdown string")

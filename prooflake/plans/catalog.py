@@ -42,7 +42,10 @@ def speaker_forward_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.last(F.when(F.col("turn") % 2 == 0, F.col("role")), True).over(w).alias("speaker"))
 
 
-@query("SELECT doc_id, CAST(len(list_filter(list_transform(regexp_extract_all(text, '[^.!?\\n]+[.!?]*'), lambda s: trim(s)), lambda s: length(s) > 3)) AS BIGINT) AS n, CAST(sum_len AS BIGINT) AS chars FROM (SELECT *, coalesce(list_sum(list_transform(list_filter(list_transform(regexp_extract_all(text, '[^.!?\\n]+[.!?]*'), lambda s: trim(s)), lambda s: length(s) > 3), lambda s: length(s))), 0) AS sum_len FROM documents) WHERE len(list_filter(list_transform(regexp_extract_all(text, '[^.!?\\n]+[.!?]*'), lambda s: trim(s)), lambda s: length(s) > 3)) > 0")
+_PIECES = r"list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: regexp_replace(translate(s, chr(10), ' '), '^\s+|\s+$', '', 'g')), lambda s: length(s) > 3)"
+
+
+@query(f"SELECT doc_id, len(p)::BIGINT AS n, list_sum(list_transform(p, lambda s: length(s)))::BIGINT AS chars FROM (SELECT doc_id, {_PIECES} AS p FROM documents) WHERE len(p) > 0")
 def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.sentences(table(spark, sf_dir, "documents")).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("sentence")).cast("long").alias("chars"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import formulas, text
-from ..operators import relational, render, report, vocab
+from ..operators import admission, relational, render, report, run, vocab
 from ..sources import corpora, extraction, runs
 from ..sources.corpora import STATEMENTS_SQL, table
 from .catalog import query
@@ -169,3 +169,63 @@ def stress_set(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pending_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     todo = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS doc_id", "o_custkey")
     return runs.pending(todo, table(spark, sf_dir, "orders").select("o_custkey").where("o_custkey % 2 = 0"), "o_custkey").select("doc_id")
+
+
+# A run over customers: each order adds what its status says, and every customer has two rules and a claim. The translator's
+# formula is there for two orders of three and names predicates and constants in other ways.
+_LEDGER = """SELECT o_custkey AS doc_id, concat('o', o_orderkey) AS stmt_id, 10 + o_orderkey AS pos, 'axiom' AS type,
+  CASE o_orderstatus WHEN 'F' THEN concat('C1', o_custkey, ' is a buyer.') WHEN 'O' THEN concat('C1', o_custkey, ' is not a payer.') ELSE concat('C1', o_custkey, ' is typically a payer.') END AS text,
+  CASE WHEN o_orderkey % 3 > 0 AND o_orderstatus = 'F' THEN concat('Buyers(c1_', o_custkey, ')') WHEN o_orderkey % 3 > 0 AND o_orderstatus = 'O' THEN concat('Nonpayer(c1_', o_custkey, ')') END AS other FROM {orders}
+  UNION ALL SELECT c_custkey, 'r', 0, 'axiom', 'Every buyer is a payer.', NULL FROM {customer}
+  UNION ALL SELECT c_custkey, 'z', 1L << 38, 'derived_claim', concat('C1', c_custkey, ' is a payer.'), concat('Payer(c1_', c_custkey, ')') FROM {customer}"""
+_CUSTOMERS = "SELECT c_custkey, count(*) FILTER (o_orderstatus = 'F') AS f, count(*) FILTER (o_orderstatus = 'O') AS o, count(*) FILTER (o_orderstatus = 'P') AS p FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey"
+
+
+def _ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run.run(spark.sql(_LEDGER, orders=table(spark, sf_dir, "orders"), customer=table(spark, sf_dir, "customer")))
+
+
+@query(f"""SELECT c_custkey AS doc_id, (f + o + 2)::BIGINT AS accepted, p::BIGINT AS quarantined, (greatest(f - 1, 0) + greatest(o - 1, 0))::BIGINT AS repeated,
+    o = 0 AS consistent, CASE WHEN o > 0 THEN 'contradicts' WHEN f > 0 THEN 'entailed' ELSE 'not_entailed' END AS claim, CASE WHEN o = 0 AND f > 0 THEN 2 ELSE 0 END AS premises FROM ({_CUSTOMERS})""")
+def run_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    claim = F.col("stmt_id") == "z"
+    out = _ledger(spark, sf_dir).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
+        F.count_if(F.col("status") == "accepted").alias("accepted"), F.count_if(F.col("status") == "quarantined").alias("quarantined"), F.count("first").alias("repeated"),
+        F.bool_and(F.when(claim, F.col("consistent"))).alias("consistent"), F.max(F.when(claim, F.col("verdict"))).alias("claim"), F.max(F.when(claim, F.size("support"))).alias("premises"),
+    )
+    return out
+
+
+@query(f"""WITH c AS ({_CUSTOMERS}), n AS (SELECT count(*) FILTER (o > 0) AS bad, count(*) FILTER (o = 0 AND f > 0) AS proved, count(*) FILTER (o = 0 AND f = 0) AS bare, sum(p) AS held, sum(f + o + 2) AS good FROM c)
+    SELECT outcome, n::BIGINT AS n FROM (SELECT unnest(['contradicts', 'entailed', 'not_entailed', 'quarantined', 'accepted']) AS outcome, unnest([2 * bad, proved, bare, held, good - 2 * bad - proved - bare]) AS n FROM n) WHERE n > 0""")
+def run_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.summary(_ledger(spark, sf_dir))
+
+
+@query("""WITH c AS (SELECT c_custkey AS doc_id, min(o_orderkey) FILTER (o_orderstatus = 'F') AS f, min(o_orderkey) FILTER (o_orderstatus = 'O') AS o FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1)
+    SELECT doc_id, 'z' AS src, 'o' || o AS dst, 'conflict' AS label FROM c WHERE o IS NOT NULL UNION ALL
+    SELECT doc_id, unnest(['r', 'o' || f]), 'z', 'support' FROM c WHERE o IS NULL AND f IS NOT NULL""")
+def run_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.edges(_ledger(spark, sf_dir)).withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+# Statements with two candidates over orders: k, type, text, rule, other, and what the gate says.
+_EVERY, _CATS = "Every cat is an animal.", "forall x. (Cat(x) -> Animal(x))"
+_TWO = [
+    ("rhetorical", _EVERY, _CATS, None, "type", None, None), ("axiom", "Cats typically purr.", "Purring(cats)", None, "hedged", None, None),
+    ("axiom", "One must pay.", "Payer(one)", None, "norm", None, None), ("axiom", "Cats purr.", None, "P((", "no formula", None, None),
+    ("axiom", _EVERY, _CATS, "forall y. (not Animal(y) -> not Cat(y))", "agreed", 0.95, _CATS), ("axiom", _EVERY, _CATS, "forall x. (Dog(x) -> Mineral(x))", "one faithful", 0.75, _CATS),
+    ("axiom", "Every black cat is an animal.", _CATS, "forall x. (BlackCat(x) -> Animal(x))", "modifier only", 0.75, _CATS), ("axiom", _EVERY, _CATS, "forall x. (Animal(x) -> Cat(x))", "ambiguous", None, None),
+    ("axiom", _EVERY, "Dog(rex)", "Mineral(stone)", "none faithful", None, None), ("axiom", "Tom is a cat.", "Cat(tom)", None, "rule faithful", 0.8, "Cat(tom)"),
+    ("axiom", "Tom is a cat.", None, "Cat(tom)", "other faithful", 0.7, "Cat(tom)"), ("axiom", "Tom is a cat.", "Planet(pluto)", None, "not faithful", None, None),
+    ("axiom", "Ann loves Bob.", "LovesBob(ann)", "Loves(ann, bob)", "greater arity", 0.75, "Loves(ann, bob)"), ("axiom", "Every man loves a woman.", "forall x. (Man(x) -> exists y. (Loves(x, y)))", None, "relational role", None, None),
+]
+_SQL = lambda x: "NULL" if x is None else f"{x}::DOUBLE" if isinstance(x, float) else f"'{x}'"
+_PICK = lambda at, sql=_SQL: f"CASE o_orderkey % {len(_TWO)} {' '.join(f'WHEN {k} THEN {sql(c[at])}' for k, c in enumerate(_TWO))} END"
+
+
+@query(f"""SELECT doc_id, CASE WHEN confidence IS NOT NULL THEN 'accepted' WHEN reason = 'ambiguous' THEN 'ambiguous' ELSE 'quarantined' END AS status, confidence, reason, fol FROM (
+    SELECT o_orderkey AS doc_id, {_PICK(4)} AS reason, {_PICK(5)} AS confidence, {_PICK(6)} AS fol FROM orders)""")
+def gate_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS doc_id", "'s' AS stmt_id", "1 AS pos", *[f"{_PICK(at)} AS {name}" for at, name in enumerate(("type", "text", "rule", "other"))])
+    return admission.gate(said, guard_deontic=True, allow_relations=True).select("doc_id", "status", "confidence", "reason", "fol")
