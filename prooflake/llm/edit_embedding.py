@@ -253,7 +253,7 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], NAMES)
 
     dealt = rows.select("id", F.xxhash64("text").alias("tie"), "text").mapInArrow(deal, "bucket int, guest boolean, id long, tie long, z binary")
-    ordered = dealt.repartition(n, "bucket").sortWithinPartitions("bucket", "guest", F.desc("id"), "tie")
+    ordered = dealt.repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket", "guest", F.desc("id"), "tie")
     return ordered.mapInArrow(run, SCHEMA).withColumnRenamed("doc_id", id_col)
 
 
