@@ -30,7 +30,7 @@ from .common import batches, shared_dir
 from .pieces import MARK, Bpe, _model, load
 
 #: Units that a tokenising worker keeps before it starts anew, and bytes of texts put together at once.
-KEPT, PART = 700_000, 4 << 20
+KEPT, PART = 200_000, 2 << 20
 #: A token is its end times 2**END and its id, less than MARK_ID; a link is a's id times 2**SHIFT and b's id.
 END, SHIFT = 26, 26
 MARK_ID = (1 << END) - 1
