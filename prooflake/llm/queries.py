@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import edit_embedding, mixing, pieces, quality, simhash, spelling, suffix_dedup, token_alignment, url_filter, voronoi_knn, warc
+from . import edit_embedding, language, mixing, pieces, quality, simhash, spelling, suffix_dedup, token_alignment, url_filter, voronoi_knn, warc
 from .common import read
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
@@ -67,13 +67,17 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(read(spark, sf_dir, "documents"))
 
 
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predicted(read(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_sentencepiece, op3_mixing, op4_simhash, op5_topk, op6_url_filter, op7_token_counts, op8_suffix_dedup, op9_quality, op10_edit_embedding, op11_alignment, op12_spelling, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_sentencepiece, op3_mixing, op4_simhash, op5_topk, op6_url_filter, op7_token_counts, op8_suffix_dedup, op9_quality, op10_edit_embedding, op11_alignment, op12_spelling, op13_language, pipeline)}
 
 _BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(sha1(coalesce(html, '')), {1 + 5 * g}, 5))::BIGINT >> {s}) & 31) + 1)::INT, 1)" for g in range(8) for s in (15, 10, 5, 0))
 _RULE = " ".join(
