@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from ..functions.cues import deontic_cue, hedge_cue, quarantine_shape
 from ..functions.formulas import KEYWORDS, NAME, atoms, max_arity, modifier_only, predicates
 from ..functions.morph import NEGATIVE_PREFIXES, NUMBER_WORDS, lemma, words_of
+from ..functions.numbers import rounded
 from ..functions.text import word_matches
 from ..logic import fol as logic
 from ..logic import sat
@@ -74,7 +75,7 @@ def fidelity(formula: Column, text: Column, known: Column) -> Column:
         of_all = lambda preds: F.concat(F.transform(preds, lambda p: p["hit"] | p["known"]), F.flatten(F.transform(constants(formula), of_const)))
         lone = lambda preds: (F.size(preds) > 0) & (F.size(F.array_distinct(F.transform(preds, lambda p: p["w"]))) == 1) & F.forall(preds, lambda p: p["hit"])
         share = lambda hits: F.when(F.size(hits) > 0, F.size(F.filter(hits, lambda h: h)) / F.size(hits)).otherwise(1.0)
-        score = lambda preds: let(let(of_all(preds), share), lambda x: F.struct(F.bround(x, 3).alias("coverage"), (x >= F.when(lone(preds), RELAXED).otherwise(THRESHOLD)).alias("passed")))
+        score = lambda preds: let(let(of_all(preds), share), lambda x: F.struct(rounded(x, 3).alias("coverage"), (x >= F.when(lone(preds), RELAXED).otherwise(THRESHOLD)).alias("passed")))
         return let(found, score)
 
     stems = let(F.array_distinct(F.concat(said, F.transform(said, lemma))), lambda ws: F.concat(ws, *[_stripped(ws, p) for p in NEGATIVE_PREFIXES]))
@@ -98,6 +99,13 @@ safe = lambda c: F.pandas_udf(_safe, T.BooleanType())(c)
 same = lambda a, b: F.pandas_udf(_same, T.BooleanType())(a, b)
 
 
+def guarded(statements: DataFrame, guard_deontic: bool = False) -> DataFrame:
+    """Adds guard: why a statement is set aside before any candidate is looked at (type, hedged, norm), else null."""
+    texts = [F.col(c) for c in ("text", "original") if c in statements.columns]
+    guard = F.when(F.col("type").isin(*EXCLUDED), "type").when(hedge_cue(*texts).isNotNull(), "hedged")
+    return statements.withColumn("guard", guard.when(deontic_cue(*texts).isNotNull(), "norm") if guard_deontic else guard)
+
+
 def gate(statements: DataFrame, guard_deontic: bool = False, allow_relations: bool = False) -> DataFrame:
     """Decision on (doc_id, stmt_id, pos, type, text, rule, other): status, confidence, reason, shape, fol. Where there is a
     column original, the statement in its author's words, hedges and norms are looked for there too.
@@ -108,9 +116,7 @@ def gate(statements: DataFrame, guard_deontic: bool = False, allow_relations: bo
     divergence.
     """
     s = statements.withColumn("rule", valid(F.col("rule"))).withColumn("other", valid(F.col("other")))
-    texts = [F.col(c) for c in ("text", "original") if c in statements.columns]
-    guard = F.when(F.col("type").isin(*EXCLUDED), "type").when(hedge_cue(*texts).isNotNull(), "hedged")
-    s = s.withColumn("guard", guard.when(deontic_cue(*texts).isNotNull(), "norm") if guard_deontic else guard)
+    s = guarded(s, guard_deontic)
     s = s.withColumn("none", F.col("rule").isNull() & F.col("other").isNull())
     if allow_relations:
         for c in ("rule", "other"):

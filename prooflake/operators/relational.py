@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.numbers import rounded
 from ..functions.cues import deontic_cue, hedge_cue, quarantine_shape
 from ..functions.morph import NEGATIVE_PREFIXES
 from .translate import formula
@@ -57,7 +58,7 @@ def screener(statements: DataFrame) -> DataFrame:
     both = lambda a, b: F.flatten(F.transform(a, lambda u: F.transform(F.filter(b, lambda v: _opposed(u, v)), lambda v: F.concat(F.when(F.length(u) > F.length(v), F.concat(u, F.lit("/"), v)).otherwise(F.concat(v, F.lit("/"), u))))))
     met = met.withColumn("ant", F.array_sort(F.array_distinct(both(F.col("ca"), F.col("cb")))))
     signal = F.when((F.col("na") != F.col("nb")) & (F.col("j") >= 0.5), "shared wording with opposite polarity").when((F.size("ant") > 0) & (F.col("j") >= 0.3), F.concat(F.lit("prefix antonym pair: "), F.array_join("ant", ", ")))
-    flagged = met.select("doc_id", "ta", "tb", F.bround("j", 2).alias("jaccard"), signal.alias("signal")).where("signal is not null")
+    flagged = met.select("doc_id", "ta", "tb", rounded(F.col("j"), 2).alias("jaccard"), signal.alias("signal")).where("signal is not null")
     s = statements.select("doc_id", "pos", "text")
     out = flagged.join(s.select("doc_id", F.col("pos").alias("pa"), F.col("text").alias("ta")), ["doc_id", "ta"]).join(s.select("doc_id", F.col("pos").alias("pb"), F.col("text").alias("tb")), ["doc_id", "tb"])
     return out.select("doc_id", F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"), "jaccard", "signal")

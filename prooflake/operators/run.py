@@ -14,12 +14,14 @@ from pyspark.sql import Window as W
 from ..functions.formulas import atoms, canonical
 from ..functions.morph import pred_key
 from ..logic import fol as logic
-from . import admission, relational, translate, verdict, vocab
+from . import admission, translate, verdict, vocab
 from .runtime import cut
 
 #: Bridges come after all statements of their document.
 AFTER = 1 << 40
 BRIDGED = 1.0
+#: Candidates of a statement in the order in which they show their names.
+SIDES = ("rule", "other")
 
 
 def _alpha(formula: pd.Series) -> pd.Series:
@@ -56,14 +58,15 @@ def unified(formulas: DataFrame, self_ref: bool = False) -> DataFrame:
     return vocab.strip_guards(cut(vocab.apply_aliases(f, relations)))
 
 
-def candidates(statements: DataFrame) -> DataFrame:
+def candidates(statements: DataFrame, guard_deontic: bool = False) -> DataFrame:
     """Statements (doc_id, stmt_id, pos, type, text, other) with rule, the formula by rules alone, and both candidates
-    normalised over their document."""
-    s = statements.withColumn("rule", translate.formula(F.col("text")))
-    both = F.array(*[F.struct(F.lit(c).alias("side"), F.col(c).alias("fol")) for c in ("other", "rule")])
+    normalised over their document. Statements that a guard sets aside have no candidates, so that their names are not seen;
+    a statement's own formula shows its names before the translator's."""
+    s = admission.guarded(statements, guard_deontic).withColumn("rule", F.when(F.col("guard").isNull(), translate.formula(F.col("text"))))
+    both = F.array(*[F.struct(F.lit(i).alias("side"), F.when(F.col("guard").isNull(), F.col(c)).alias("fol")) for i, c in enumerate(SIDES)])
     long = s.select("doc_id", "stmt_id", "pos", F.inline(both)).where("fol IS NOT NULL")
-    wide = normalised(cut(long), "stmt_id", "side").groupBy("doc_id", "stmt_id").agg(*[F.max(F.when(F.col("side") == c, F.col("fol"))).alias(c) for c in ("rule", "other")])
-    return s.drop("rule", "other").join(wide, ["doc_id", "stmt_id"], "left")
+    wide = normalised(cut(long), "stmt_id", "side").groupBy("doc_id", "stmt_id").agg(*[F.max(F.when(F.col("side") == i, F.col("fol"))).alias(c) for i, c in enumerate(SIDES)])
+    return s.drop("rule", "other", "guard").join(wide, ["doc_id", "stmt_id"], "left")
 
 
 def run(statements: DataFrame, bridges: DataFrame | None = None, guard_deontic: bool = False, allow_relations: bool = False, self_ref: bool = False, effort: int = 1) -> DataFrame:
@@ -76,7 +79,7 @@ def run(statements: DataFrame, bridges: DataFrame | None = None, guard_deontic:
     ids = [F.col(c).cast("string").alias(c) for c in ("doc_id", "stmt_id")]
     extra = [c for c in ("original",) if c in statements.columns]
     s = statements.select(*ids, F.col("pos").cast("long").alias("pos"), "type", "text", "other", *extra)
-    store = admission.gate(candidates(s), guard_deontic, allow_relations)
+    store = admission.gate(candidates(s, guard_deontic), guard_deontic, allow_relations)
     if bridges is not None:
         good = admission.valid(F.col("fol"))
         b = bridges.select(*ids, F.col("fol").alias("raw"), good.alias("fol"), "gloss").withColumn("pos", AFTER + F.row_number().over(W.partitionBy("doc_id").orderBy("stmt_id")))
@@ -94,7 +97,3 @@ def run(statements: DataFrame, bridges: DataFrame | None = None, guard_deontic:
     v = verdict.verified(store.where("fol IS NOT NULL AND first IS NULL"), effort)
     return store.join(v, ["doc_id", "stmt_id"], "left")
 
-
-def flags(statements: DataFrame) -> DataFrame:
-    """Pairs that the screener flags, for reading beside the verdicts."""
-    return relational.screener(statements)

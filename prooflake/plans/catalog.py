@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import cues, morph
+from ..functions.numbers import rounded_sql
 from ..operators import relational, segment, translate, verdict, vocab
 from ..sources import corpora
 from ..sources.corpora import REQUIRES_SQL, STATEMENTS_SQL, table
@@ -246,7 +247,7 @@ _IN = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
     p AS (SELECT a.doc_id, a.pos AS a, b.pos AS b, a.neg <> b.neg AS opp, len(list_intersect(a.c, b.c))::DOUBLE / len(list_distinct(list_concat(a.c, b.c))) AS j,
       (list_contains(a.c, 'inactive') AND list_contains(b.c, 'active')) OR (list_contains(b.c, 'inactive') AND list_contains(a.c, 'active')) AS ant
       FROM c a JOIN c b ON a.doc_id = b.doc_id AND a.pos < b.pos WHERE len(a.c) > 0 AND len(b.c) > 0)
-    SELECT doc_id, a, b, round_even(j, 2) AS jaccard, CASE WHEN opp AND j >= 0.5 THEN 'shared wording with opposite polarity' ELSE 'prefix antonym pair: inactive/active' END AS signal
+    SELECT doc_id, a, b, {rounded_sql("j", 2)} AS jaccard, CASE WHEN opp AND j >= 0.5 THEN 'shared wording with opposite polarity' ELSE 'prefix antonym pair: inactive/active' END AS signal
     FROM p WHERE (opp AND j >= 0.5) OR (ant AND j >= 0.3)""")
 def screener_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.screener(corpora.phrases(spark, sf_dir))

@@ -38,3 +38,30 @@ def test_empty(spark):
 def test_titled_sentences(spark):
     docs = spark.createDataFrame([(1, "  Title.\nIt is 3.5 m\nlong. Yes! Ok"), (2, None)], "doc_id int, text string")
     assert [r.sentence for r in segment.sentences(docs, titled=True).orderBy("ix").collect()] == ["It is 3.5 m long.", "Yes!"]
+
+
+def test_set_aside_statements_show_no_names(spark):
+    rows = [(1, "a", 1, "axiom", "Plato is typically mortal.", "Mortal(plato)"), (1, "b", 2, "axiom", "Zeus is immortal.", "Immortal(zeus)"), (2, "a", 1, "rhetorical", "Who is mortal?", "Mortal(plato)"), (2, "b", 2, "axiom", "Zeus is immortal.", "Immortal(zeus)")]
+    got = {(r.doc_id, r.stmt_id): r for r in run.run(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got["1", "a"].reason == "hedged" and got["1", "b"].fol == got["2", "b"].fol == "Immortal(zeus)"
+
+
+def test_a_statements_own_formula_shows_its_names_first(spark):
+    rows = [(1, "a", 1, "axiom", "Tom is a cat.", "Cats(tom)"), (1, "b", 2, "axiom", "Zeus is immortal.", "Immortal(zeus)")]
+    got = {r.stmt_id: r.fol for r in run.run(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got["a"] == "Cat(tom)"
+
+
+def test_rounding_by_the_exact_value(spark):
+    from pyspark.sql import functions as F
+
+    from prooflake.functions.numbers import rounded, rounded_sql
+
+    pairs = [(i, u) for u in range(1, 210) for i in range(u + 1) if i / u >= 0.008 or i == 0]
+    df = spark.createDataFrame(pairs, "i int, u int").withColumn("x", F.col("i") / F.col("u"))
+    got = df.select("i", "u", rounded(F.col("x"), 2).alias("two"), rounded(F.col("x"), 3).alias("three")).collect()
+    assert [(r.two, r.three) for r in got] == [(round(r.i / r.u, 2), round(r.i / r.u, 3)) for r in got]
+    import duckdb
+
+    for i, u in ((23, 40), (7, 40), (21, 40), (1, 8), (3, 8)):
+        assert duckdb.sql(f"SELECT {rounded_sql(f'{i}::DOUBLE / {u}', 2)}").fetchall() == [(round(i / u, 2),)]
