@@ -47,3 +47,9 @@ class Stages:
         whole = sum(s for _, s in self.rows) or 1.0
         rows = [(i, n, s, round(s / whole, 4)) for i, (n, s) in enumerate(self.rows)]
         return spark.createDataFrame(rows, "ix int, stage string, seconds double, share double")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, in whatever store the path is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
