@@ -222,7 +222,7 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for bucket, guest, id_, z in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(4).to_pylist(), strict=True):
                 if guest and (held is None or held[0] != bucket):
                     continue  # a further row of the same id as the guest
-                text = d.decompress(z).decode()
+                text = d.decompress(z).decode("utf-8", "replace")
                 points = _points(text)
                 _, steps = _states(points, start)
                 own = _sampled(points, steps, seed)

@@ -191,7 +191,7 @@ def packed(docs: DataFrame, **options) -> DataFrame:
             for uid, place, z, own in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 words = d.decompress(z).split()
                 parts = [b" ".join(words[r["start"] : r["start"] + r["words"]]) for r in own]
-                cols = [[r["src"] for r in own], [r["block"] for r in own], [(place, uid, r["words"], t.decode()) for r, t in zip(own, parts, strict=True)]]
+                cols = [[r["src"] for r in own], [r["block"] for r in own], [(place, uid, r["words"], t.decode("utf-8", "replace")) for r, t in zip(own, parts, strict=True)]]
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array([dict(zip(("place", "uid", "words", "text"), x, strict=True)) for x in cols[2]], pa.struct([("place", pa.int64()), ("uid", pa.int64()), ("words", pa.int64()), ("text", pa.string())]))], ["src", "block", "part"])
 
     parts = base.join(runs, "uid").select("uid", "place", "z", "runs").mapInArrow(cut_out, "src int, block long, part struct<place: bigint, uid: bigint, words: bigint, text: string>")
@@ -216,7 +216,9 @@ def taken(docs: DataFrame, **options) -> DataFrame:
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents, with the columns of docs: a row for each pass that takes words of a document, its text the
-    words taken in that pass. A pass that takes all words keeps the text as it is; n_chars, if there, is set anew."""
+    words taken in that pass. A pass that takes all words keeps the text as it is; n_chars, if there, is set anew.
+    Documents without words (null and empty texts) have no rows, bytes that aren't UTF-8 become U+FFFD, an empty table gives no
+    rows, repeated rows are documents of their own."""
     names = docs.columns
     rest = [c for c in names if c != "text"]
     own = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)]  # so that no name clashes
@@ -236,7 +238,7 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
                 whole = d.decompress(z)
                 for e in range(max(r["times"] for r in runs_)):
                     spans = _joined([(r["start"], r["start"] + r["words"]) for r in runs_ if r["times"] > e])
-                    texts.append((whole if spans == [(0, size)] else _words(whole, spans)).decode())
+                    texts.append((whole if spans == [(0, size)] else _words(whole, spans)).decode("utf-8", "replace"))
                     pick.append(i)
             left = b.take(pa.array(pick, pa.int64()))
             cols = dict(zip(rest, left.columns[3:], strict=True)) | {"text": pa.array(texts, pa.string())}

@@ -322,7 +322,8 @@ def encoded(docs: DataFrame, model: str, rate: float = RATE, seed: int = SEED, i
     """Per row of docs: doc_id, n_pieces, ids_sha256 (of packed little-endian 32-bit ids), text_sha256 (of the text decoded
     from the ids) and lossless (that text is the input); with_ids adds ids.
 
-    A null or empty text has no pieces. Draws of skipped merges belong to seed, text, doc_id and pass; rows of one doc_id and
+    A null or empty text has no pieces; bytes that aren't UTF-8 are encoded as U+FFFD, and the text isn't lossless then. An
+    empty table gives no rows; other columns don't matter. Draws of skipped merges belong to seed, text, doc_id and pass; rows of one doc_id and
     text that follow each other in a task, as the mix writes them, are passes. Works without a shuffle.
     """
     held = docs.sparkSession.sparkContext.broadcast(load(model))
@@ -333,15 +334,15 @@ def encoded(docs: DataFrame, model: str, rate: float = RATE, seed: int = SEED, i
         bpe = _bpe(held.value, rate, seed)
         last, turn = None, 0
         for own, texts in batches(rows, 4 << 20):
-            decoded, places, out = [(t or b"").decode() for t in texts], [], []
+            decoded, places, out = [(t or b"").decode("utf-8", "replace") for t in texts], [], []
             for i, text in zip(own, decoded, strict=True):
                 turn = turn + 1 if (i, text) == last else 0
                 last = (i, text)
                 places.append(f"{i} {turn}")
-            for text, ids in zip(decoded, bpe.encode_all(decoded, places), strict=True):
+            for text, ids in zip(texts, bpe.encode_all(decoded, places), strict=True):
                 packed = ids.tobytes()
                 back = bpe.decode(packed)
-                out.append((len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), back == text, ids if with_ids else None))
+                out.append((len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), back.encode() == (text or b""), ids if with_ids else None))
             cols = list(zip(*out, strict=True))
             kinds = (pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.list_(pa.int32()))
             arrays = [pa.array(own, pa.int64()), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]][: 6 if with_ids else 5]
@@ -426,8 +427,9 @@ def _counter(data: bytes) -> Counter:
 
 
 def token_counts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of docs: doc_id, n_chars, n_tokens, score (rounded to 6 places). A null or empty text has none. Row by row,
-    without a shuffle."""
+    """Per row of docs: doc_id, n_chars, n_tokens, score (rounded to 6 places). A null or empty text has none; bytes that aren't
+    UTF-8 count as U+FFFD. Repeated rows count alike, texts of any length are counted whole, an empty table gives no rows,
+    other columns don't matter. Row by row, without a shuffle."""
     held = docs.sparkSession.sparkContext.broadcast(load(model))
 
     def run(rows: Iterator) -> Iterator:
@@ -435,7 +437,7 @@ def token_counts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
 
         counter = _counter(held.value)
         for own, texts in batches(rows, 4 << 20):
-            decoded = [(t or b"").decode() for t in texts]
+            decoded = [(t or b"").decode("utf-8", "replace") for t in texts]
             out = list(map(counter.count, decoded))
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(map(len, decoded), pa.int64()), pa.array([c for c, _ in out], pa.int64()), pa.array([round(s, 6) for _, s in out])], ["doc_id", "n_chars", "n_tokens", "score"])
 
