@@ -41,19 +41,50 @@ def gate(statements: DataFrame, guard_deontic: bool = False) -> DataFrame:
     )
 
 
+def _indexed(texts: DataFrame) -> DataFrame:
+    """texts (doc_id, text, c, neg) with c in order of rarity in the document, and half and third: the words that two texts
+    at a Jaccard of 0.5 or 0.3 have one of in common, the rarest ones. Of s words all but ceil(t s) - 1 are enough."""
+    each = texts.select("doc_id", "text", F.explode("c").alias("w"))
+    many = each.groupBy("doc_id", "w").agg(F.count("*").alias("n"))
+    ranked = each.join(many, ["doc_id", "w"]).groupBy("doc_id", "text").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "w"))), lambda x: x["w"]).alias("rare"))
+    head = lambda t: F.slice("rare", 1, F.size("rare") - F.ceil(F.size("rare") * t).cast("int") + 1)
+    return texts.join(ranked, ["doc_id", "text"]).withColumn("half", head(F.lit("0.5").cast("decimal(2,1)"))).withColumn("third", head(F.lit("0.3").cast("decimal(2,1)")))
+
+
+def candidate_pairs(statements: DataFrame) -> DataFrame:
+    """(doc_id, ta, ca, na, tb, cb, nb): pairs of a document's texts that may flag, each once.
+
+    Two indexes, so that a word that every statement has makes no pair. Texts of opposite polarity meet by the words of
+    `half`. A text with a word in its negative form and one with the bare word meet by that word and one of `third`."""
+    tokens = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z']+"), F.lit(0)))
+    texts = statements.select("doc_id", "text").distinct().withColumn("t", tokens)
+    texts = texts.withColumn("c", F.array_sort(F.filter("t", lambda w: ~w.isin(*STOPS) & ~w.isin(*NEGATORS)))).withColumn("neg", F.exists("t", lambda w: w.isin(*NEGATORS))).where("size(c) > 0")
+    x = _indexed(texts.select("doc_id", "text", "c", "neg"))
+    side = lambda rows, s: rows.select("doc_id", F.col("text").alias(f"t{s}"), F.col("c").alias(f"c{s}"), F.col("neg").alias(f"n{s}"), *[c for c in rows.columns if c.startswith("_")])
+    near = lambda t: (F.size("ca") >= t * F.size("cb")) & (F.size("cb") >= t * F.size("ca"))
+    words = x.withColumn("_w", F.explode("half"))
+    met = side(words.where("neg"), "a").join(side(words.where("NOT neg"), "b"), ["doc_id", "_w"]).where(near(0.5)).drop("_w")
+    bases = F.flatten(F.transform("c", lambda w: F.array_compact(F.array(*[F.when(w.startswith(p) & (F.length(w) - len(p) >= 3), F.substr(w, F.lit(len(p) + 1))) for p in NEGATIVE_PREFIXES]))))
+    words = x.withColumn("_w", F.explode("third"))
+    bare = x.select("doc_id", F.explode("c").alias("_base")).distinct()
+    negative = words.withColumn("_base", F.explode(F.array_distinct(bases))).join(bare, ["doc_id", "_base"], "left_semi")
+    based = negative.select("doc_id", "_base").distinct()
+    positive = words.withColumn("_base", F.explode("c")).join(based, ["doc_id", "_base"], "left_semi")
+    anti = side(negative, "a").join(side(positive, "b"), ["doc_id", "_base", "_w"]).where(near(0.3)).drop("_w", "_base")
+    both = met.unionByName(anti).where("ta <> tb")
+    turned = F.col("ta") > F.col("tb")
+    pick = [F.when(turned, F.col(f"{c}{'b' if s == 'a' else 'a'}")).otherwise(F.col(f"{c}{s}")).alias(f"{c}{s}") for s in "ab" for c in "tcn"]
+    return both.select("doc_id", *pick).dropDuplicates(["doc_id", "ta", "tb"])
+
+
 def screener(statements: DataFrame) -> DataFrame:
     """(doc_id, a, b, jaccard, signal) for pairs of a document's statements (doc_id, pos, text) that share wording: opposite
     polarity at a Jaccard of 0.5 or more, else a prefix antonym at 0.3 or more.
 
-    Either flag needs a shared content word, so pairs meet by words, each statement under its distinct words. Statements with
-    one text are one node while words are compared, and pairs of equal statements (Jaccard 1, one polarity) never flag.
+    Pairs come from candidate_pairs. Statements with one text are one node while words are compared, and pairs of equal
+    statements (Jaccard 1, one polarity) never flag.
     """
-    tokens = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z']+"), F.lit(0)))
-    texts = statements.select("doc_id", "text").distinct().withColumn("t", tokens)
-    texts = texts.withColumn("c", F.array_sort(F.filter("t", lambda w: ~w.isin(*STOPS) & ~w.isin(*NEGATORS)))).withColumn("neg", F.exists("t", lambda w: w.isin(*NEGATORS))).where("size(c) > 0")
-    x = texts.select("doc_id", F.col("text").alias("ta"), F.col("c").alias("ca"), F.col("neg").alias("na"), F.explode("c").alias("w"))
-    y = texts.select("doc_id", F.col("text").alias("tb"), F.col("c").alias("cb"), F.col("neg").alias("nb"), F.explode("c").alias("w"))
-    met = x.join(y, ["doc_id", "w"]).where("ta < tb").drop("w").distinct()
+    met = candidate_pairs(statements)
     met = met.withColumn("j", F.size(F.array_intersect("ca", "cb")) / F.size(F.array_union("ca", "cb")))
     both = lambda a, b: F.flatten(F.transform(a, lambda u: F.transform(F.filter(b, lambda v: _opposed(u, v)), lambda v: F.concat(F.when(F.length(u) > F.length(v), F.concat(u, F.lit("/"), v)).otherwise(F.concat(v, F.lit("/"), u))))))
     met = met.withColumn("ant", F.array_sort(F.array_distinct(both(F.col("ca"), F.col("cb")))))

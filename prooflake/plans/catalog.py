@@ -383,4 +383,4 @@ def theory_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdict.reports(rows)
 
 
-from . import chains, formulas  # noqa: E402, F401  register their queries
+from . import chains, corpus, formulas  # noqa: E402, F401  register their queries

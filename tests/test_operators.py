@@ -63,3 +63,35 @@ def test_streaming(spark, tmp_path):
     q = stream_gate(spark, str(tmp_path / "in"), "doc_id long, text string", str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination()
     assert {r.status for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"accepted", "quarantined"}
+
+
+def test_screener_meets_by_rare_words(spark):
+    """A word that every statement has makes no pair, and pairs equal those of all pairs."""
+    import random
+
+    from prooflake.operators import relational
+
+    r = random.Random(3)
+    pool = ["active", "inactive", "possible", "impossible", "cat", "dog", "bird", "fish", "tree", "stone"]
+    rows = [(1, i, " ".join(["Common", *r.sample(pool, r.randint(1, 4)), *(["not"] if r.random() < 0.4 else [])])) for i in range(60)]
+    own = lambda i: "q" + chr(97 + i % 26) + chr(97 + i // 26)
+    rows += [(2, i, f"common {own(i)}x {own(i)}y {own(i)}z" + (" not" if i % 2 else "")) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id int, pos int, text string")
+    assert relational.candidate_pairs(df.where("doc_id = 2")).count() == 0
+
+    def words(text):
+        t = set(text.lower().split())
+        return t - {"not"}, "not" in t
+
+    def opposed(a, b):
+        return any(p + v == u for p in relational.NEGATIVE_PREFIXES for x, y in ((a, b), (b, a)) for u in x for v in y if len(v) >= 3)
+
+    want = set()
+    for d, i, s in rows:
+        for e, j, t in rows:
+            if d == e and i < j and s != t:
+                (a, na), (b, nb) = words(s), words(t)
+                share = len(a & b) / len(a | b)
+                if (na != nb and share >= 0.5) or (opposed(a, b) and share >= 0.3):
+                    want.add((d, i, j, round(share, 2)))
+    assert {(x.doc_id, x.a, x.b, x.jaccard) for x in relational.screener(df).collect()} == want
