@@ -4,12 +4,20 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared(spark: SparkSession) -> str:
+    """The folder that driver and executors share, of spark.checkpoint.dir; a local one is made only where that is unset."""
+    sc = spark.sparkContext
+    current = sc._jsc.sc().getCheckpointDir()
+    at = sc.getConf().get("spark.checkpoint.dir", None) or (current.get() if current.isDefined() else tempfile.mkdtemp(prefix="prooflake-"))
+    if not current.isDefined():
+        sc.setCheckpointDir(at)
+    return at
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the folder of spark.checkpoint.dir; a local one is made only where that is unset."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="prooflake-"))
+    """Cut the lineage with a checkpoint in the shared folder."""
+    shared(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import span
 from ..operators import corpus, relational, theory
+from ..operators.runtime import shared
 from ..sources import corpora
 from ..sources.corpora import STATEMENTS_SQL, table
+from ..streaming import statements as streaming
 from .catalog import _IN, _TOKENS, query
 
 
@@ -75,3 +79,18 @@ def theory_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id, count(*) AS candidates FROM p GROUP BY doc_id""")
 def screener_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.candidate_pairs(corpora.phrases(spark, sf_dir)).groupBy("doc_id").agg(F.count("*").alias("candidates"))
+
+
+@query("""WITH s AS (SELECT user_id::VARCHAR AS doc_id, event_id, text, regexp_replace(trim(lower(text)), '\\.+$', '') AS key FROM events JOIN ("""
+       + f"SELECT pos, text FROM ({STATEMENTS_SQL})" + """) ON pos = event_id),
+    f AS (SELECT doc_id, key, min(event_id) AS place, min_by(text, event_id) AS text FROM s GROUP BY doc_id, key)
+    SELECT doc_id, 's' || row_number() OVER (PARTITION BY doc_id ORDER BY place) AS stmt_id, place AS chunk_ix, text FROM f""")
+def stream_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as documents, events as their chunks, streamed in three batches in order of events."""
+    at = f"{shared(spark)}/stream-{uuid.uuid4().hex}"
+    said = corpora.phrases(spark, sf_dir).select(F.col("doc_id").cast("string").alias("doc_id"), F.col("pos").alias("chunk_ix"), F.to_json(F.array("text")).alias("raw"))
+    for k, part in enumerate(("chunk_ix < 3000", "chunk_ix >= 3000 AND chunk_ix < 3001", "chunk_ix >= 3001")):
+        said.where(part).write.parquet(f"{at}/in/batch={k}")
+        chunks = spark.readStream.schema("doc_id string, chunk_ix long, raw string").parquet(f"{at}/in/*")
+        streaming.stream_statements(chunks, f"{at}/out", f"{at}/checkpoint").awaitTermination()
+    return spark.read.schema(streaming.OUT).parquet(f"{at}/out").select("doc_id", "stmt_id", "chunk_ix", "text")

@@ -13,12 +13,12 @@ WRAPPERS = ("statements", "items", "result", "data", "extractions")
 TYPES = ("axiom", "derived_claim", "hypothetical", "rhetorical", "attributed", "non_propositional", "bridge")
 
 
-def statements(raw: DataFrame) -> DataFrame:
+def statements(raw: DataFrame, numbered: bool = True) -> DataFrame:
     """Statements of (doc_id, raw), the extractor's text: doc_id, stmt_id, pos, type, text, original_text.
 
     Takes a list, a list under one of WRAPPERS or a single object, inside a code fence or other words. Strings become axioms,
     nulls and empty statements go, unknown types become axiom, missing ids are s1, s2, ... by place among items kept. Text
-    without JSON gives no rows.
+    without JSON gives no rows. Without numbered, as streams need it, missing ids are null.
     """
     bare = unfenced(F.col("raw"))
     doc = raw.select("doc_id", F.coalesce(F.try_parse_json(bare), F.try_parse_json(balanced(bare))).alias("v"))
@@ -29,7 +29,7 @@ def statements(raw: DataFrame) -> DataFrame:
     is_text = F.schema_of_variant("item") == "STRING"
     plain = F.when(is_text, F.trim(F.try_variant_get("item", "$", "string")))
     rows = rows.where(F.schema_of_variant("item").startswith("OBJECT") | (plain != ""))
-    rows = rows.withColumn("auto", F.row_number().over(W.partitionBy("doc_id").orderBy("pos")))
+    rows = rows.withColumn("auto", F.row_number().over(W.partitionBy("doc_id").orderBy("pos")) if numbered else F.lit(None))
     text, original = F.coalesce(plain, get("decontextualized"), get("original_text"), F.lit("")), F.coalesce(plain, get("original_text"), get("decontextualized"), F.lit(""))
     kind = F.when(get("type").isin(*TYPES), get("type")).otherwise("axiom")
     out = rows.select("doc_id", F.coalesce(get("id"), F.concat(F.lit("s"), F.col("auto").cast("string"))).alias("stmt_id"), "pos", kind.alias("type"), text.alias("text"), original.alias("original_text"))
