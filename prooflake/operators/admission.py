@@ -99,11 +99,17 @@ safe = lambda c: F.pandas_udf(_safe, T.BooleanType())(c)
 same = lambda a, b: F.pandas_udf(_same, T.BooleanType())(a, b)
 
 
+def option(statements: DataFrame, name: str, default: bool) -> Column:
+    """An option of a statement: the column of that name, where there is one and it isn't null, else the default."""
+    return F.coalesce(F.col(name), F.lit(default)) if name in statements.columns else F.lit(default)
+
+
 def guarded(statements: DataFrame, guard_deontic: bool = False) -> DataFrame:
     """Adds guard: why a statement is set aside before any candidate is looked at (type, hedged, norm), else null."""
+    strict = option(statements, "guard_deontic", guard_deontic)
     texts = [F.col(c) for c in ("text", "original") if c in statements.columns]
     guard = F.when(F.col("type").isin(*EXCLUDED), "type").when(hedge_cue(*texts).isNotNull(), "hedged")
-    return statements.withColumn("guard", guard.when(deontic_cue(*texts).isNotNull(), "norm") if guard_deontic else guard)
+    return statements.withColumn("guard", guard.when(strict & deontic_cue(*texts).isNotNull(), "norm"))
 
 
 def gate(statements: DataFrame, guard_deontic: bool = False, allow_relations: bool = False) -> DataFrame:
@@ -113,14 +119,15 @@ def gate(statements: DataFrame, guard_deontic: bool = False, allow_relations: bo
     rule and other are candidate formulas, null where there is none; what doesn't parse is as good as none. With
     allow_relations, candidates beyond the decidable fragment go and the one of greater arity wins. Ambiguous statements have
     no fol. A predicate of an earlier statement of the document counts as mentioned. Equivalence left open counts as
-    divergence.
+    divergence. Columns guard_deontic and allow_relations, where there are any, hold for their rows instead of the arguments.
     """
+    wide = option(statements, "allow_relations", allow_relations)
     s = statements.withColumn("rule", valid(F.col("rule"))).withColumn("other", valid(F.col("other")))
     s = guarded(s, guard_deontic)
     s = s.withColumn("none", F.col("rule").isNull() & F.col("other").isNull())
-    if allow_relations:
+    if allow_relations or "allow_relations" in statements.columns:
         for c in ("rule", "other"):
-            s = s.withColumn(c, F.when((max_arity(F.col(c)) < 2) | safe(F.col(c)), F.col(c)))
+            s = s.withColumn(c, F.when(~wide | (max_arity(F.col(c)) < 2) | safe(F.col(c)), F.col(c)))
     names = F.array_union(*[F.coalesce(predicates(F.col(c)), F.array().cast("array<string>")) for c in ("rule", "other")])
     used = s.where("guard IS NULL").select("doc_id", "pos", F.explode(names).alias("pred"))
     earlier = used.withColumn("known", F.min("pos").over(W.partitionBy("doc_id", "pred")) < F.col("pos")).where("known")
@@ -131,8 +138,7 @@ def gate(statements: DataFrame, guard_deontic: bool = False, allow_relations: bo
     two, one = rule.isNotNull() & other.isNotNull(), F.coalesce(rule, other)
     more = max_arity(rule) - max_arity(other)
     case = F.when(F.col("guard").isNotNull(), F.col("guard")).when(F.col("none"), "no formula").when(one.isNull(), "relational role")
-    if allow_relations:
-        case = case.when(two & (more != 0), "greater arity")
+    case = case.when(wide & two & (more != 0), "greater arity")
     case = case.when(two & F.col("same"), "agreed").when(two & (a != b), "one faithful").when(two & a & modifier_only(rule, other), "modifier only")
     case = case.when(two & a, "ambiguous").when(two, "none faithful").when(a, "rule faithful").when(b, "other faithful").otherwise("not faithful")
     s = s.withColumn("reason", case)

@@ -74,10 +74,11 @@ def run(statements: DataFrame, bridges: DataFrame | None = None, guard_deontic:
     fol, gloss): doc_id and stmt_id (strings), pos, type, text, status, confidence, reason, shape, fol, first (the earlier
     statement of the same formula, else null), verdict, support, conflict, note, cluster, consistent.
 
-    other is a translator's formula, null where there is none. stmt_id is unique within a document. Duplicates take no part in
+    Columns guard_deontic and allow_relations of statements hold for their rows instead of the arguments, so that documents with
+    options of their own are one plan. other is a translator's formula, null where there is none. stmt_id is unique within a document. Duplicates take no part in
     verdicts. A bridge that does not parse is quarantined. No statements give no rows."""
     ids = [F.col(c).cast("string").alias(c) for c in ("doc_id", "stmt_id")]
-    extra = [c for c in ("original",) if c in statements.columns]
+    extra = [c for c in ("original", "guard_deontic", "allow_relations") if c in statements.columns]
     s = statements.select(*ids, F.col("pos").cast("long").alias("pos"), "type", "text", "other", *extra)
     store = admission.gate(candidates(s, guard_deontic), guard_deontic, allow_relations)
     if bridges is not None:

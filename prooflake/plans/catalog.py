@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from ..functions import cues, morph
 from ..functions.numbers import rounded_sql
-from ..operators import relational, segment, translate, verdict, vocab
+from ..operators import graphs, relational, segment, translate, verdict, vocab
 from ..sources import corpora
 from ..sources.corpora import REQUIRES_SQL, STATEMENTS_SQL, table
 
@@ -274,7 +274,7 @@ def closure_requires(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE e AS ({REQUIRES_SQL}), r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src) SELECT src AS node FROM r WHERE src = dst")
 def irreflexive_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relational.closure(corpora.requires(spark, sf_dir)).where("src = dst").select(F.col("src").alias("node"))
+    return graphs.cycle_components(corpora.requires(spark, sf_dir)).select("node")
 
 
 _CONTAINMENT = """SELECT 'c' || c_custkey::VARCHAR AS src, 'n' || c_nationkey::VARCHAR AS dst FROM customer UNION ALL SELECT 's' || s_suppkey::VARCHAR, 'n' || s_nationkey::VARCHAR FROM supplier

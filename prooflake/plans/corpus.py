@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import span
-from ..operators import corpus, relational, theory
-from ..operators.runtime import shared
+from ..operators import admission, compare, corpus, graphs, relational, theory, translate
+from ..operators.runtime import cut, shared
 from ..sources import corpora
-from ..sources.corpora import STATEMENTS_SQL, table
+from ..sources.corpora import REQUIRES_SQL, STATEMENTS_SQL, table
 from ..streaming import statements as streaming
-from .catalog import _IN, _TOKENS, query
+from .catalog import _FOL, _IN, _TOKENS, query
 
 
 def _talks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,3 +94,44 @@ def stream_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
         chunks = spark.readStream.schema("doc_id string, chunk_ix long, raw string").parquet(f"{at}/in/*")
         streaming.stream_statements(chunks, f"{at}/out", f"{at}/checkpoint").awaitTermination()
     return spark.read.schema(streaming.OUT).parquet(f"{at}/out").select("doc_id", "stmt_id", "chunk_ix", "text")
+
+
+@query(f"""WITH RECURSIVE e AS ({REQUIRES_SQL}), r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src)
+    SELECT a.src AS node, min(a.dst) AS component FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src""")
+def cycle_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graphs.cycle_components(corpora.requires(spark, sf_dir))
+
+
+_MUST = "CASE WHEN event_id % 14 = 4 THEN 'forall x. (MustPay(x) -> Pay(x))' END"
+
+
+@query(f"""WITH s AS (SELECT user_id AS doc_id, event_id % 14 = 4 AS norm, event_id % 14 NOT IN (3, 4) AND {_FOL} IS NOT NULL AS plain FROM events)
+    SELECT doc_id, avg((plain OR norm)::INT) AS accepted_before, avg(plain::INT) AS accepted_after, count(*) FILTER (norm) AS changed, 0::BIGINT AS only_before, 0::BIGINT AS only_after FROM s GROUP BY doc_id""")
+def guard_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gate without and with its guard against norms, both in one plan by a column, statement by statement."""
+    said = corpora.phrases(spark, sf_dir).withColumn("event_id", F.col("pos"))
+    both = said.select(F.explode(F.array(F.lit(False), F.lit(True))).alias("guard_deontic"), "doc_id", "pos", "text", F.expr(_MUST).alias("other"))
+    both = both.select("guard_deontic", F.concat(F.col("doc_id").cast("string"), F.lit(" "), F.col("guard_deontic").cast("string")).alias("doc_id"), F.col("pos").alias("stmt_id"), "pos", F.lit("axiom").alias("type"), "text", translate.formula(F.col("text")).alias("rule"), "other")
+    g = cut(admission.gate(cut(both)).select(F.split("doc_id", " ").alias("d"), "stmt_id", "status", F.lit(None).cast("string").alias("verdict")))
+    side = lambda flag: g.where(F.get("d", F.lit(1)) == flag).select(F.get("d", F.lit(0)).cast("long").alias("doc_id"), "stmt_id", "status", "verdict")
+    return compare.changes(side("false"), side("true"))
+
+
+_ITEMS = """SELECT o_orderkey AS doc_id, o_orderkey % 5 + 1 AS hops, concat('Item', o_orderkey, ' is new.') AS text, concat('Item', o_orderkey, ' is sold.') AS conclusion,
+    CASE o_orderstatus WHEN 'F' THEN 'True' WHEN 'O' THEN 'Unknown' ELSE 'False' END AS label FROM {orders}"""
+
+
+@query(f"""WITH c AS (SELECT doc_id, hops, CASE label WHEN 'True' THEN 1 ELSE 0 END AS expected, concat(text, ' ', replace(conclusion, ' is ', ' is not ')) AS text FROM ({_ITEMS.format(orders='orders')}) WHERE label <> 'False'),
+    r AS (SELECT *, row_number() OVER (PARTITION BY hops, expected ORDER BY md5(concat('7 ', doc_id))) AS nth FROM c) SELECT doc_id, hops, expected, text FROM r WHERE nth <= 40""")
+def balanced_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.sql(_ITEMS, orders=table(spark, sf_dir, "orders"))
+    return compare.balanced(compare.consistency(items), 40, "hops", "expected", key=F.md5(F.concat(F.lit("7 "), F.col("doc_id").cast("string")).cast("binary")))
+
+
+@query("""WITH m AS (SELECT DISTINCT o_orderpriority AS system, o_orderstatus AS dataset, o_orderkey AS doc_id FROM orders)
+    SELECT system, dataset, count(*) AS absent FROM m WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = doc_id AND l_returnflag = 'R') GROUP BY ALL""")
+def missing_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as the manifest's runs; a run took place where a line of the order was returned."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("system"), F.col("o_orderstatus").alias("dataset"), F.col("o_orderkey").alias("doc_id"))
+    ran = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("doc_id")).distinct()
+    return compare.missing(o, o.join(ran, "doc_id"), "system", "dataset", "doc_id").groupBy("system", "dataset").agg(F.count("*").alias("absent"))
