@@ -36,6 +36,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def released() -> None:
+    """Gives memory that this Python worker no longer uses back to the system; workers live on from task to task, and what
+    one stage needed at most would count beside the next stage's."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def batches(rows: Iterator, max_bytes: int = 8 << 20, text: int = 1) -> Iterator[list[list]]:
     """Arrow record batches as lists of columns, split so that the texts of one part stay near max_bytes.
 

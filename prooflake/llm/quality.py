@@ -20,9 +20,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, cut
+from .common import batches, cut, released
 
 THRESHOLD = 0.3
+#: Rows whose texts keep_good holds beside their batch.
+ROWS = 512
 #: Weight of the pooled covariance, and of the identity times the mean variance.
 POOL, RIDGE = 0.05, 0.02
 #: Features are whole multiples of 1/UNIT, so that sums of moments don't depend on their order.
@@ -154,16 +156,19 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, l
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, label_col: str = "quality") -> DataFrame:
-    """docs without the rows that the classifier rejects. Texts are measured again where they are, rather than moved."""
+    """docs without the rows that the classifier rejects. Texts are measured again where they are, rather than moved. Empty and
+    null texts are judged like any other, repeated rows alike; without labels all are kept; an empty table gives no rows."""
     model = train(cut(features(docs)), labels, label_col)
     at = docs.columns.index("text")
 
     def run(rows: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for b in rows:
-            if b.num_rows:
+        for whole in rows:
+            for k in range(0, whole.num_rows, ROWS):
+                b = whole.slice(k, ROWS)
                 x = np.array([measure(t) for t in b.column(at).cast(pa.binary()).to_pylist()], float)
                 yield b.filter(pa.array(model.score(x) >= threshold))
+        released()
 
     return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(run, docs.withColumn("text", F.col("text").cast("string")).schema)
