@@ -14,8 +14,13 @@ from .common import ascii_lower, connected_components, cut
 
 #: (verdict, host, path)
 Rule = tuple[str, str, str]
-_LINK = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
-_META = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
+#: An attribute's name follows white space, a quote or a slash, so that data-rel isn't rel; rel is a list of words.
+_LINK = (
+    r"(?is)<link\b(?=[^>]*[\s\"'/]rel\s*=\s*(?:\"(?:[^\">]*\s)?canonical(?:\s[^\">]*)?\"|'(?:[^'>]*\s)?canonical(?:\s[^'>]*)?'|canonical(?=[\s/>])))[^>]*>"
+)
+_META = r"(?is)<meta\b(?=[^>]*[\s\"'/]http-equiv\s*=\s*[\"']?refresh\b)[^>]*>"
+#: What isn't markup of the page itself; one that doesn't end goes on to the end of the page.
+_ASIDE = r"(?is)<!--.*?(?:-->|\z)|<(script|style|template)\b.*?(?:</\1\s*>|\z)"
 
 
 def _after_scheme(url: Column) -> Column:
@@ -68,11 +73,12 @@ def resolved(target: Column, page: Column) -> Column:
 
 
 def links(pages: DataFrame) -> DataFrame:
-    """(src, dst) urls of canonical links and refresh redirects in html."""
+    """(src, dst) urls of canonical links and refresh redirects in html, outside comments, scripts, styles and templates."""
     html = F.col("html").cast("string")
-    href = lambda tag: F.regexp_extract(tag, r"(?is)\bhref\s*=\s*[\"']?([^\"'>\s]*)", 1)
+    href = lambda tag: F.regexp_extract(tag, r"(?is)[\s\"'/]href\s*=\s*[\"']?([^\"'>\s]*)", 1)
     to = lambda tag: F.regexp_extract(tag, r"(?is)\burl\s*=\s*[\"']?([^\"'>\s]*)", 1)
-    tags = F.concat(F.transform(F.regexp_extract_all(html, F.lit(_LINK), F.lit(0)), href), F.transform(F.regexp_extract_all(html, F.lit(_META), F.lit(0)), to))
+    own = F.regexp_replace(html, _ASIDE, " ")
+    tags = F.concat(F.transform(F.regexp_extract_all(own, F.lit(_LINK), F.lit(0)), href), F.transform(F.regexp_extract_all(own, F.lit(_META), F.lit(0)), to))
     some = pages.where(F.rlike(html, F.lit(r"(?i)canonical|http-equiv")))
     return some.select(F.col("url").cast("string").alias("src"), F.explode(tags).alias("to")).select("src", resolved(F.col("to"), F.col("src")).alias("dst")).where("dst is not null")
 
