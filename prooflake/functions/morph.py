@@ -14,6 +14,7 @@ SUFFIXES = [
     ("ism", "", 5), ("ist", "", 5), ("ors", "", 5), ("ers", "", 5), ("or", "", 5), ("er", "", 5), ("ions", "", 6), ("ion", "", 6), ("ally", "al", 6),
     ("ical", "ic", 6), ("ies", "y", 5), ("ses", "s", 5), ("es", "", 5), ("s", "", 4),
 ]
+# Nouns that add nothing to a predicate, number words, and negative prefixes in the order they are tried.
 LIGHT_HEADS = ("number", "creature", "thing", "object", "entity", "being", "individual")
 NUMBER_WORDS = {"zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 NEGATIVE_PREFIXES = ("non", "un", "im", "ir", "dis", "in")

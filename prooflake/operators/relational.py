@@ -17,7 +17,7 @@ from .translate import formula
 NEGATORS = ("not", "no", "never", "cannot", "nothing", "none")
 STOPS = ("a", "an", "the", "is", "are", "was", "were", "be", "of", "who", "that", "their", "own", "with", "some", "every", "all", "each", "it", "its", "to", "and", "or", "in", "on", "for", "this", "these", "those")
 EXCLUDED = {"non_propositional": "not truth-apt", "rhetorical": "rhetorical question", "attributed": "attributed to another"}
-RULE_ONLY, PAIR, RELAXED = 0.8, 0.95, 0.75
+RULE_ONLY = 0.8
 
 
 def gate(statements: DataFrame, guard_deontic: bool = False) -> DataFrame:

@@ -18,6 +18,7 @@ RELATIONS = {
     "within": ("containment", False), "inside": ("containment", False), "contain": ("containment", True),
 }
 PARTICLES = ("of", "for", "to", "on", "in", "at", "by", "with", "over", "upon", "from", "is", "are", "was", "were", "a", "an", "the")
+# Fixed value: a relation that nothing of a kind has to itself.
 GUARD = r"^forall\s+(\w+)\s*\.\s*\(\s*(\w+)\s*\(\s*\1\s*\)\s*->\s*(not\s+\w+\s*\(\s*\1\s*,\s*\1\s*\))\s*\)$"
 
 

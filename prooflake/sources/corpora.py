@@ -122,7 +122,3 @@ def requires(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REQUIRES_SQL = "SELECT p_partkey AS src, p_partkey // 2 AS dst FROM part WHERE p_partkey > 0 UNION ALL SELECT p_partkey // 8, p_partkey FROM part WHERE p_partkey > 0 AND p_partkey % 97 = 0"
-
-
-def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "n") -> DataFrame:
-    return df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
