@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut
+from .common import connected_components, cut, released
 
 SEED = 10
 PERIOD = 2048
@@ -38,6 +38,8 @@ RANGE = 32 << 20
 PERIOD_AT = 256
 BANDS = 16
 LIKE = 0.8
+#: Rows whose texts a task holds beside their batch.
+ROWS = 512
 
 
 @cache
@@ -199,7 +201,7 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         import zstandard
 
         c = zstandard.ZstdCompressor(level=3)
-        for b in batch:
+        for b in (whole.slice(k, ROWS) for whole in batch for k in range(0, whole.num_rows, ROWS)):
             ids, texts = b.column(0).to_pylist(), b.column(2).cast(pa.binary()).to_pylist()
             home = np.searchsorted(cuts, np.array(ids, np.int64), side="right").tolist()
             z = [c.compress(t) for t in texts]
@@ -209,6 +211,7 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays(
                 [pa.array([h for h, _, _ in ix], pa.int32()), pa.array([g for _, g, _ in ix]), b.column(0).take(pa.array(pick, pa.int64())), b.column(1).take(pa.array(pick, pa.int64())), pa.array([z[i] for i in pick], pa.binary())], ["bucket", "guest", "id", "tie", "z"]
             )
+        released()
 
     def run(batch: Iterator) -> Iterator:
         import pyarrow as pa
@@ -218,7 +221,7 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         start = _walk(seed)[0]
         held = None
         out: list[tuple] = []
-        for b in batch:
+        for b in (whole.slice(k, ROWS) for whole in batch for k in range(0, whole.num_rows, ROWS)):
             for bucket, guest, id_, z in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(4).to_pylist(), strict=True):
                 if guest and (held is None or held[0] != bucket):
                     continue  # a further row of the same id as the guest
@@ -234,6 +237,7 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     out = []
         if out:
             yield _arrow(out)
+        released()
 
     def _row(id_: int, points: np.ndarray, steps: np.ndarray, own: bytes, after: np.ndarray, after_print: bytes, seed: int) -> tuple:
         n = len(points)
