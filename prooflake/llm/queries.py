@@ -13,7 +13,7 @@ BYTE_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 RULES = [
     ("block", "com", "/en/"),
     ("allow", "example.com", "/en/7"),
-    ("block", "net", "/de/"),
+    ("allow", "net", "/de/"),
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 ]
