@@ -39,7 +39,7 @@ def plural_strip(word: Column) -> Column:
     n = F.length(word)
     short = lambda k: F.substr(word, F.lit(1), n - k)
     return (
-        F.when((n > 4) & F.rlike(word, F.lit("(ses|xes|zes|ches|shes)$")), short(2))
+        F.when((n > 4) & word.endswith("es") & F.rlike(word, F.lit("(ses|xes|zes|ches|shes)$")), short(2))
         .when((n > 4) & word.endswith("ies"), F.concat(short(3), F.lit("y")))
         .when((n > 3) & word.endswith("s") & ~word.endswith("ss"), short(1))
         .otherwise(word)
