@@ -21,13 +21,15 @@ NEGATIVE_PREFIXES = ("non", "un", "im", "ir", "dis", "in")
 
 
 def strip_once(word: Column) -> Column:
-    """One pass of the lemmatizer: an irregular form, else the first suffix rule that fits."""
+    """One pass of the lemmatizer: an irregular form, else the first suffix rule that fits. The rules are gone through only
+    for words that end in one of their suffixes."""
     rules = F.array(*[F.struct(F.lit(x).alias("suffix"), F.lit(new).alias("new"), F.lit(max(least, len(x) + 3 - len(new))).alias("least")) for x, new, least in SUFFIXES])
     fits = F.slice(F.filter(rules, lambda r: (F.length(word) >= r["least"]) & F.endswith(word, r["suffix"])), 1, 1)
     stems = F.transform(fits, lambda r: F.concat(F.left(word, F.length(word) - F.length(r["suffix"])), r["new"]))
     repaired = F.transform(stems, lambda x: F.when((F.length(x) >= 4) & x.endswith("i"), F.concat(F.left(x, F.length(x) - 1), F.lit("y"))).otherwise(x))
     irregular = F.element_at(F.create_map(*[F.lit(x) for kv in IRREGULAR.items() for x in kv]), word)
-    return F.coalesce(irregular, F.get(repaired, F.lit(0)), word)
+    ends = F.rlike(word, F.lit(f"(?:{'|'.join(x for x, _, _ in SUFFIXES)})\\z"))
+    return F.when(ends, F.coalesce(irregular, F.get(repaired, F.lit(0)), word)).otherwise(F.coalesce(irregular, word))
 
 
 def words_of(name: Column) -> Column:

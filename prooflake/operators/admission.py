@@ -3,6 +3,8 @@ Only parsing, the scope test and equivalence, which need the parser and the solv
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,11 +62,17 @@ def _stripped(words: Column, prefix: str) -> Column:
     return F.transform(have, lambda w: F.substr(w, F.lit(len(prefix) + 1)))
 
 
-def fidelity(formula: Column, text: Column, known: Column) -> Column:
+def stems(text: Column) -> Column:
+    """Words of a text, their lemmas, and both without negative prefixes."""
+    said = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+    both = F.array_distinct(F.concat(said, F.transform(said, lemma)))
+    return let(both, lambda ws: F.concat(ws, *[_stripped(ws, p) for p in NEGATIVE_PREFIXES]))
+
+
+def fidelity(formula: Column, text: Column, known: Column, said: Column | None = None) -> Column:
     """struct(coverage, passed): which share of a formula's content words its text mentions. Predicates in known count as
     mentioned; a constant like a code counts once. One predicate word that is mentioned lowers the threshold. A formula without
-    content words is covered; a null formula gives null."""
-    said = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+    content words is covered; a null formula gives null. said: the text's stems, where they are there already."""
     run = F.regexp_replace(F.lower(text), "[^a-z0-9]", "")
 
     def judge(ls: Column) -> Column:
@@ -78,8 +86,7 @@ def fidelity(formula: Column, text: Column, known: Column) -> Column:
         score = lambda preds: let(let(of_all(preds), share), lambda x: F.struct(rounded(x, 3).alias("coverage"), (x >= F.when(lone(preds), RELAXED).otherwise(THRESHOLD)).alias("passed")))
         return let(found, score)
 
-    stems = let(F.array_distinct(F.concat(said, F.transform(said, lemma))), lambda ws: F.concat(ws, *[_stripped(ws, p) for p in NEGATIVE_PREFIXES]))
-    return F.when(formula.isNotNull(), let(stems, judge))
+    return F.when(formula.isNotNull(), let(stems(text) if said is None else said, judge))
 
 
 def _valid(formula: pd.Series) -> pd.Series:
@@ -90,8 +97,13 @@ def _safe(formula: pd.Series) -> pd.Series:
     return formula.map(lambda f: bool(f) and logic.epr_safe(f))
 
 
+@lru_cache(maxsize=16384)
+def _equivalent(a: str, b: str) -> bool:
+    return sat.equivalent(a, b) == "equivalent"
+
+
 def _same(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([bool(x) and bool(y) and (x == y or sat.equivalent(x, y) == "equivalent") for x, y in zip(a, b)], dtype=bool)
+    return pd.Series([bool(x) and bool(y) and (x == y or _equivalent(x, y)) for x, y in zip(a, b)], dtype=bool)
 
 
 valid = lambda c: F.pandas_udf(_valid, T.StringType())(c)
@@ -133,7 +145,9 @@ def gate(statements: DataFrame, guard_deontic: bool = False, allow_relations: bo
     earlier = used.withColumn("known", F.min("pos").over(W.partitionBy("doc_id", "pred")) < F.col("pos")).where("known")
     s = s.join(earlier.groupBy("doc_id", "pos").agg(F.collect_set("pred").alias("known")), ["doc_id", "pos"], "left")
     known = F.coalesce("known", F.array().cast("array<string>"))
-    s = s.withColumn("same", same("rule", "other")).withColumn("a", fidelity(F.col("rule"), F.col("text"), known)).withColumn("b", fidelity(F.col("other"), F.col("text"), known))
+    s = s.withColumn("same", same("rule", "other")).withColumn("said", F.when(F.col("guard").isNull() & ~F.col("none"), stems(F.col("text"))))
+    judged = lambda c: fidelity(F.when(F.col("guard").isNull(), F.col(c)), F.col("text"), known, F.col("said"))
+    s = s.withColumn("a", judged("rule")).withColumn("b", judged("other"))
     rule, other, a, b = F.col("rule"), F.col("other"), F.coalesce("a.passed", F.lit(False)), F.coalesce("b.passed", F.lit(False))
     two, one = rule.isNotNull() & other.isNotNull(), F.coalesce(rule, other)
     more = max_arity(rule) - max_arity(other)

@@ -38,3 +38,20 @@ def test_known_predicates_and_relations(spark):
 def test_constants(spark):
     df = spark.createDataFrame([("forall x, y. (R(x, b) and not S(c_1, y))",), ("P(a)",), ("",)], "f string")
     assert [r[0] for r in df.select(admission.constants(F.col("f"))).collect()] == [["b", "c_1"], ["a"], []]
+
+
+def test_equivalence_of_a_pair_is_asked_once(monkeypatch):
+    import pandas as pd
+
+    calls, real = [], admission.sat.equivalent
+    monkeypatch.setattr(admission.sat, "equivalent", lambda *a: calls.append(a) or real(*a))
+    a, b, c = "forall x. (Crow(x) -> Bird(x))", "forall y. (not Bird(y) -> not Crow(y))", "Crow(tom)"
+    got = admission._same(pd.Series([a, a, a, a, None]), pd.Series([b, b, c, a, a]))
+    assert got.tolist() == [True, True, False, True, False] and len(calls) == 2
+
+
+def test_gate_over_guarded_rows(spark):
+    rows = [("d", "1", 1, "axiom", "Cats typically purr.", "Purring(cats)", None), ("d", "2", 2, "axiom", "Tom is a cat.", None, "Cat(tom)"), ("d", "3", 3, "axiom", None, None, None)]
+    s = spark.createDataFrame(rows, "doc_id string, stmt_id string, pos long, type string, text string, rule string, other string")
+    got = {r.stmt_id: (r.reason, r.fol) for r in admission.gate(s).collect()}
+    assert got == {"1": ("hedged", None), "2": ("other faithful", "Cat(tom)"), "3": ("no formula", None)}
