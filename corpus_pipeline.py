@@ -21,7 +21,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, likeness 0.8 or more."""
+    """One document of each group of near copies: five-word shingles, likeness 0.8 or more, candidates by SimHash and
+    vantage-point trees and, beyond their radius, by MinHash bands."""
     return near_copies.keep_one(docs)
 
 

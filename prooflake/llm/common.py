@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +50,17 @@ def released() -> None:
         libc.malloc_trim(0)
 
 
+def frugal(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run with released() before its first and after its last batch."""
+
+    def task(rows: Iterator) -> Iterator:
+        released()
+        yield from run(rows)
+        released()
+
+    return task
+
+
 def batches(rows: Iterator, max_bytes: int = 8 << 20, text: int = 1) -> Iterator[list[list]]:
     """Arrow record batches as lists of columns, split so that the texts of one part stay near max_bytes.
 

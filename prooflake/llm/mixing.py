@@ -24,13 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import cut
+from .common import cut, frugal
 
 PATTERN = (5, 2, 1)
 CAP = 3
 SEED = 3
 #: Words of a block, and slots of an output shard.
 BLOCK, SHARD = 128, 1 << 16
+#: Texts that a task holds at once.
+PASSES = 512
 #: Sources up to which their table is broadcast; a longer one is joined by a shuffle.
 SOURCES = 100_000
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -93,7 +95,7 @@ def sized(docs: DataFrame, with_text: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, [*rest, "size", "z"][: len(cols)])
 
     text = F.col("text").cast("string")
-    out = docs.select(text.alias("text"), *rest).mapInArrow(run, f"{shape}, size long" + ", z binary" * with_text)
+    out = docs.select(text.alias("text"), *rest).mapInArrow(frugal(run), f"{shape}, size long" + ", z binary" * with_text)
     return cut(out.withColumn("uid", F.monotonically_increasing_id()))
 
 
@@ -232,7 +234,7 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
         import zstandard
 
         d = zstandard.ZstdDecompressor()
-        for b in rows:
+        for b in (whole.slice(k, PASSES) for whole in rows for k in range(0, whole.num_rows, PASSES)):
             texts, pick = [], []
             for i, (z, size, runs_) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
                 whole = d.decompress(z)
@@ -246,7 +248,7 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
                 cols["n_chars"] = pa.array(map(len, texts), pa.int64()).cast(cols["n_chars"].type)
             yield pa.RecordBatch.from_arrays([cols[c] for c in names], names)
 
-    return base.join(runs, "uid").select("z", "size", "runs", *[f"c{i}" for i in range(len(rest))]).mapInArrow(cut_out, ", ".join(f"`{c}` {kinds[c]}" for c in names))
+    return base.join(runs, "uid").select("z", "size", "runs", *[f"c{i}" for i in range(len(rest))]).mapInArrow(frugal(cut_out), ", ".join(f"`{c}` {kinds[c]}" for c in names))
 
 
 def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

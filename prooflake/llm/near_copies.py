@@ -1,9 +1,13 @@
-"""Near copies by the Jaccard likeness of word shingles, found with MinHash bands and verified on the shingles.
+"""Near copies by the Jaccard likeness of word shingles, found with SimHash and vantage-point trees and with MinHash bands, and
+verified on the shingles.
 
 components() links documents whose sets of five-word shingles have a likeness of `threshold` or more and gives each its
 connected component; keep_one() leaves one document of each.
 
-How links are found. Equal sets are one node. BANDS bands of ROWS least hashes make candidates: at a likeness of 0.8 a pair
+How links are found. Equal sets are one node, with a 64-bit SimHash of its shingles. Fingerprints within simhash.RADIUS bits
+are met by op4's routing tree of vantage points and shard trees; a forest of them, and nodes of one fingerprint, are the first
+candidates. At a likeness of 0.8 fingerprints differ by about 10 bits, where such trees prune next to nothing, so that what lies
+farther apart is found by bands: BANDS bands of ROWS least hashes make candidates, and at a likeness of 0.8 a pair
 shares no band with a chance of (1 - 0.8**4)**32, 5e-8, and less above. First the least node of each bucket is held against
 the others, which joins groups of copies at a row a member. Buckets whose members are then of several components are gone
 through pair by pair, each pair in its first common band only. A bucket is dealt to blocks of about BLOCK shingles by a hash
@@ -20,7 +24,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, connected_components, cut, hot_join, released
+from . import simhash
+from .common import batches, connected_components, cut, hot_join, released, signed
 
 SEED = 42
 WORDS = 5
@@ -65,9 +70,17 @@ def bands(own: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint64(29))) * np.uint64(0x9FB21C651E98DF25)
 
 
+def fingerprint(own: np.ndarray) -> int:
+    """Unsigned 64-bit SimHash of a set: a bit is 1 if more than half of its hashes have it; 0 of an empty set."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(own), 1 << 15):
+        ones += np.unpackbits(own[i : i + (1 << 15)].view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(own), bitorder="little").view(np.uint64)[0])
+
+
 def prints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, tie, key, bands, size, z) for each row of docs: a hash of its text, a digest of its set, the band keys, the number of shingles, the
-    compressed text."""
+    """(doc_id, tie, key, bands, fp, size, z) for each row of docs: a hash of its text, a digest of its set, the band keys, the
+    fingerprint, the number of shingles, the compressed text."""
 
     def run(rows: Iterator) -> Iterator:
         import pyarrow as pa
@@ -79,19 +92,31 @@ def prints(docs: DataFrame, words: int = WORDS) -> DataFrame:
             sets = [shingles(t, words) for t in texts]
             keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             parts = [bands(s).view(np.int64) if len(s) else [] for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ties, pa.int64()), pa.array(keys, pa.binary()), pa.array(parts, pa.list_(pa.int64())), pa.array(map(len, sets), pa.int64()), pa.array([c.compress(t or b"") for t in texts], pa.binary())], ["doc_id", "tie", "key", "bands", "size", "z"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ties, pa.int64()), pa.array(keys, pa.binary()), pa.array(parts, pa.list_(pa.int64())), pa.array([signed(fingerprint(s)) for s in sets], pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array([c.compress(t or b"") for t in texts], pa.binary())], ["doc_id", "tie", "key", "bands", "fp", "size", "z"])
         released()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _tie(F.col("text"))).mapInArrow(run, "doc_id long, tie long, key binary, bands array<long>, size long, z binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _tie(F.col("text"))).mapInArrow(run, "doc_id long, tie long, key binary, bands array<long>, fp long, size long, z binary")
+
+
+def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """(src, dst) pairs of keys to be verified, src the lesser: a key and the least one of its fingerprint, and the least ones of
+    fingerprints that vantage-point trees link. nodes: (key, fp), a row for each key."""
+    least = cut(nodes.groupBy("fp").agg(F.min("key").alias("least")))
+    same = nodes.join(least, "fp").where("key <> least").select(F.col("least").alias("src"), F.col("key").alias("dst"))
+    met = simhash.fingerprint_links(least.select("fp"), stars=False)
+    met = met.join(least.select(F.col("fp").alias("src"), F.col("least").alias("a")), "src").join(least.select(F.col("fp").alias("dst"), F.col("least").alias("b")), "dst")
+    return same.unionByName(met.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")))
 
 
 def links(rows: DataFrame, threshold: float = LIKE, words: int = WORDS, block: int = BLOCK) -> DataFrame:
     """(node, component) of the keys that links connect. rows: of prints()."""
-    nodes = rows.select("key", "bands").dropDuplicates(["key"])
+    nodes = rows.select("key", "bands", "fp", "size").dropDuplicates(["key"])
+    near = cut(fingerprint_pairs(cut(nodes.where("size > 0").select("key", "fp"))))
     parts = cut(nodes.select("key", F.explode("bands").alias("part")))
     shared = parts.groupBy("part").agg(F.min("key").alias("least"), F.max("key").alias("most"), F.count("*").alias("n")).where("least <> most")
     buckets = cut(parts.join(shared.select("part", "least", "n"), "part"))
-    texts = cut(rows.join(buckets.select("key").distinct(), "key", "left_semi").select("key", "bands", "size", "z").dropDuplicates(["key"]))
+    asked = buckets.select("key").union(near.select("src")).union(near.select("dst")).distinct()
+    texts = cut(rows.join(asked, "key", "left_semi").select("key", "bands", "size", "z").dropDuplicates(["key"]))
 
     def verify(batch: Iterator) -> Iterator:
         import pyarrow as pa
@@ -142,7 +167,7 @@ def links(rows: DataFrame, threshold: float = LIKE, words: int = WORDS, block: i
                     comp[comp == comp[j]] = comp[i]
         return pd.DataFrame({"src": src, "dst": dst})
 
-    pairs = buckets.where("key <> least").select(F.col("least").alias("src"), F.col("key").alias("dst")).distinct()
+    pairs = buckets.where("key <> least").select(F.col("least").alias("src"), F.col("key").alias("dst")).unionByName(near).distinct()
     pairs = pairs.join(texts.select(F.col("key").alias("src"), F.col("z").alias("z1")), "src").join(texts.select(F.col("key").alias("dst"), F.col("z").alias("z2")), "dst")
     first = cut(pairs.select("src", "dst", "z1", "z2").mapInArrow(verify, "src binary, dst binary"))
     found = cut(connected_components(first))

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches
+from .common import batches, frugal
 
 RATE, SEED = 0.1, 2
 MARK = "\u2581"
@@ -333,7 +333,7 @@ def encoded(docs: DataFrame, model: str, rate: float = RATE, seed: int = SEED, i
 
         bpe = _bpe(held.value, rate, seed)
         last, turn = None, 0
-        for own, texts in batches(rows, 4 << 20):
+        for own, texts in batches(rows, 1 << 20):
             decoded, places, out = [(t or b"").decode("utf-8", "replace") for t in texts], [], []
             for i, text in zip(own, decoded, strict=True):
                 turn = turn + 1 if (i, text) == last else 0
@@ -349,7 +349,7 @@ def encoded(docs: DataFrame, model: str, rate: float = RATE, seed: int = SEED, i
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_pieces", "ids_sha256", "text_sha256", "lossless", "ids"][: len(arrays)])
 
     shape = "doc_id long, n_pieces long, ids_sha256 string, text_sha256 string, lossless boolean" + ", ids array<int>" * with_ids
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, shape)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(frugal(run), shape)
 
 
 # --- count-only Viterbi --------------------------------------------------------------------------------------------

@@ -118,8 +118,9 @@ def route(tree: list | int, fps: np.ndarray, radius: int) -> tuple[np.ndarray, n
     return np.concatenate([np.full(len(i), s) for s, i, _ in out]), np.concatenate([i for _, i, _ in out]), np.concatenate([h for _, _, h in out])
 
 
-def links(homes: np.ndarray, others: np.ndarray, radius: int, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (a, b) that connect what the pairs within `radius` connect, of homes with homes and with others."""
+def links(homes: np.ndarray, others: np.ndarray, radius: int, leaf: int = LEAF, stars: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (a, b) that connect what the pairs within `radius` connect, of homes with homes and with others: stars around a
+    root, else pairs at most twice the radius apart."""
     left: list[np.ndarray] = []
     right: list[np.ndarray] = []
 
@@ -162,11 +163,11 @@ def links(homes: np.ndarray, others: np.ndarray, radius: int, leaf: int = LEAF)
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     a, b = np.concatenate(left), np.concatenate(right)
     differ = a != b
-    return forest(a[differ], b[differ])
+    return forest(a[differ], b[differ], stars)
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The same components as (node, root) edges, one for each node that is no root."""
+def forest(a: np.ndarray, b: np.ndarray, stars: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """The same components as (node, root) edges, one for each node that is no root, or as many of the given edges."""
     if not len(a):
         return a, b
     nodes, ix = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -180,17 +181,22 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             i = up[i]
         return i
 
-    for i, j in zip((pairs // len(nodes)).tolist(), (pairs % len(nodes)).tolist(), strict=True):
+    kept = []
+    for k, (i, j) in enumerate(zip((pairs // len(nodes)).tolist(), (pairs % len(nodes)).tolist(), strict=True)):
         i, j = root(i), root(j)
         if i != j:
             up[max(i, j)] = min(i, j)
+            kept.append(k)
+    if not stars:
+        return nodes[pairs[kept] // len(nodes)], nodes[pairs[kept] % len(nodes)]
     roots = np.array([root(i) for i in range(len(nodes))])
     moved = roots != np.arange(len(nodes))
     return nodes[moved], nodes[roots[moved]]
 
 
-def fingerprint_links(fps: DataFrame, radius: int = RADIUS, sample: int = SAMPLE, per_shard: int = PER_SHARD) -> DataFrame:
-    """(src, dst) edges that connect what pairs of distinct fingerprints within `radius` connect. fps: column fp."""
+def fingerprint_links(fps: DataFrame, radius: int = RADIUS, sample: int = SAMPLE, per_shard: int = PER_SHARD, stars: bool = True) -> DataFrame:
+    """(src, dst) edges that connect what pairs of distinct fingerprints within `radius` connect, as links() gives them. fps:
+    column fp."""
     n = fps.count()
     width = 64 // (radius + 1)
     bits = min(width, max(0, math.ceil(math.log2(max(1, n / per_shard))) - DEPTH))
@@ -213,7 +219,7 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS, sample: int = SAMPLE
 
         x = pdf["fp"].to_numpy(np.int64).view(np.uint64)
         home = pdf["home"].to_numpy(bool)
-        a, b = links(x[home], x[~home], radius)
+        a, b = links(x[home], x[~home], radius, stars=stars)
         return pd.DataFrame({"src": a.view(np.int64), "dst": b.view(np.int64)})
 
     return fps.select("fp").mapInArrow(send, "cell long, fp long, home boolean").groupBy("cell").applyInPandas(solve, "src long, dst long")

@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, hot_join
+from .common import cut, frugal, hot_join
 
 MIN_LEN = 200
 #: Places searched for a trigger at the head of a string.
@@ -201,7 +201,7 @@ def distinct_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([k.to_bytes(8, "little", signed=True) + x for k, x in zip(b.column(1).to_pylist(), z, strict=True)], pa.binary())], ["k1", "z"])
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    packed = docs.select(*_keys(text), text.alias("text")).mapInArrow(pack, "k1 long, z binary")
+    packed = docs.select(*_keys(text), text.alias("text")).mapInArrow(frugal(pack), "k1 long, z binary")
     one = packed.groupBy("k1").agg(F.collect_set("z").alias("z"))
     return one.select("k1", F.explode("z").alias("z"))
 
@@ -285,9 +285,9 @@ def spans(texts: DataFrame, min_len: int = MIN_LEN, reach: int | None = None, fa
 
     def sent(items: DataFrame) -> DataFrame:
         of = items.groupBy("k1").agg(F.collect_list("t").alias("at"))
-        return texts.join(of, "k1").select("z", "k1", "at").mapInArrow(contexts, CONTEXT)
+        return texts.join(of, "k1").select("z", "k1", "at").mapInArrow(frugal(contexts), CONTEXT)
 
-    found = texts.select("z", "k1").mapInArrow(scan, "f long, k1 long, t int")
+    found = texts.select("z", "k1").mapInArrow(frugal(scan), "f long, k1 long, t int")
     families = cut(found.groupBy("f").agg(F.count("*").alias("n")).where("n > 1").select("f", "n", (F.col("n") > family).alias("large")))
     items = hot_join(found, families, "f").select("k1", "t", "large")
     if families.where("large").isEmpty():
@@ -312,7 +312,7 @@ def spans(texts: DataFrame, min_len: int = MIN_LEN, reach: int | None = None, fa
                 break
             shape = CONTEXT + ", low int, part int"
             rows = cut(marked.where("large").drop("large").mapInArrow(halve, shape))
-    return ready.repartition("f").sortWithinPartitions("f", "c").mapInArrow(resolve, SPAN)
+    return ready.repartition("f").sortWithinPartitions("f", "c").mapInArrow(frugal(resolve), SPAN)
 
 
 CONTEXT = "f long, c binary, lead int, width int, context binary, members binary, n long"
@@ -419,7 +419,7 @@ def _deduped(docs: DataFrame, text_col: str, min_len: int, reach: int | None, fa
             cols = [pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]
             yield pa.RecordBatch.from_arrays(cols, ["k1", "k2", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    cleaned = texts.join(found, "k1", "left").select("z", "k1", "spans").mapInArrow(remove, "k1 long, k2 long, n_removed long, n_spans long, kept_sha256 string, kept string")
+    cleaned = texts.join(found, "k1", "left").select("z", "k1", "spans").mapInArrow(frugal(remove), "k1 long, k2 long, n_removed long, n_spans long, kept_sha256 string, kept string")
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= min_len)
     return rows.join(cleaned.join(copies, ["k1", "k2"]), ["k1", "k2"]).select(
         "n_bytes",

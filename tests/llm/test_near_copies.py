@@ -80,3 +80,17 @@ def test_one_id_of_two_texts(spark):
     text, other = " ".join(f"w{i}" for i in range(50)), " ".join(f"u{i}" for i in range(50))
     docs = spark.createDataFrame([(1, text, "en", "s", 0), (5, text, "en", "s", 0), (5, other, "en", "s", 0), (5, other, "en", "s", 0)], DOCS)
     assert sorted((r.doc_id, r.text) for r in near_copies.keep_one(docs).collect()) == [(1, text), (5, other)]
+
+
+def test_fingerprint_pairs(spark):
+    """Fingerprints against plain Python, and every text that has another within the trees' radius is met by a pair."""
+    texts = [t for t in cases() if t and t.split()]
+    rows = near_copies.prints(spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS)).collect()
+    for r in rows[:40]:
+        hashes = near_copies.shingles(texts[r.doc_id].encode()).tolist()
+        assert r.fp & (1 << 64) - 1 == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    fps = {bytes(r.key): r.fp & (1 << 64) - 1 for r in rows}
+    pairs = near_copies.fingerprint_pairs(spark.createDataFrame([(r.key, r.fp) for r in {bytes(r.key): r for r in rows}.values()], "key binary, fp long")).collect()
+    assert pairs and all(bytes(p.src) < bytes(p.dst) and (fps[bytes(p.src)] ^ fps[bytes(p.dst)]).bit_count() <= 6 for p in pairs)
+    near = {a for a in fps for b in fps if a != b and (fps[a] ^ fps[b]).bit_count() <= 3}
+    assert near <= {bytes(x) for p in pairs for x in p}
