@@ -7,10 +7,11 @@ from functools import reduce
 from operator import or_
 from string import ascii_lowercase, ascii_uppercase
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.morph import plural_strip
+from .runtime import cut
 
 # Words that put a sentence out of the fragment, with what is in each of them, sentence patterns in their
 # order, and words dropped from phrases.
@@ -33,6 +34,9 @@ HINTS = {
 }
 QUANTIFIERS = ("all", "every", "each", "some", "no", "everyone", "someone", "nobody", "everything")
 ARTICLES = ("a", "an", "the")
+#: Words that are no name at the head of a sentence, and forms of sentences that are broadcast at most.
+NO_NAMES = (*QUANTIFIERS, *REFUSING, "whom", "whose", "there")
+FORMS = 50_000
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -103,17 +107,32 @@ def parts(text: Column) -> Column:
 
 def formula(text: Column) -> Column:
     """The formula of a sentence by rules alone; null if it is out of the fragment."""
-
-    def write(p: Column) -> Column:
-        sign = F.when(p["negative"], F.lit("not ")).otherwise(F.lit(""))
-        body = lambda v: F.concat(sign, p["object"], F.lit("("), v, F.lit(")"))
-        return (
-            F.when(p["kind"].isin("all", "no"), F.concat(F.lit("forall x. ("), p["subject"], F.lit("(x) -> "), body(F.lit("x")), F.lit(")")))
-            .when(p["kind"] == "some", F.concat(F.lit("exists x. ("), p["subject"], F.lit("(x) and "), body(F.lit("x")), F.lit(")")))
-            .when(p["kind"].isin("is", "isnot"), body(p["subject"]))
-        )
-
-    return let(parts(text), write)
+    return let(parts(text), written)
+
+
+def written(p: Column) -> Column:
+    """The formula of parts()."""
+    sign = F.when(p["negative"], F.lit("not ")).otherwise(F.lit(""))
+    body = lambda v: F.concat(sign, p["object"], F.lit("("), v, F.lit(")"))
+    return (
+        F.when(p["kind"].isin("all", "no"), F.concat(F.lit("forall x. ("), p["subject"], F.lit("(x) -> "), body(F.lit("x")), F.lit(")")))
+        .when(p["kind"] == "some", F.concat(F.lit("exists x. ("), p["subject"], F.lit("(x) and "), body(F.lit("x")), F.lit(")")))
+        .when(p["kind"].isin("is", "isnot"), body(p["subject"]))
+    )
+
+
+def read(rows: DataFrame) -> DataFrame:
+    """rows (text, ...) with p, the parts() of their texts. A sentence that begins with a name and is or was has the form of any
+    other name's. Each form is read once and broadcast; if there are more than FORMS, rows are read one by one."""
+    head = F.substring_index("text", " ", 1)
+    named = F.rlike("text", F.lit(r"\A[A-Za-z][A-Za-z0-9]* (?:is|was) ")) & ~F.lower(head).isin(*NO_NAMES)
+    own = rows.withColumn("_own", F.when(named, F.lower(head))).withColumn("_form", F.when(named, F.concat(F.lit("q"), F.substr("text", F.length(head) + 1))).otherwise(F.col("text")))
+    forms = cut(own.select("_form").distinct().limit(FORMS + 1))
+    if forms.count() > FORMS:
+        return rows.withColumn("p", parts(F.col("text")))
+    met = own.join(F.broadcast(forms.select("_form", parts(F.col("_form")).alias("_p"))), "_form", "left")
+    mine = F.struct("_p.kind", F.col("_own").alias("subject"), "_p.object", "_p.negative")
+    return met.select(*rows.columns, F.when(F.col("_own").isNotNull() & F.col("_p").isNotNull(), mine).otherwise(F.col("_p")).alias("p"))
 
 
 def ascii_formula(text: Column) -> Column:

@@ -377,10 +377,8 @@ def general_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def theory_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = corpora.register(spark, sf_dir)
-    props = s.select("doc_id", F.col("pos").cast("string").alias("stmt_id"), "pos", F.lit("axiom").alias("type"), translate.formula(F.col("text")).alias("fol"))
-    v = verdict.verified(props)
-    rows = v.select("doc_id", F.col("stmt_id").cast("int").alias("pos"), "stmt_id", F.lit("axiom").alias("type"), "verdict", "support", "conflict")
-    return verdict.reports(rows)
+    props = translate.read(s).select("doc_id", F.col("pos").cast("string").alias("stmt_id"), "pos", F.lit("axiom").alias("type"), translate.written(F.col("p")).alias("fol"))
+    return verdict.theories(props)
 
 
 from . import chains, corpus, formulas  # noqa: E402, F401  register their queries
