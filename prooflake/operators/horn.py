@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..logic import fol
+from . import shapes
 from .runtime import cut
 
 ATOM = "struct<at:int,pred:string,args:array<string>,mask:array<int>>"
@@ -171,6 +172,17 @@ def refutations(literals: DataFrame) -> DataFrame:
         need = cut(need.unionByName(new))
 
 
+def refuted(formulas: DataFrame) -> DataFrame:
+    """refutations(saturate(formulas)) of (doc_id, stmt_id, pos, fol), worked out once for documents that are equal up to the names
+    of constants."""
+    docs = shapes.of_formulas(formulas, "stmt_id")
+    rows = shapes.spread(docs, lambda some: refutations(saturate(formulas.join(some, "doc_id", "left_semi"))))
+    inner = lambda lit: F.split(F.regexp_extract(lit, r"\((.*)\)\z", 1), ", ")
+    new = lambda lit: literal(F.substring_index(lit, "(", 1), F.transform(inner(lit), shapes.renamed))
+    args = F.transform("args", shapes.renamed)
+    return rows.select(F.col("doc_id").cast("string").alias("doc_id"), "neg", "pred", args.alias("args"), literal(F.col("pred"), args).alias("lit"), "round", "stmt_id", F.transform("premises", new).alias("premises"))
+
+
 def proofs(steps: DataFrame) -> DataFrame:
     """(doc_id, text): one line for each literal, premises before what rests on them."""
     said = F.concat(F.when(F.col("neg"), "not ").otherwise(""), "lit", F.lit("  ["), F.coalesce("stmt_id", F.lit("-")), F.when(F.size("premises") > 0, F.concat(F.lit(" from "), F.array_join("premises", "; "))).otherwise(""), F.lit("]"))

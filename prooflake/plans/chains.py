@@ -38,7 +38,7 @@ def horn_saturation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _register_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = corpora.register(spark, sf_dir)
-    return horn.refutations(horn.saturate(s.select("doc_id", F.col("pos").alias("stmt_id"), "pos", translate.formula(F.col("text")).alias("fol"))))
+    return horn.refuted(translate.read(s).select("doc_id", F.col("pos").alias("stmt_id"), "pos", translate.written(F.col("p")).alias("fol")))
 
 
 @query("SELECT o_orderkey AS doc_id, o_orderkey % 5 + 3 AS steps, (o_orderkey % 5 + 1)::INT AS last_round, o_orderkey % 5 + 1 AS premises FROM orders WHERE o_orderstatus = 'F'")
