@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .runtime import cut
+from .runtime import cut, tasks
 
 #: Rows of a document that a group holds at most.
 MOST = 64
@@ -29,6 +29,16 @@ def first_rows(rows: DataFrame, most: int, *order: Column | str) -> DataFrame:
     return rows.withColumn("k", F.row_number().over(W.partitionBy("doc_id").orderBy(*order))).where(F.col("k") <= most + 1)
 
 
+def dealt(rows: DataFrame, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of documents of at most most rows, dealt out by doc_id, so many to a task at any size; and (doc_id) of those of more
+    rows, None if there are none."""
+    sizes = rows.groupBy("doc_id").agg(F.count("*").alias("n"))
+    total, top = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    large = cut(sizes.where(F.col("n") > most).select("doc_id")) if top > most else None
+    small = rows if large is None else rows.join(large, "doc_id", "left_anti")
+    return small.repartition(tasks(rows, total), "doc_id"), large
+
+
 def keyed(docs: DataFrame, good: Column, key: Column) -> DataFrame:
     """(doc_id, shape, names) of docs (doc_id, names, ...), written once; documents that are not good have no names."""
     shape = F.when(good, F.sha2(F.to_json(key), 256)).otherwise(F.concat(F.lit("doc "), F.col("doc_id").cast("string")))
@@ -51,15 +61,20 @@ def spread(docs: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame
     was worked out) and work's other columns. work takes a DataFrame of doc_id and returns rows with the doc_id, of any type."""
     n = docs.groupBy("shape").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
     reps = cut(n.join(docs.select(F.col("doc_id").alias("rep"), F.col("names").alias("rep_names")), "rep"))
-    total = docs.count()
     found = work(reps.select(F.col("rep").alias("doc_id")))
     rest = [c for c in found.columns if c != "doc_id"]
     found = found.withColumn("rep", F.col("doc_id").cast(docs.schema["doc_id"].dataType)).drop("doc_id")
     found = cut(reps.join(found, "rep").select("shape", "rep", "rep_names", "n", *rest))
+    return matched(docs, reps, found).select("doc_id", "names", "rep", "rep_names", *rest)
+
+
+def matched(docs: DataFrame, every: DataFrame, found: DataFrame) -> DataFrame:
+    """docs joined by shape with found (shape, n, ...), the rows of shapes; every is (shape, n), all shapes and how many documents
+    have each. What hot shapes have is broadcast."""
+    total = every.agg(F.sum("n")).first()[0] or 0
     hot = F.col("n") * HOT_SHARE > total
-    cols = ["doc_id", "names", "rep", "rep_names", *rest]
-    many = docs.join(F.broadcast(found.where(hot)), "shape").select(*cols)
-    few = docs.join(F.broadcast(reps.where(hot).select("shape")), "shape", "left_anti").join(found.where(~hot), "shape").select(*cols)
+    many = docs.join(F.broadcast(found.where(hot)), "shape")
+    few = docs.join(F.broadcast(every.where(hot).select("shape")), "shape", "left_anti").join(found.where(~hot), "shape")
     return many.unionByName(few)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from ..functions.text import shortened
 from .report import conflict_sets, kind
 from .runtime import cut
+from .shapes import MOST, dealt, matched
 
 #: Characters of a statement in a tree.
 WIDTH = 56
@@ -22,7 +23,39 @@ def outline(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     nodes: (doc_id, node, pos); edges: (doc_id, node, part), what a node rests on. Roots are nodes that nothing rests on, in
     order of pos, and so are a node's parts. A node's parts are written where depth-first search first comes to it; elsewhere
     it is one line with above true. What no root leads to (circles) hangs from its first node. Parts that are no node go, and
-    repeated rows count once.
+    repeated rows count once; rows with a null doc_id, node or part are none.
+
+    Lines follow from the order of the nodes and from the edges between their places. So documents of at most MOST rows with
+    the same places have one shape, and each shape is walked once; documents of more rows, or with a null pos, are walked
+    themselves.
+    """
+    n, e = nodes.select("doc_id", "node", "pos").dropna(subset=["doc_id", "node"]), edges.select("doc_id", "node", "part").dropna()
+    rows = n.select("*", F.lit(None).alias("part")).unionByName(e, allowMissingColumns=True)
+    is_node = F.col("part").isNull()
+    small, large = dealt(rows, MOST)
+    docs = small.groupBy("doc_id").agg(
+        F.sort_array(F.collect_set(F.when(is_node, F.struct("pos", "node")))).alias("n"), F.collect_set(F.when(~is_node, F.struct("node", "part"))).alias("e"),
+        (~F.bool_or(is_node & F.col("pos").isNull())).alias("good"))
+    docs = docs.select("doc_id", "e", "good", F.array_distinct(F.transform("n", lambda x: x["node"])).alias("names"))
+    at = lambda x: F.array_position("names", x)
+    places = F.filter(F.transform("e", lambda x: F.struct(at(x["node"]).alias("a"), at(x["part"]).alias("b"))), lambda p: (p["a"] > 0) & (p["b"] > 0))
+    docs = docs.select("doc_id", "good", "names", F.sort_array(places).alias("e"))
+    docs = cut(docs.select("doc_id", F.when(F.col("good"), F.to_json(F.struct(F.size("names").alias("n"), "e"))).alias("shape"), F.when(F.col("good"), F.col("names")).alias("names")))
+    every = cut(docs.groupBy("shape").agg(F.count("*").alias("n")))
+    graphs = every.where("shape IS NOT NULL").select(F.col("shape").alias("doc_id"), F.from_json("shape", "n long, e array<struct<a: long, b: long>>").alias("g")).where("g.n > 0")
+    walked = _walked(graphs.select("doc_id", F.explode(F.sequence(F.lit(1), F.col("g.n"))).alias("node")).withColumn("pos", F.col("node")), graphs.select("doc_id", F.explode("g.e").alias("p")).select("doc_id", F.col("p.a").alias("node"), F.col("p.b").alias("part")))
+    found = cut(walked.withColumnRenamed("doc_id", "shape").withColumnRenamed("node", "place").join(every, "shape"))
+    name = F.get("names", (F.col("place") - 1).cast("int")).alias("node")
+    out = matched(docs, every, found).select("doc_id", "line", "depth", name, "above")
+    rest = docs.where("shape IS NULL").select("doc_id")
+    rest = rest if large is None else rest.unionByName(large)
+    if rest.isEmpty():
+        return out
+    return out.unionByName(_walked(n.join(rest, "doc_id", "left_semi"), e.join(rest, "doc_id", "left_semi")))
+
+
+def _walked(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """outline() of each document by itself.
 
     The first visit of a node is the least of the paths that lead to it, and so is that path's beginning for the nodes on it.
     So each round gives every node the least of its own path and its parents' paths with its place among their parts, until

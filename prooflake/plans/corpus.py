@@ -62,10 +62,9 @@ def chunk_bypass(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY path)::INT AS line, (len(path) - 1)::INT AS depth, node::VARCHAR AS node,
            path <> own AND EXISTS (SELECT 1 FROM e WHERE e.doc_id = l.doc_id AND e.node = l.node) AS above FROM l""")
 def theory_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("node")).distinct()
+    n = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("node"), F.col("l_linenumber").alias("pos"))
     e = n.select("doc_id", "node", F.explode(F.array(F.col("node") + 1, F.col("node") + 2)).alias("part"))
-    text = lambda df, *cs: df.select("doc_id", *[F.col(c).cast("string").alias(c) for c in cs], *([F.col("node").alias("pos")] if "part" not in cs else []))
-    return theory.outline(text(n, "node"), text(e, "node", "part"))
+    return theory.outline(n, e).withColumn("node", F.col("node").cast("string"))
 
 
 @query(f"""WITH s AS (SELECT DISTINCT doc_id, text, {_TOKENS} AS t FROM ({STATEMENTS_SQL})),

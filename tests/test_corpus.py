@@ -107,3 +107,24 @@ def test_outline_equals_depth_first_search(spark):
     for x in sorted(got.collect(), key=lambda x: (x.doc_id, x.line)):
         by.setdefault(x.doc_id, []).append((x.depth, x.node, x.above))
     assert by == want
+
+
+def test_outline_walks_each_shape_once(spark, monkeypatch):
+    """Documents that are equal up to names are walked once; large ones, and ones with a null pos, by themselves."""
+    walk, walked = theory._walked, []
+
+    def counted(nodes, edges):
+        walked.append(nodes.select("doc_id").distinct().count())
+        return walk(nodes, edges)
+
+    monkeypatch.setattr(theory, "_walked", counted)
+    own = {d: [f"{d} n{i}" for i in range(4)] for d in range(40)} | {40: [f"40 n{i:02}" for i in range(70)], 41: ["41 a", "41 b"]}
+    parts = {d: {ns[0]: [ns[1], ns[2]], ns[1]: [ns[2]]} if d % 2 else {ns[0]: [ns[3]]} for d, ns in own.items() if d < 40}
+    parts |= {40: {n: own[40][i + 1 : i + 2] for i, n in enumerate(own[40])}, 41: {"41 b": ["41 a"]}}
+    nodes = [(d, n, None if d == 41 and i == 0 else i) for d, ns in own.items() for i, n in enumerate(ns)] + [(0, None, 0), (None, "n", 0)]
+    edges = [(d, n, p) for d, by in parts.items() for n, ps in by.items() for p in ps for _ in range(2)] + [(0, own[0][0], None), (None, "n", "n"), (99, "x", "y")]
+    got = theory.outline(spark.createDataFrame(nodes, "doc_id int, node string, pos int"), spark.createDataFrame(edges, "doc_id int, node string, part string"))
+    by: dict = {}
+    for x in sorted(got.collect(), key=lambda x: (x.doc_id, x.line)):
+        by.setdefault(x.doc_id, []).append((x.depth, x.node, x.above))
+    assert by == {d: plain_outline(own[d], parts[d]) for d in own} and walked == [2, 2]

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from prooflake.operators import horn, shapes, translate, verdict
+from prooflake.operators import horn, runtime, shapes, translate, verdict
 
 SCHEMA = "doc_id string, stmt_id string, pos int, type string, fol string"
 
@@ -39,3 +39,14 @@ def test_read(spark):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
     want = rows.select("i", translate.parts(F.col("text")).alias("p")).collect()
     assert sorted(translate.read(rows).select("i", "p").collect()) == sorted(want)
+
+
+def test_dealt(spark, monkeypatch):
+    """More rows are dealt to more tasks, not to larger ones; documents of too many rows are told apart."""
+    monkeypatch.setattr(runtime, "TASK_ROWS", 50)
+    rows = spark.range(1000).select((F.col("id") % 100).alias("doc_id"), "id")
+    small, large = shapes.dealt(rows, 10)
+    assert small.rdd.getNumPartitions() >= 20 and small.count() == 1000 and large is None
+    small, large = shapes.dealt(rows.unionByName(spark.createDataFrame([(7, 1), (None, 2)], "doc_id long, id long")), 10)
+    assert small.count() == 991 and [r.doc_id for r in large.collect()] == [7]
+    assert shapes.dealt(rows.limit(0), 10)[0].count() == 0
