@@ -95,3 +95,26 @@ def test_screener_meets_by_rare_words(spark):
                 if (na != nb and share >= 0.5) or (opposed(a, b) and share >= 0.3):
                     want.add((d, i, j, round(share, 2)))
     assert {(x.doc_id, x.a, x.b, x.jaccard) for x in relational.screener(df).collect()} == want
+
+
+def test_components_of_small_and_large_documents(spark, monkeypatch):
+    """Small documents are clustered without rounds of joins, large ones by them; both like plain merging."""
+    import random
+
+    r, rows = random.Random(3), [(None, 1, 1), (None, 2, 1), (3, None, 1), (3, 4, None), (3, 5, None), (4, 9, None)]
+    for d in range(60):
+        rows += [(d, r.randint(0, 9), r.randint(0, 14)) for _ in range(r.randint(1, 12))]
+    rows += [(100, i, i // 2 + k % 2) for i in range(40) for k in range(2)]
+    want = {(d, s): s for d, s, _ in rows}
+    for _ in rows:
+        for d, p in {(d, p) for d, s, p in rows if None not in (d, s, p)}:
+            met = [(d, s) for e, s, q in rows if (e, q) == (d, p) and s is not None]
+            least = min(want[m] for m in met)
+            want |= {m: least for m in met}
+    df = spark.createDataFrame(rows, "doc_id int, stmt_id int, pred int")
+    contracted, seen = relational._contracted, []
+    monkeypatch.setattr(relational, "_contracted", lambda pairs: seen.append(1) or contracted(pairs))
+    got = sorted(map(tuple, relational.components(df).collect()), key=str)
+    assert got == sorted([(*k, v) for k, v in want.items()], key=str) and not seen
+    monkeypatch.setattr(relational, "CLUSTERED", 8)
+    assert sorted(map(tuple, relational.components(df).collect()), key=str) == got and seen
