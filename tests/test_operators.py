@@ -118,3 +118,27 @@ def test_components_of_small_and_large_documents(spark, monkeypatch):
     assert got == sorted([(*k, v) for k, v in want.items()], key=str) and not seen
     monkeypatch.setattr(relational, "CLUSTERED", 8)
     assert sorted(map(tuple, relational.components(df).collect()), key=str) == got and seen
+
+
+def test_closure_by_distances(spark, monkeypatch):
+    """Circles, loops, nulls and a node in which more pairs meet than a task is dealt."""
+    import random
+
+    from prooflake.operators import runtime
+
+    def plain(edges):
+        out = set(edges)
+        while more := {(a, d) for a, b in out for c, d in edges if b is not None and b == c} - out:
+            out |= more
+        return out
+
+    r = random.Random(7)
+    cases = [[(r.randint(0, 12), r.randint(0, 12)) for _ in range(n)] for n in (1, 9, 14, 25)]
+    cases += [[(1, 1)], [(1, 2), (2, 1), (2, None), (None, 1)], [(i, i + 1) for i in range(21)]]
+    df = lambda e: spark.createDataFrame(e, "src int, dst int")
+    for e in cases:
+        assert sorted(map(tuple, relational.closure(df(e)).collect()), key=str) == sorted(plain(e), key=str)
+    star, tasks, dealt = [(i, 0) for i in range(1, 60)] + [(0, -1), (-1, -2), (-2, 0)], runtime.tasks, []
+    monkeypatch.setattr(runtime, "TASK_ROWS", 20)
+    monkeypatch.setattr(runtime, "tasks", lambda d, n: dealt.append(tasks(d, n)) or dealt[-1])
+    assert sorted(map(tuple, relational.closure(df(star)).collect())) == sorted(plain(star)) and max(dealt) > 8
