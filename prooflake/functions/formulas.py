@@ -32,6 +32,12 @@ def atoms(fol: Column) -> Column:
     return F.transform(found, lambda a: F.struct(F.regexp_extract(a, r"^(\w+)", 1).alias("pred"), F.size(F.split(a, ",")).alias("arity")))
 
 
+def names(fol: Column) -> Column:
+    """The predicates of atoms()."""
+    found = F.regexp_extract_all(fol, F.lit(NAME + r"[^()]*\)"), F.lit(0))
+    return F.transform(found, lambda a: F.regexp_extract(a, r"^(\w+)", 1))
+
+
 def max_arity(fol: Column) -> Column:
     return F.coalesce(F.array_max(F.transform(atoms(fol), lambda a: a["arity"])), F.lit(0))
 

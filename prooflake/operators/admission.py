@@ -18,7 +18,9 @@ from ..functions.numbers import rounded
 from ..functions.text import word_matches
 from ..logic import fol as logic
 from ..logic import sat
+from . import forms
 from .relational import EXCLUDED
+from .runtime import cut
 from .translate import let
 
 # Words without content, determiners glued to the front of constants, and confidences.
@@ -70,9 +72,10 @@ def stems(text: Column) -> Column:
 
 
 def fidelity(formula: Column, text: Column, known: Column, said: Column | None = None) -> Column:
-    """struct(coverage, passed): which share of a formula's content words its text mentions. Predicates in known count as
+    """struct(coverage, passed, could): which share of a formula's content words its text mentions. Predicates in known count as
     mentioned; a constant like a code counts once. One predicate word that is mentioned lowers the threshold. A formula without
-    content words is covered; a null formula gives null. said: the text's stems, where they are there already."""
+    content words is covered; a null formula gives null. could: whether it would pass if all its predicates were known. said: the
+    text's stems, where they are there already."""
     run = F.regexp_replace(F.lower(text), "[^a-z0-9]", "")
 
     def judge(ls: Column) -> Column:
@@ -80,10 +83,11 @@ def fidelity(formula: Column, text: Column, known: Column, said: Column | None =
         found = F.flatten(F.transform(atoms(formula), of_pred))
         code = lambda c: F.rlike(F.regexp_replace(F.lower(c), "[^a-z0-9]", ""), F.lit(r"^[a-z]{0,3}\d[\da-z]*$"))
         of_const = lambda c: F.when(code(c), F.array(F.exists(_signatures(c), lambda s: F.contains(run, s)))).otherwise(F.transform(_constant_words(c), lambda w: word_matches(w, ls)))
-        of_all = lambda preds: F.concat(F.transform(preds, lambda p: p["hit"] | p["known"]), F.flatten(F.transform(constants(formula), of_const)))
+        of_all = lambda preds: let(F.flatten(F.transform(constants(formula), of_const)), lambda cs: F.struct(F.concat(F.transform(preds, lambda p: p["hit"] | p["known"]), cs).alias("now"), F.concat(F.transform(preds, lambda p: F.lit(True)), cs).alias("most")))
         lone = lambda preds: (F.size(preds) > 0) & (F.size(F.array_distinct(F.transform(preds, lambda p: p["w"]))) == 1) & F.forall(preds, lambda p: p["hit"])
         share = lambda hits: F.when(F.size(hits) > 0, F.size(F.filter(hits, lambda h: h)) / F.size(hits)).otherwise(1.0)
-        score = lambda preds: let(let(of_all(preds), share), lambda x: F.struct(rounded(x, 3).alias("coverage"), (x >= F.when(lone(preds), RELAXED).otherwise(THRESHOLD)).alias("passed")))
+        both = lambda preds: let(of_all(preds), lambda h: F.struct(share(h["now"]).alias("now"), share(h["most"]).alias("most"), F.when(lone(preds), RELAXED).otherwise(THRESHOLD).alias("least")))
+        score = lambda preds: let(both(preds), lambda x: F.struct(rounded(x["now"], 3).alias("coverage"), (x["now"] >= x["least"]).alias("passed"), (x["most"] >= x["least"]).alias("could")))
         return let(found, score)
 
     return F.when(formula.isNotNull(), let(stems(text) if said is None else said, judge))
@@ -124,31 +128,40 @@ def guarded(statements: DataFrame, guard_deontic: bool = False) -> DataFrame:
     return statements.withColumn("guard", guard.when(strict & deontic_cue(*texts).isNotNull(), "norm"))
 
 
-def gate(statements: DataFrame, guard_deontic: bool = False, allow_relations: bool = False) -> DataFrame:
-    """Decision on (doc_id, stmt_id, pos, type, text, rule, other): status, confidence, reason, shape, fol. Where there is a
-    column original, the statement in its author's words, hedges and norms are looked for there too.
+#: What decided() adds.
+DECIDED = ("guard", "rule_ok", "other_ok", "status", "confidence", "reason", "shape", "side", "settled")
 
-    rule and other are candidate formulas, null where there is none; what doesn't parse is as good as none. With
-    allow_relations, candidates beyond the decidable fragment go and the one of greater arity wins. Ambiguous statements have
-    no fol. A predicate of an earlier statement of the document counts as mentioned. Equivalence left open counts as
-    divergence. Columns guard_deontic and allow_relations, where there are any, hold for their rows instead of the arguments.
-    """
+
+def screened(statements: DataFrame, guard_deontic: bool = False, allow_relations: bool = False) -> DataFrame:
+    """Adds guard, rule_ok and other_ok, whether the candidates parse and may be told of, and none, whether neither parses."""
     wide = option(statements, "allow_relations", allow_relations)
-    s = statements.withColumn("rule", valid(F.col("rule"))).withColumn("other", valid(F.col("other")))
-    s = guarded(s, guard_deontic)
-    s = s.withColumn("none", F.col("rule").isNull() & F.col("other").isNull())
+    s = guarded(statements, guard_deontic)
+    for c in ("rule", "other"):
+        s = s.withColumn(f"{c}_ok", valid(F.col(c)).isNotNull())
+    s = s.withColumn("none", ~F.col("rule_ok") & ~F.col("other_ok"))
     if allow_relations or "allow_relations" in statements.columns:
         for c in ("rule", "other"):
-            s = s.withColumn(c, F.when(~wide | (max_arity(F.col(c)) < 2) | safe(F.col(c)), F.col(c)))
-    names = F.array_union(*[F.coalesce(predicates(F.col(c)), F.array().cast("array<string>")) for c in ("rule", "other")])
-    used = s.where("guard IS NULL").select("doc_id", "pos", F.explode(names).alias("pred"))
-    earlier = used.withColumn("known", F.min("pos").over(W.partitionBy("doc_id", "pred")) < F.col("pos")).where("known")
-    s = s.join(earlier.groupBy("doc_id", "pos").agg(F.collect_set("pred").alias("known")), ["doc_id", "pos"], "left")
-    known = F.coalesce("known", F.array().cast("array<string>"))
-    s = s.withColumn("same", same("rule", "other")).withColumn("said", F.when(F.col("guard").isNull() & ~F.col("none"), stems(F.col("text"))))
-    judged = lambda c: fidelity(F.when(F.col("guard").isNull(), F.col(c)), F.col("text"), known, F.col("said"))
-    s = s.withColumn("a", judged("rule")).withColumn("b", judged("other"))
-    rule, other, a, b = F.col("rule"), F.col("other"), F.coalesce("a.passed", F.lit(False)), F.coalesce("b.passed", F.lit(False))
+            s = s.withColumn(f"{c}_ok", F.col(f"{c}_ok") & (~wide | (max_arity(F.col(c)) < 2) | safe(F.col(c))))
+    return s
+
+
+def _known(rows: DataFrame) -> DataFrame:
+    """(doc_id, pos, known): predicates of a statement of screened() that an earlier one of its document has."""
+    names = F.array_union(*[F.coalesce(predicates(F.when(F.col(f"{c}_ok"), F.col(c))), F.array().cast("array<string>")) for c in ("rule", "other")])
+    used = rows.where("guard IS NULL").select("doc_id", "pos", F.explode(names).alias("pred"))
+    earlier = used.withColumn("earlier", F.min("pos").over(W.partitionBy("doc_id", "pred")) < F.col("pos")).where("earlier")
+    return earlier.groupBy("doc_id", "pos").agg(F.collect_set("pred").alias("known"))
+
+
+def decided(s: DataFrame, known: Column, allow_relations: bool = False) -> DataFrame:
+    """Adds the rest of DECIDED to rows of screened(); known has the predicates that count as mentioned. side: which candidate is
+    kept; settled: whether the decision is the same whatever is known."""
+    wide, known = option(s, "allow_relations", allow_relations), F.coalesce(known, F.array().cast("array<string>"))
+    rule, other = (F.when(F.col(f"{c}_ok"), F.col(c)) for c in ("rule", "other"))
+    s = s.withColumn("same", same(rule, other)).withColumn("said", F.when(F.col("guard").isNull() & ~F.col("none"), stems(F.col("text"))))
+    judged = lambda c: fidelity(F.when(F.col("guard").isNull(), c), F.col("text"), known, F.col("said"))
+    s = s.withColumn("a", judged(rule)).withColumn("b", judged(other))
+    a, b = F.coalesce("a.passed", F.lit(False)), F.coalesce("b.passed", F.lit(False))
     two, one = rule.isNotNull() & other.isNotNull(), F.coalesce(rule, other)
     more = max_arity(rule) - max_arity(other)
     case = F.when(F.col("guard").isNotNull(), F.col("guard")).when(F.col("none"), "no formula").when(one.isNull(), "relational role")
@@ -158,7 +171,57 @@ def gate(statements: DataFrame, guard_deontic: bool = False, allow_relations: bo
     s = s.withColumn("reason", case)
     r = F.col("reason")
     confidence = F.when(r == "agreed", AGREED).when(r.isin("greater arity", "one faithful", "modifier only"), DIVERGED).when(r == "rule faithful", SINGLE_RULE).when(r == "other faithful", SINGLE_OTHER)
-    kept = F.when(r == "greater arity", F.when(more > 0, rule).otherwise(other)).when(r == "one faithful", F.when(a, rule).otherwise(other)).when(confidence.isNotNull(), one)
+    first = F.when(r == "greater arity", more > 0).when(r == "one faithful", a).when(confidence.isNotNull(), rule.isNotNull())
     status = F.when(confidence.isNotNull(), "accepted").when(r == "ambiguous", "ambiguous").otherwise("quarantined")
     shape = F.when(r.isin("no formula", "not faithful"), quarantine_shape(F.col("text"))).when(r == "relational role", "relational-role(∀∃)")
-    return s.select("doc_id", "stmt_id", "pos", "type", "text", status.alias("status"), confidence.alias("confidence"), "reason", shape.alias("shape"), kept.alias("fol"))
+    apart = [F.coalesce(F.col(f"{x}.passed") == F.col(f"{x}.could"), F.lit(True)) for x in "ab"]
+    s = s.withColumns({"status": status, "confidence": confidence, "shape": shape, "side": F.when(first, "rule").when(~first, "other"), "settled": r.isin("greater arity", "agreed") | (apart[0] & apart[1])})
+    return s.drop("none", "same", "said", "a", "b")
+
+
+def _decision(s: DataFrame) -> DataFrame:
+    kept = F.when(F.col("side") == "rule", F.col("rule")).when(F.col("side") == "other", F.col("other"))
+    told = lambda c: forms.told(c, F.col("number"))
+    return s.select("doc_id", "stmt_id", "pos", "type", told(F.col("text")).alias("text"), "status", "confidence", "reason", "shape", told(kept).alias("fol"))
+
+
+def gate(statements: DataFrame, guard_deontic: bool = False, allow_relations: bool = False) -> DataFrame:
+    """Decision on (doc_id, stmt_id, pos, type, text, rule, other): status, confidence, reason, shape, fol. Where there is a
+    column original, the statement in its author's words, hedges and norms are looked for there too.
+
+    rule and other are candidate formulas, null where there is none; what doesn't parse is as good as none. With
+    allow_relations, candidates beyond the decidable fragment go and the one of greater arity wins. Ambiguous statements have
+    no fol. A predicate of an earlier statement of the document counts as mentioned. Equivalence left open counts as
+    divergence. Columns guard_deontic and allow_relations, where there are any, hold for their rows instead of the arguments.
+
+    Statements are decided by their forms, once for what are equal up to their number. Earlier statements are looked at only
+    for those whose decision hangs on them.
+    """
+    texts = [c for c in ("text", "original", "rule", "other") if c in statements.columns]
+    s = statements.withColumn("number", forms.number(*[F.col(c) for c in texts]))
+    return decisions(s.withColumns({c: F.when(F.col("number").isNotNull(), forms.masked(F.col(c))).otherwise(F.col(c)) for c in texts}), guard_deontic, allow_relations)
+
+
+def decisions(statements: DataFrame, guard_deontic: bool = False, allow_relations: bool = False) -> DataFrame:
+    """gate() of statements whose texts and candidates are read with nines for their number, a column; where it is null, they are
+    as they stand."""
+    cols = [c for c in ("text", "original", "rule", "other", "type", "guard_deontic", "allow_relations") if c in statements.columns]
+    read = lambda rows: screened(rows, guard_deontic, allow_relations)
+    kinds = forms.distinct(statements.select(*cols))
+    if kinds is None:
+        s = read(statements)
+        return _decision(decided(s.join(_known(s), ["doc_id", "pos"], "left"), F.col("known"), allow_relations))
+    done = cut(decided(read(kinds), F.lit(None).cast("array<string>"), allow_relations))
+    s = forms.met(statements, done, cols, list(DECIDED))
+    if done.where("NOT settled").isEmpty():
+        return _decision(s)
+    s = cut(s)
+    # Names are compared as they stand, and read with nines again.
+    told = s.withColumns({c: forms.told(F.col(c), F.col("number")) for c in ("rule", "other")})
+    left = s.where("NOT settled")
+    said = F.array_union(*[F.coalesce(predicates(forms.told(F.col(c), F.col("number"))), F.array().cast("array<string>")) for c in ("rule", "other")])
+    mine = F.array_join(F.array_sort(F.array_intersect("known", said)), " ")
+    left = left.drop(*DECIDED).join(_known(told.join(left.select("doc_id").distinct(), "doc_id", "left_semi")), ["doc_id", "pos"], "left")
+    left = left.withColumn("known", F.when(F.col("number").isNotNull(), forms.masked(mine)).otherwise(mine))
+    again = forms.by_form(left, [*cols, "known"], lambda rows: decided(read(rows), F.split(F.nullif("known", F.lit("")), " "), allow_relations))
+    return _decision(s.where("settled")).unionByName(_decision(again))

@@ -45,15 +45,17 @@ def keyed(docs: DataFrame, good: Column, key: Column) -> DataFrame:
     return cut(docs.select("doc_id", shape.alias("shape"), F.when(good, F.col("names")).alias("names")))
 
 
-def of_formulas(rows: DataFrame, *cols: str, most: int = MOST) -> DataFrame:
-    """(doc_id, shape, names) of documents of rows (doc_id, pos, *cols, fol); rows are alike only if cols are equal."""
+def of_formulas(rows: DataFrame, *cols: str, most: int = MOST, good: Column | None = None) -> DataFrame:
+    """(doc_id, shape, names) of documents of rows (doc_id, pos, *cols, fol); rows are alike only if cols are equal. good: what
+    documents (names, s with the formulas' t) must have besides to be of a shape with others."""
     s = rows.select("doc_id", "pos", *cols, F.regexp_replace("fol", TERM, "\u0001").alias("t"), F.coalesce(F.regexp_extract_all("fol", F.lit(TERM), F.lit(0)), F.array().cast("array<string>")).alias("a"), F.coalesce(F.rlike("fol", F.lit(ODD)), F.lit(False)).alias("odd"))
     s = first_rows(s, most, "pos", *cols, "t")
     docs = s.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("k", "pos", *cols, "t", "a"))).alias("s"), F.max("odd").alias("odd"))
     docs = docs.withColumn("names", F.array_sort(F.array_distinct(F.flatten(F.transform("s", lambda r: r["a"])))))
     ranked = F.transform("s", lambda r: F.struct(*[r[c] for c in ("pos", *cols, "t")], F.transform(r["a"], lambda a: F.array_position("names", a)).alias("a")))
     low = F.size(F.filter("names", lambda n: n < "_"))
-    return keyed(docs, (F.size("s") <= most) & ~F.col("odd"), F.struct(ranked.alias("s"), low.alias("low")))
+    alike = (F.size("s") <= most) & ~F.col("odd")
+    return keyed(docs, alike if good is None else alike & good, F.struct(ranked.alias("s"), low.alias("low")))
 
 
 def spread(docs: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:

@@ -63,14 +63,17 @@ def self_aliases(consts: DataFrame) -> DataFrame:
 
 
 def relation_aliases(atoms: DataFrame) -> DataFrame:
-    """(doc_id, old, new, swap) of atoms (doc_id, stmt_id, pred, arity): binary relations of one curated group become the one
-    that most statements use, then the unflipped one, then the first by name; swap if their argument orders differ."""
+    """(doc_id, old, new, swap) of atoms (doc_id, stmt_id, pred, arity[, n]): binary relations of one curated group become the one
+    that most statements use, then the unflipped one, then the first by name; swap if their argument orders differ. n: how many
+    statements a row stands for."""
     names = atoms.select("pred").distinct().withColumn("ws", F.filter(words_of(F.col("pred")), lambda x: ~x.isin(*PARTICLES))).where("size(ws) = 1")
     table = F.create_map(*[F.lit(x) for w, (g, f) in RELATIONS.items() for x in (w, f"{g}|{int(f)}")])
     word = F.get("ws", F.lit(0))
     entry = F.coalesce(table[word], table[lemma(word)])
     names = names.select("pred", F.split(entry, r"\|").alias("e")).where("e is not null").select("pred", F.col("e")[0].alias("grp"), (F.col("e")[1] == "1").alias("flip"))
-    used = atoms.groupBy("doc_id", "pred").agg(F.count_distinct("stmt_id").alias("n"), F.min("arity").alias("lo"), F.max("arity").alias("hi")).where("lo = 2 and hi = 2")
+    many = F.max("n") if "n" in atoms.columns else F.max(F.lit(1))
+    used = atoms.groupBy("doc_id", "pred", "stmt_id").agg(many.alias("n"), F.min("arity").alias("lo"), F.max("arity").alias("hi"))
+    used = used.groupBy("doc_id", "pred").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo = 2 and hi = 2")
     members = used.join(names, "pred")
     w = W.partitionBy("doc_id", "grp")
     first = F.first(F.struct("pred", "flip")).over(w.orderBy(F.desc("n"), "flip", "pred"))
