@@ -32,10 +32,14 @@ def summary(props: DataFrame, *by: str) -> DataFrame:
     return props.groupBy(*by, F.coalesce("verdict", "status").alias("outcome")).agg(F.count("*").alias("n"))
 
 
+def _members() -> Column:
+    """A contradicting statement and what it contradicts."""
+    return F.array_sort(F.array_distinct(F.concat(F.array("stmt_id"), F.coalesce("conflict", F.array().cast("array<string>")))))
+
+
 def conflict_sets(props: DataFrame) -> DataFrame:
     """Distinct minimal inconsistent sets of (doc_id, stmt_id, type, verdict, conflict): doc_id, members, bridged."""
-    members = F.array_sort(F.array_distinct(F.concat(F.array("stmt_id"), F.coalesce("conflict", F.array().cast("array<string>")))))
-    sets = props.where("verdict = 'contradicts'").select("doc_id", members.alias("members")).distinct()
+    sets = props.where("verdict = 'contradicts'").select("doc_id", _members().alias("members")).distinct()
     parts = sets.select("doc_id", "members", F.explode("members").alias("stmt_id"))
     kinds = props.select("doc_id", "stmt_id", (F.col("type") == "bridge").alias("bridge"))
     return parts.join(kinds, ["doc_id", "stmt_id"], "left").groupBy("doc_id", "members").agg(F.coalesce(F.bool_or("bridge"), F.lit(False)).alias("bridged"))
@@ -51,10 +55,14 @@ def nodes(props: DataFrame) -> DataFrame:
 
 def edges(props: DataFrame) -> DataFrame:
     """doc_id, src, dst, label: support of a statement, and members of each conflict set to the set's first member."""
-    support = props.select("doc_id", F.explode("support").alias("src"), F.col("stmt_id").alias("dst"), F.lit("support").alias("label"))
-    sets = conflict_sets(props)
-    conflict = sets.select("doc_id", F.explode("members").alias("src"), F.element_at("members", 1).alias("dst"), F.lit("conflict").alias("label")).where("src <> dst")
-    return support.unionByName(conflict)
+    none = F.array().cast("array<struct<label:string,at:int,members:array<string>>>")
+    support = F.transform(F.coalesce("support", F.array().cast("array<string>")), lambda s, i: F.struct(F.lit("support").alias("label"), i.alias("at"), F.array(s, "stmt_id").alias("members")))
+    conflict = F.when(F.col("verdict") == "contradicts", F.array(F.struct(F.lit("conflict").alias("label"), F.lit(-1).alias("at"), _members().alias("members")))).otherwise(none)
+    # props is read once. Each statement of a set has it; repeated support stays.
+    sets = props.select("doc_id", F.inline(F.concat(support, conflict))).groupBy("doc_id", "label", "at", "members").agg(F.count("*").cast("int").alias("n"))
+    src = F.when(F.col("label") == "support", F.array_repeat(F.get("members", F.lit(0)), F.col("n"))).otherwise(F.col("members"))
+    dst = F.when(F.col("label") == "support", F.get("members", F.lit(1))).otherwise(F.get("members", F.lit(0)))
+    return sets.select("doc_id", F.explode(src).alias("src"), dst.alias("dst"), "label").where("label = 'support' OR src <> dst")
 
 
 def dot(props: DataFrame) -> DataFrame:
